@@ -6,6 +6,7 @@ UTF-8 character. Null text has no words. All hashes are 64-bit; two different st
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +131,32 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+class Memo:
+    """Codes of strings that recur: each new string is encoded once, and its ids stay in flat arrays until too many are kept."""
+
+    def __init__(self, encode_many, most: int = 400_000):
+        self.encode_many, self.most = encode_many, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def __call__(self, strings: list[str]) -> np.ndarray:
+        """Index of each string; its ids are ids[ends[i]:ends[i + 1]]."""
+        if len(self.place) > self.most:
+            self._clear()
+        at = np.fromiter(map(self.place.get, strings, itertools.repeat(-1)), np.int64, len(strings))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = [strings[i] for i in fresh]
+            coded = self.encode_many(new)
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(sizes.sum()))
+            at[fresh] = np.arange(len(new)) + len(self.place)
+            self.place.update(zip(new, at[fresh].tolist()))
+            self.ids = np.concatenate([self.ids, flat])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return at

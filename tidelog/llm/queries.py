@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import sentencepiece_codec
+from tidelog.llm import fingerprints, sentencepiece_codec, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,3 +25,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids and original byte spans of every document."""
     return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of the corpus in its slot of the training order."""
+    return token_shards.training_order(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locally consistent phrase names of every document."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
