@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import fingerprints, sentencepiece_codec, token_shards
+from tidelog.llm import chat, fingerprints, quality, sentencepiece_codec, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,24 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locally consistent phrase names of every document."""
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, bytes, tokens and rows balanced jointly."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document by a ranker trained on the labelled ones."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training example for every assistant turn."""
+    return chat.prefix_targets(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op9_chat"] = chat.PREFIX_TARGETS_SQL
