@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, fingerprints, quality, sentencepiece_codec, sharding, token_shards
+from tidelog.llm import chat, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,15 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.training_order(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose word 3-gram sets are at least half alike."""
+    return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_jaccard_join"] = jaccard_join.SIMILAR_PAIRS_SQL
+
+
 @_query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locally consistent phrase names of every document."""
