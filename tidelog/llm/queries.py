@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, token_shards
+from tidelog.llm import chat, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, substring_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document that repeat 50 words or more of what comes before."""
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_substring_dedup"] = substring_dedup.REPEATED_SPANS_SQL
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, bytes, tokens and rows balanced jointly."""
