@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, substring_dedup, token_shards
+from tidelog.llm import chat, decontaminate, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, substring_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_chat"] = chat.PREFIX_TARGETS_SQL
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document contains, whole or nearly so."""
+    return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
