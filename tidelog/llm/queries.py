@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import chat, decontaminate, fingerprints, jaccard_join, quality, sentencepiece_codec, sharding, substring_dedup, token_shards
+from tidelog.llm import chat, decontaminate, fingerprints, jaccard_join, lm_scoring, quality, sentencepiece_codec, sharding, substring_dedup, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +64,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability and perplexity of every document under an interpolated trigram model of the corpus."""
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document by a ranker trained on the labelled ones."""
@@ -82,3 +89,8 @@ ORACLE["op9_chat"] = chat.PREFIX_TARGETS_SQL
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document contains, whole or nearly so."""
     return decontaminate.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

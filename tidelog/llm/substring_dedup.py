@@ -49,7 +49,7 @@ def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int =
             name[short] = mix(base[short] * _RUN + count[short].astype(np.uint64))
             name[long] = mix(base[long] * _LONG + U(1))
             symbols, place, text, size, final = name, place[at], text[at], total, final[at] | long
-        side = (mix(symbols + U(r) * _PAIR) >> U(40)) & U(1) == 1
+        side = (mix(symbols + U(r * int(_PAIR) % 2**64)) >> U(40)) & U(1) == 1
         left = np.zeros(len(symbols), bool)
         left[:-1] = ~side[:-1] & side[1:] & (text[1:] == text[:-1]) & ~final[:-1] & ~final[1:]
         at = np.flatnonzero(left)
