@@ -179,7 +179,7 @@ def doc_content(attaches: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
         return pd.DataFrame([(doc, b, render_text(shape, t)) for b, t in branches.items()], columns=["doc", "branch", "text"])
 
     types = {f.name: f.dataType.simpleString() for f in attaches.schema}
-    texts = attaches.groupBy("doc").cogroup(known.groupBy("doc")).applyInPandas(run, f"doc {types['doc']}, branch {types['branch']}, text string")
+    texts = text.fresh(attaches).groupBy("doc").cogroup(text.fresh(known).groupBy("doc")).applyInPandas(run, f"doc {types['doc']}, branch {types['branch']}, text string")
     return tree, texts
 
 

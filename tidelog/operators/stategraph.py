@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators import timeline
+from tidelog.operators.text import fresh
 
 Handler = Callable[["Context", dict], None]
 
@@ -84,7 +85,7 @@ def fold(events: DataFrame, handler: Handler, group: Sequence[str], order: Seque
     columns = [*group, "key", *order, "value"]
     if dependencies is None:
         return events.groupBy(*group).applyInPandas(lambda pdf: _fold(pdf, None, None, handler, group, order, columns, order), schema)
-    return events.groupBy(*group).cogroup(dependencies.groupBy(*group)).applyInPandas(lambda a, b: _fold(a, b, None, handler, group, order, columns, order), schema)
+    return fresh(events).groupBy(*group).cogroup(fresh(dependencies).groupBy(*group)).applyInPandas(lambda a, b: _fold(a, b, None, handler, group, order, columns, order), schema)
 
 
 def replay(events: DataFrame, before: DataFrame, since: DataFrame, handler: Handler, group: Sequence[str], order: Sequence[str], key_type: str = "string", value_type: str = "string") -> DataFrame:
@@ -97,7 +98,7 @@ def replay(events: DataFrame, before: DataFrame, since: DataFrame, handler: Hand
     types = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = ", ".join([f"`{c}` {types[c]}" for c in group] + [f"key {key_type}"] + [f"`{c}` {types[c]}" for c in order] + [f"value {value_type}"])
     columns = [*group, "key", *order, "value"]
-    again = touched.groupBy(*group).cogroup(kept.groupBy(*group)).applyInPandas(lambda a, b: _fold(a, None, b, handler, group, order, columns, order), schema)
+    again = fresh(touched).groupBy(*group).cogroup(fresh(kept).groupBy(*group)).applyInPandas(lambda a, b: _fold(a, None, b, handler, group, order, columns, order), schema)
     return early.select(*columns).unionByName(again)
 
 

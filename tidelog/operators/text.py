@@ -281,9 +281,15 @@ def _texts_of(pdf: pd.DataFrame) -> dict[Anchor, str]:
     return {as_anchor(a): t for a, t in zip(pdf["anchor"], pdf["text"])}
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` with columns of its own, so that it can meet another that comes from the same rows."""
+    return df.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in df.columns]).toDF(*df.columns)
+
+
 def render(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("doc", "branch")) -> DataFrame:
     """(keys, text): every document as it reads. ``tree`` has the first key only: branches share a document's anchors."""
     doc, types = keys[0], {f.name: f.dataType.simpleString() for f in texts.schema}
+    tree, texts = fresh(tree), fresh(texts)
     rest = list(keys[1:])
 
     def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
@@ -301,6 +307,7 @@ def render(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("doc", "bra
 def render_segments(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("doc", "branch")) -> DataFrame:
     """(keys, position, anchor, offset, text): the pieces of every document in reading order."""
     doc, types = keys[0], {f.name: f.dataType.simpleString() for f in texts.schema}
+    tree, texts = fresh(tree), fresh(texts)
     rest = list(keys[1:])
 
     def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
