@@ -89,8 +89,8 @@ def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("doc").take(at), part.column("key").take(at), pa.array(first - per[text], pa.int32()), pa.array(size, pa.int32())], names=["name", "doc", "key", "start", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"name bigint, doc {kind}, key bigint, start int, size int")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int")
 
 
 def _window_hashes(words: np.ndarray, window: int) -> np.ndarray:
@@ -106,7 +106,7 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
     symbols = final_symbols(docs, span, id_col, text_col)
     again = symbols.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where(F.col("n").__gt__(1) | (F.col("size") > window))
     spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("spots"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
     near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", "text", F.col("spots.start").alias("at"), F.col("spots.size").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
             pick = pa.array(text)
             yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), part.column("doc").take(pick), part.column("key").take(pick), pa.array(chosen - per[text], pa.int32())], names=["hash", "doc", "key", "start"])
 
-    windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key bigint, start int")
+    windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, start int")
     place = F.struct("doc", "start")
     later = windows.withColumn("first", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("first"))
     return later.groupBy("doc", "key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
@@ -171,7 +171,7 @@ def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: st
     All columns and rows without repeats stay as they are.
     """
     found = repeated_windows(docs, window, span, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
-    joined = docs.join(found, (docs[id_col] == F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left").drop("__doc", "__key")
+    joined = docs.join(found, (docs[id_col] == F.col("__doc")) & (F.hash(docs[text_col]) == F.col("__key")), "left").drop("__doc", "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
