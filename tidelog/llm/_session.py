@@ -31,3 +31,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """An eager, reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` hasn't got."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

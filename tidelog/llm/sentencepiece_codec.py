@@ -275,7 +275,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     """(doc_id, piece_ids, span_starts, span_ends, n_pieces, lossless) of every row, in one narrow pass without a shuffle.
 
     Spans are byte positions in the UTF-8 text, [start, end), in reading order; a character spelled by several byte pieces belongs to
-    the last of them. ``lossless``: decoding gives the normalised text back. A null text gives null lists and a null ``n_pieces``; an
+    the last of them. ``lossless``: decoding gives the normalised text back; it doesn't where the text itself holds the word mark, which decodes to a space. A null text gives null lists and a null ``n_pieces``; an
     empty one gives empty lists. Repeated rows and null ids each give their own row; other columns are ignored.
     """
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, piece_ids array<int>, span_starts array<int>, span_ends array<int>, n_pieces int, lossless boolean"

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.llm._session import unused
 from tidelog.llm._text import _power, U, buffers, flat_ranges, lists, mix, slices, word_bounds, word_hashes
 
 _RUN, _PAIR, _LONG = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)
@@ -73,10 +74,6 @@ def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int =
     return name[order], first[order], length[order]
 
 
-def _row_key(id_col: str, text_col: str):
-    return F.xxhash64(text_col).alias("__key")
-
-
 def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
     """(name, doc, key, start, size) of every final symbol; a doc is told from another row of its id by a hash of its text."""
 
@@ -170,13 +167,14 @@ def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: st
     A cut reaches from a span's first byte to the next word that stays; a text of which no word stays is removed with its row.
     All columns and rows without repeats stay as they are.
     """
-    found = repeated_windows(docs, window, span, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("starts").alias("__starts"))
-    joined = docs.join(found, (docs[id_col] == F.col("__doc")) & (F.hash(docs[text_col]) == F.col("__key")), "left").drop("__doc", "__key")
+    doc, key, spots = (unused(c, docs) for c in ("doc", "key", "starts"))
+    found = repeated_windows(docs, window, span, id_col, text_col).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("starts").alias(spots))
+    joined = docs.join(found, (F.col(id_col) == F.col(doc)) & (F.hash(text_col) == F.col(key)), "left").drop(doc, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            whole = part.select([c for c in part.schema.names if c != "__starts"])
-            starts = part.column("__starts")
+            whole = part.select([c for c in part.schema.names if c != spots])
+            starts = part.column(spots)
             hit = np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False))
             if not len(hit):
                 yield whole
@@ -184,7 +182,7 @@ def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: st
             some = part.take(pa.array(hit))
             data, offsets = buffers(some.column(text_col))
             opens, _, per = word_bounds(data, offsets)
-            a, b, row = _spans(some.column("__starts"), window)
+            a, b, row = _spans(some.column(spots), window)
             drop = np.zeros(len(data) + 1, np.int64)
             after = np.append(opens, len(data))[np.minimum(per[row] + b, len(opens))]
             after = np.minimum(after, offsets[row + 1])
