@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.llm._session import written
 from tidelog.llm._text import U, buffers, flat_ranges, mix, slices, word_hashes
 
-CHUNK = 12 << 20
+CHUNK = 5 << 20
 BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 LEVELS, STEP, NEVER = 20, 2, 255
 START = np.array([0.25, 0.25, 0.25, 0.25])
@@ -240,7 +240,7 @@ def score_documents(docs: DataFrame, held_share: int = 10, id_col: str = "doc_id
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col), F.lit(held_share)) == 0).alias("held"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = rows.mapInArrow(requests(buckets), "bucket int, chunk bigint, n int, keys binary, counts binary")
     answered = written(asked.groupBy("bucket").applyInArrow(answer, "chunk bigint, bucket int, n int, counts binary, words bigint, different bigint, documents bigint"), "counts")
     sums = answered.agg(F.sum("words"), F.sum("different"), F.sum("documents")).first()
