@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -19,7 +20,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def gram_set(text, n=3):
-    w = (text or "").lower().split()
+    w = re.sub(r"[!-/:-@\[-`{-~]", "", (text or "").lower()).split()
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
@@ -56,7 +57,7 @@ def copies(small):
     draw = random.Random(8)
     rows = [(r.doc_id, r.text) for r in small.collect()]
     long = [t for _, t in rows if len(t.split()) > 150][:8]
-    extra = [c for t in long for c in near_copies(draw, t, 12)] + [long[0]] * 40 + ["two words"] * 3 + ["lone"]
+    extra = [c for t in long for c in near_copies(draw, t, 12)] + [long[0]] * 40 + ["two words", "Two, words!", "two words"] + ["lone", "...", "?! ,"]
     return rows + [(1000 + k, t) for k, t in enumerate(extra)]
 
 
