@@ -25,7 +25,8 @@ _RUN, _PAIR, _LONG = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C
 def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, first words, lengths in words) of the final symbols, in order.
 
-    A run of at least ``span`` words is named by what is repeated alone, so that it matches a run of another length.
+    A run of at least ``span`` words is named by what is repeated alone, so that it matches a run of another length; its length is
+    given as a negative number.
     """
     n = len(words)
     text = np.repeat(np.arange(len(per_text) - 1), np.diff(per_text))
@@ -49,7 +50,7 @@ def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int =
             long = run & (total >= span)
             name[short] = mix(base[short] * _RUN + count[short].astype(np.uint64))
             name[long] = mix(base[long] * _LONG + U(1))
-            symbols, place, text, size, final = name, place[at], text[at], total, final[at] | long
+            symbols, place, text, size, final = name, place[at], text[at], np.where(long, -total, total), final[at] | long
         side = (mix(symbols + U(r * int(_PAIR) % 2**64)) >> U(40)) & U(1) == 1
         left = np.zeros(len(symbols), bool)
         left[:-1] = ~side[:-1] & side[1:] & (text[1:] == text[:-1]) & ~final[:-1] & ~final[1:]
@@ -74,74 +75,119 @@ def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int =
     return name[order], first[order], length[order]
 
 
+def _ranges_hash(words: np.ndarray):
+    """The function of (first words, words after the last) that hashes ranges of words."""
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power("up", len(words)), out=prefix[1:])
+    return lambda a, b: mix((prefix[b] - prefix[a]) * _power("down", len(words) + 1)[a])
+
+
 def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
-    """(name, doc, key, start, size) of every final symbol; a doc is told from another row of its id by a hash of its text."""
+    """(name, doc, key, start, size, reach, gap) of every final symbol; a doc is told from another row of its id by a hash of its text.
+
+    ``reach`` is how far the text's next final symbol begins from here, 0 without one, and ``gap`` hashes the words between.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words, per = word_hashes(*buffers(part.column("text")))
             name, first, size = recompress(words, per, span)
             text = np.searchsorted(per, first, side="right") - 1
+            reach = np.zeros(len(first), np.int64)
+            follows = np.flatnonzero(text[1:] == text[:-1])
+            reach[follows] = first[follows + 1] - first[follows]
+            gap = np.zeros(len(first), np.uint64)
+            wide = np.flatnonzero(reach > np.abs(size))
+            gap[wide] = _ranges_hash(words)(first[wide] + np.abs(size[wide]), first[wide] + reach[wide])
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), part.column("doc").take(at), part.column("key").take(at), pa.array(first - per[text], pa.int32()), pa.array(size, pa.int32())], names=["name", "doc", "key", "start", "size"])
+            columns = [pa.array(name.view(np.int64)), part.column("doc").take(at), part.column("key").take(at), *(pa.array(x, pa.int32()) for x in (first - per[text], size, reach)), pa.array(gap.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "doc", "key", "start", "size", "reach", "gap"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int")
-
-
-def _window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """Hash of words[i:i + window] for every i."""
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * _power("up", len(words)), out=prefix[1:])
-    return mix((prefix[window:] - prefix[:-window]) * _power("down", len(words) + 1)[: len(words) - window + 1])
+    return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int, reach int, gap bigint")
+
+
+def _chains(spots: dict[str, np.ndarray], row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, last start) of windows that symbols verify: a symbol, the words up to the next and that next symbol are as they
+    are where the first symbol occurs first, and so on, over at least a window."""
+    at, size, first_doc, first_at = (spots[c] for c in ("start", "size", "doc", "at"))
+    solid = spots["later"] & (size > 0)
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (
+        solid[1:] & solid[:-1] & spots["tied"][:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + spots["reach"][:-1])
+        & (first_doc[1:] == first_doc[:-1]) & (first_at[1:] == first_at[:-1] + spots["reach"][:-1])
+    )
+    head = np.flatnonzero(~joins)
+    tail = np.append(head[1:], len(at)) - 1 if len(head) else head
+    last = at[tail] + size[tail] - window
+    good = solid[head] & (last >= at[head])
+    return row[head][good], at[head][good], last[good]
 
 
 def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, starts): the first words of the windows that occur earlier in the corpus, in the order (doc, start)."""
+    """(doc, key, runs): runs of windows that occur earlier in the corpus, in the order (doc, start), as first start + 2**32 * (windows - 1).
+
+    Windows inside a chain of symbols that follow each other in the same way where they occur first are verified by the symbols; the others
+    that hold a symbol which occurs again are verified by their own hashes.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     symbols = final_symbols(docs, span, id_col, text_col)
-    again = symbols.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where(F.col("n").__gt__(1) | (F.col("size") > window))
-    spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "size")).alias("spots"))
+    same, place = Window.partitionBy("name"), F.struct("doc", "start")
+    again = symbols.withColumns({"n": F.count("*").over(same), "first": F.min(F.struct("doc", "start", "gap")).over(same)}).where((F.col("n") > 1) | (F.abs("size") > window))
+    later, tied = place > F.struct(F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), F.col("gap") == F.col("first.gap")
+    spot = F.struct("start", "size", "reach", F.xxhash64("first.doc").alias("doc"), F.col("first.start").alias("at"), later.alias("later"), tied.alias("tied"))
+    spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(spot)).alias("spots"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
-    near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", "text", F.col("spots.start").alias("at"), F.col("spots.size").alias("size"))
+    parts = ("start", "size", "reach", "doc", "at", "later", "tied")
+    near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", "text", *[F.col(f"spots.{c}").alias(f"s_{c}") for c in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words, per = word_hashes(*buffers(part.column("text")))
-            at, size = part.column("at"), part.column("size")
-            owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(at.offsets)))
-            begin, length = np.asarray(at.flatten(), np.int64), np.asarray(size.flatten(), np.int64)
-            count = np.diff(per)[owner]
+            found = {c: part.column(f"s_{c}").flatten().to_numpy(zero_copy_only=False) for c in parts}
+            found |= {c: found[c].astype(np.int64) for c in ("start", "size", "reach", "at")}
+            owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(part.column("s_start").offsets)))
+            at, count, length = found["start"], np.diff(per)[owner], np.abs(found["size"])
             # the windows that hold the symbol whole; of a longer one, those that it holds or that hold most of it
-            low = np.maximum(np.minimum(begin + length - window, begin - window + span), 0)
-            high = np.minimum(np.maximum(begin, begin + length - span), count - window)
+            low = np.maximum(np.minimum(at + length - window, at - window + span), 0)
+            high = np.minimum(np.maximum(at, at + length - span), count - window)
             ok = high >= low
-            mark = np.zeros(len(words) + 1, np.int64)
+            sure, begin, end = _chains(found, owner, window)
+            mark, known = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
             np.add.at(mark, (per[owner] + low)[ok], 1)
             np.add.at(mark, (per[owner] + high)[ok] + 1, -1)
-            chosen = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            if not len(chosen):
-                continue
-            hashed = _window_hashes(words, window)[chosen]
+            np.add.at(known, per[sure] + begin, 1)
+            np.add.at(known, per[sure] + end + 1, -1)
+            chosen = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (np.cumsum(known[:-1]) == 0))
+            hashed = _ranges_hash(words)(chosen, chosen + window)
             text = np.searchsorted(per, chosen, side="right") - 1
-            pick = pa.array(text)
-            yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), part.column("doc").take(pick), part.column("key").take(pick), pa.array(chosen - per[text], pa.int32())], names=["hash", "doc", "key", "start"])
-
-    windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, start int")
-    place = F.struct("doc", "start")
-    later = windows.withColumn("first", F.min(place).over(Window.partitionBy("hash"))).where(place > F.col("first"))
-    return later.groupBy("doc", "key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-
-
-def _spans(starts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, words after the last, row) of the maximal spans that windows at sorted starts cover."""
-    begin = np.asarray(starts.flatten(), np.int64)
-    row = np.repeat(np.arange(len(starts)), np.diff(np.asarray(starts.offsets)))
+            # a verified run goes along under a key of its own, with the sign of its place turned
+            own = mix(words[per[sure] + begin] + (per[sure] + begin).astype(np.uint64) * _RUN)
+            pick = pa.array(np.concatenate([text, sure]))
+            runs = np.concatenate([chosen - per[text], ~(begin | (end - begin) << 32)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own]).view(np.int64)), part.column("doc").take(pick), part.column("key").take(pick), pa.array(runs)], names=["hash", "doc", "key", "run"])
+
+    windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, run bigint")
+    mine = F.struct("doc", "run")
+    plain = F.when(F.col("run") >= 0, mine)
+    seen = windows.withColumn("first", F.min(plain).over(Window.partitionBy("hash"))).where((F.col("run") < 0) | (mine > F.col("first")))
+    return seen.groupBy("doc", "key").agg(F.collect_set(F.when(F.col("run") < 0, F.bitwise_not("run")).otherwise(F.col("run"))).alias("runs"))
+
+
+def _spans(runs: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, words after the last, row) of the maximal spans that runs of windows cover."""
+    value = np.asarray(runs.flatten(), np.int64)
+    row = np.repeat(np.arange(len(runs)), np.diff(np.asarray(runs.offsets)))
+    begin, stop = value & 0xFFFFFFFF, (value & 0xFFFFFFFF) + (value >> 32)
+    order = np.lexsort((begin, row))
+    begin, stop, row = begin[order], stop[order], row[order]
+    wide = int(stop.max()) + window + 1 if len(stop) else 1
+    reach = np.maximum.accumulate(row * wide + stop + window) - row * wide if len(stop) else stop
     head = np.ones(len(begin), bool)
-    head[1:] = (row[1:] != row[:-1]) | (begin[1:] > begin[:-1] + window)
+    head[1:] = (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])
     tail = np.append(head[1:], True) if len(head) else head
-    return begin[head], begin[tail] + window, row[head]
+    return begin[head], reach[tail], row[head]
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, span: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,10 +201,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, span: int = 8, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, row = _spans(batch.column("starts"), window)
+            a, b, row = _spans(batch.column("runs"), window)
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(b - a, pa.int32())], names=[id_col, "span_start", "span_end", "n_words"])
 
-    return repeated_windows(docs, window, span, id_col, text_col).select("doc", "starts").mapInArrow(run, f"{id_col} {kind}, span_start int, span_end int, n_words int")
+    return repeated_windows(docs, window, span, id_col, text_col).select("doc", "runs").mapInArrow(run, f"{id_col} {kind}, span_start int, span_end int, n_words int")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -167,8 +213,8 @@ def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: st
     A cut reaches from a span's first byte to the next word that stays; a text of which no word stays is removed with its row.
     All columns and rows without repeats stay as they are.
     """
-    doc, key, spots = (unused(c, docs) for c in ("doc", "key", "starts"))
-    found = repeated_windows(docs, window, span, id_col, text_col).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("starts").alias(spots))
+    doc, key, spots = (unused(c, docs) for c in ("doc", "key", "runs"))
+    found = repeated_windows(docs, window, span, id_col, text_col).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("runs").alias(spots))
     joined = docs.join(found, (F.col(id_col) == F.col(doc)) & (F.hash(text_col) == F.col(key)), "left").drop(doc, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
