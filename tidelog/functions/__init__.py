@@ -227,10 +227,48 @@ def char_slice(text: Column, low: Value, high: Value) -> Column:
 
 
 _REGISTRY: dict[str, Callable] = {
-    "if": if_else, "int_add": int_add, "int_mul": int_mul, "int_neg": int_neg, "int_==": int_eq, "int_>=0": is_natural, "list_length": list_length, "list_indexl": list_index, "list_viewl": list_view, "tag_==": tag_eq, "w_wrap": wrap, "w_unwrap": unwrap, "loop": loop,
-    "loop_iter": fold_left, "iter_list": F.explode, "record_get": record_get, "record_keep_fields": record_keep, "record_drop_fields": record_drop, "user_eq": user_eq, "UserId": user_id, "DataId": data_id, "LocEventId": event_id, "EventTypeId": event_type_id, "Timestamp": timestamp,
-    "_+_": int_add, "_-_": int_sub, "_*_": int_mul, "_>=_": ge, "_>_": gt, "_<=_": le, "_<_": lt, "id": identity, "_=>_": pair, "unit": unit, "_++_": natural_add, "int-clamp>int+": clamp_natural, "mk_none": none, "mk_some": some, "mk_some_if": some_if, "opt_unwrap": opt_unwrap, "iter_<": count_up,
-}
+    "DataId": data_id,
+    "EventTypeId": event_type_id,
+    "LocEventId": event_id,
+    "Timestamp": timestamp,
+    "UserId": user_id,
+    "_*_": int_mul,
+    "_++_": natural_add,
+    "_+_": int_add,
+    "_-_": int_sub,
+    "_<=_": le,
+    "_<_": lt,
+    "_=>_": pair,
+    "_>=_": ge,
+    "_>_": gt,
+    "id": identity,
+    "if": if_else,
+    "int-clamp>int+": clamp_natural,
+    "int_==": int_eq,
+    "int_>=0": is_natural,
+    "int_add": int_add,
+    "int_mul": int_mul,
+    "int_neg": int_neg,
+    "iter_<": count_up,
+    "iter_list": F.explode,
+    "list_indexl": list_index,
+    "list_length": list_length,
+    "list_viewl": list_view,
+    "loop": loop,
+    "loop_iter": fold_left,
+    "mk_none": none,
+    "mk_some": some,
+    "mk_some_if": some_if,
+    "opt_unwrap": opt_unwrap,
+    "record_drop_fields": record_drop,
+    "record_get": record_get,
+    "record_keep_fields": record_keep,
+    "tag_==": tag_eq,
+    "unit": unit,
+    "user_eq": user_eq,
+    "w_unwrap": unwrap,
+    "w_wrap": wrap,
+}
 
 
 def lookup(name: str) -> Callable:
