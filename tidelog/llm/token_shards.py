@@ -122,7 +122,7 @@ def sequences(docs: DataFrame, length: int, ranks: str = RANKS, id_col: str = "d
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def training_order(docs: DataFrame, length: int = 512, per_shard: int = 16384, key: int = 20260101, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens) of every sequence, range-partitioned and sorted by slot.
 
     Tokens are computed once and written to the shared folder, which fixes each sequence's index; only they are shuffled, once, and
@@ -191,7 +191,7 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     return ordered.select("shard", "tokens").mapInArrow(run, "shard int, path string, n_sequences bigint, n_bytes bigint")
 
 
-def read_from(folder: str, slot: int, length: int = 512, per_shard: int = 16384, width: int = 2) -> Iterator[np.ndarray]:
+def read_from(folder: str, slot: int, length: int = 512, per_shard: int = 65536, width: int = 2) -> Iterator[np.ndarray]:
     """The sequences from ``slot`` on, in training order: one seek, then sequential reads over the shards."""
     stride, shard = length * width, slot // per_shard
     skip = (slot % per_shard) * stride
