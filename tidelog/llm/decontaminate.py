@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._text import U, buffers, gram_hashes, mix, slices, word_hashes
+from tidelog.llm._text import _power, U, buffers, flat_ranges, gram_hashes, mix, slices, word_hashes
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -72,6 +72,12 @@ class Items:
         sizes = words[some] if len(some) else np.zeros(0, np.int64)
         self.by_size = {int(s): np.flatnonzero(sizes == s) for s in np.unique(sizes)}
         self.least = {s: float(self.total[k].min()) for s, k in self.by_size.items()}
+        self.sizes = sizes
+        # the items that hold each known shingle
+        holder = np.repeat(np.arange(len(sets)), [len(h) for h in self.hashes])
+        place = np.searchsorted(self.known, flat)
+        self.holder = holder[np.argsort(place, kind="stable")]
+        self.holders = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(self.known)))]).astype(np.int64)
         self.index: dict[int, list[dict[int, list[int]]]] = {}
         for s, members in self.by_size.items():
             tables: list[dict[int, list[int]]] = [{} for _ in range(radius + 1)]
@@ -114,22 +120,37 @@ class Items:
             weight[at] = self.weight[spot]
             gained = np.concatenate([[0.0], np.cumsum(weight[:-1])])
             need = self.threshold * min(self.least[s] for s in sizes)
-            for row in np.flatnonzero(full & (gained[offsets[1:]] - gained[offsets[:-1]] >= need - 1e-9)).tolist():
+            # no window gains more than the widest one from the same place on
+            reach = np.minimum(np.arange(len(hashes)) + max(sizes) - n + 1, len(hashes))
+            near = np.zeros(len(full), bool)
+            near[np.searchsorted(offsets, np.flatnonzero(gained[reach] - gained[:-1] >= need - 1e-9), side="right") - 1] = True
+            for row in np.flatnonzero(full & near).tolist():
                 low, high = int(offsets[row]), int(offsets[row + 1])
-                own, sums = hashes[low:high], gained[low : high + 1]
-                yield from ((row, *m) for m in self._windows(own, sums, n, sizes))
-
-    def _windows(self, own: np.ndarray, sums: np.ndarray, n: int, sizes: list[int]) -> Iterator[tuple[object, int, int, float]]:
-        places, spans = [], []
-        for s in sizes:
+                mine = spot[slice(*np.searchsorted(at, (low, high)))]
+                many = self.holders[mine + 1] - self.holders[mine]
+                items = self.holder[flat_ranges(self.holders[mine], many)]
+                # only items of whose weight the document as a whole has enough
+                sums = np.bincount(items, np.repeat(self.weight[mine], many), len(self.ids))
+                able = np.flatnonzero((sums >= self.threshold * self.total - 1e-9) & np.isin(self.sizes, sizes))
+                if len(able):
+                    yield from ((row, *m) for m in self._windows(hashes[low:high], gained[low : high + 1], n, able))
+
+    def _windows(self, own: np.ndarray, sums: np.ndarray, n: int, able: np.ndarray) -> Iterator[tuple[object, int, int, float]]:
+        places, spans, allowed = [], [], set(able.tolist())
+        for s in np.unique(self.sizes[able]).tolist():
             m = s - n + 1
             if len(own) >= m:
-                good = np.flatnonzero(sums[m:] - sums[:-m] >= self.threshold * self.least[s] - 1e-9)
+                good = np.flatnonzero(sums[m:] - sums[:-m] >= self.threshold * self.total[able][self.sizes[able] == s].min() - 1e-9)
                 places.append(good)
                 spans.append(np.full(len(good), m))
         if not places or not sum(map(len, places)):
             return
         start, span = np.concatenate(places), np.concatenate(spans)
+        # of windows with equal shingles the first stands for all
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _power("up", len(own)))])
+        same = mix((run[start + span] - run[start]) * _power("down", len(own) + 1)[start] + span.astype(np.uint64))
+        first = np.sort(np.unique(same, return_index=True)[1])
+        start, span = start[first], span[first]
         heavy = self.weight_of(own)
         prints = np.zeros(len(start), np.uint64)
         for bit in _BITS:
@@ -138,7 +159,7 @@ class Items:
         best: dict[int, tuple[float, int, int]] = {}
         for a, m, mark, row in zip(start.tolist(), span.tolist(), prints.tolist(), blocks_of(prints, self.radius).tolist()):
             tables = self.index[m + n - 1]
-            for k in {k for table, block in zip(tables, row) for k in table.get(block, ())}:
+            for k in {k for table, block in zip(tables, row) for k in table.get(block, ())} & allowed:
                 if (mark ^ int(self.fingerprints[k])).bit_count() <= self.radius and sums[a + m] - sums[a] >= self.threshold * self.total[k] - 1e-9:
                     value = self.similarity(own[a : a + m], k)
                     if value >= self.threshold and (k not in best or value > best[k][0]):
