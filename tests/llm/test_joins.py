@@ -125,8 +125,8 @@ def test_bands_reach_the_recall():
 # --- 5
 
 
-def brute_repeats(rows, window=50):
-    """Words covered by a window that occurs earlier, as spans."""
+def brute_repeats(rows, window=50, first_ones=False):
+    """Words covered by a window that occurs earlier, or by the first one of those, as spans."""
     seen, out = set(), {}
     first = {}
     docs = sorted({(d, t) for d, t in rows if d is not None and t}, key=lambda r: r[0])
@@ -135,9 +135,9 @@ def brute_repeats(rows, window=50):
         for k in range(len(w) - window + 1):
             key = tuple(w[k : k + window])
             if key in first:
-                seen.add((d, k))
+                seen.add(first[key] if first_ones else (d, k))
             else:
-                first[key] = d
+                first[key] = d, k
     for d, t in docs:
         spans = []
         for k in sorted(k for e, k in seen if e == d):
@@ -164,14 +164,16 @@ def passages(small):
 
 def test_repeats_against_brute_force(make, passages, hard_rows):
     rows = passages + [(None if i is None else i + 5000, t) for i, t in hard_rows if i != 4]
-    got = defaultdict(list)
+    got, first = defaultdict(list), defaultdict(list)
     for r in substring_dedup.repeated_spans(make(rows, extra=True)).orderBy("doc_id", "span_start").collect():
         assert r.n_words == r.span_end - r.span_start
-        got[r.doc_id].append((r.span_start, r.span_end))
+        (first if r.kept else got)[r.doc_id].append((r.span_start, r.span_end))
     want = brute_repeats(rows)
     size = lambda spans: {(d, k) for d, ss in spans.items() for a, b in ss for k in range(a, b)}
     assert size(got) <= size(want) and len(size(got)) >= 0.99 * len(size(want))
     assert sum(got[d] == s for d, s in want.items()) >= 0.97 * len(want) and len(want) > 40
+    want = brute_repeats(rows, first_ones=True)
+    assert size(first) <= size(want) and len(size(first)) >= 0.99 * len(size(want))
 
 
 def cut(text, spans):
@@ -185,7 +187,7 @@ def test_cutting(make, passages, hard_rows):
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns
     found = defaultdict(list)
-    for r in substring_dedup.repeated_spans(docs).collect():
+    for r in substring_dedup.repeated_spans(docs).where("not kept").collect():
         found[r.doc_id].append((r.span_start, r.span_end))
     got = Counter((r.doc_id, r.text) for r in out.collect())
     want = Counter()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidelog.llm._session import unused
 from tidelog.llm._text import _power, U, buffers, flat_ranges, lists, mix, slices, word_bounds, word_hashes
 
+_FIRST = 1 << 62
 _RUN, _PAIR, _LONG = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)
 
 
@@ -108,8 +109,8 @@ def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int, reach int, gap bigint")
 
 
-def _chains(spots: dict[str, np.ndarray], row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first start, last start) of windows that symbols verify: a symbol, the words up to the next and that next symbol are as they
+def _chains(spots: dict[str, np.ndarray], row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, last start, first spot) of windows that symbols verify: a symbol, the words up to the next and that next symbol are as they
     are where the first symbol occurs first, and so on, over at least a window."""
     at, size, first_doc, first_at = (spots[c] for c in ("start", "size", "doc", "at"))
     solid = spots["later"] & (size > 0)
@@ -122,11 +123,12 @@ def _chains(spots: dict[str, np.ndarray], row: np.ndarray, window: int) -> tuple
     tail = np.append(head[1:], len(at)) - 1 if len(head) else head
     last = at[tail] + size[tail] - window
     good = solid[head] & (last >= at[head])
-    return row[head][good], at[head][good], last[good]
+    return row[head][good], at[head][good], last[good], head[good]
 
 
 def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, runs): runs of windows that occur earlier in the corpus, in the order (doc, start), as first start + 2**32 * (windows - 1).
+    """(doc, key, runs): runs of windows that occur more than once, as first start + 2**32 * (windows - 1), and _FIRST added where the window
+    doesn't occur earlier in the corpus, in the order (doc, start).
 
     Windows inside a chain of symbols that follow each other in the same way where they occur first are verified by the symbols; the others
     that hold a symbol which occurs again are verified by their own hashes.
@@ -134,12 +136,12 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
     kind = docs.schema[id_col].dataType.simpleString()
     symbols = final_symbols(docs, span, id_col, text_col)
     same, place = Window.partitionBy("name"), F.struct("doc", "start")
-    again = symbols.withColumns({"n": F.count("*").over(same), "first": F.min(F.struct("doc", "start", "gap")).over(same)}).where((F.col("n") > 1) | (F.abs("size") > window))
+    again = symbols.withColumns({"n": F.count("*").over(same), "first": F.min(F.struct("doc", "start", "gap", "key")).over(same)}).where((F.col("n") > 1) | (F.abs("size") > window))
     later, tied = place > F.struct(F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), F.col("gap") == F.col("first.gap")
-    spot = F.struct("start", "size", "reach", F.xxhash64("first.doc").alias("doc"), F.col("first.start").alias("at"), later.alias("later"), tied.alias("tied"))
+    spot = F.struct("start", "size", "reach", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.start").alias("at"), later.alias("later"), tied.alias("tied"))
     spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(spot)).alias("spots"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
-    parts = ("start", "size", "reach", "doc", "at", "later", "tied")
+    parts = ("start", "size", "reach", "doc", "key", "at", "later", "tied")
     near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", "text", *[F.col(f"spots.{c}").alias(f"s_{c}") for c in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +155,7 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
             low = np.maximum(np.minimum(at + length - window, at - window + span), 0)
             high = np.minimum(np.maximum(at, at + length - span), count - window)
             ok = high >= low
-            sure, begin, end = _chains(found, owner, window)
+            sure, begin, end, spot = _chains(found, owner, window)
             mark, known = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
             np.add.at(mark, (per[owner] + low)[ok], 1)
             np.add.at(mark, (per[owner] + high)[ok] + 1, -1)
@@ -162,37 +164,51 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
             chosen = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (np.cumsum(known[:-1]) == 0))
             hashed = _ranges_hash(words)(chosen, chosen + window)
             text = np.searchsorted(per, chosen, side="right") - 1
-            # a verified run goes along under a key of its own, with the sign of its place turned
+            # a verified run goes along under a key of its own, with the sign of its place turned, and so does the one it repeats
             own = mix(words[per[sure] + begin] + (per[sure] + begin).astype(np.uint64) * _RUN)
-            pick = pa.array(np.concatenate([text, sure]))
-            runs = np.concatenate([chosen - per[text], ~(begin | (end - begin) << 32)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own]).view(np.int64)), part.column("doc").take(pick), part.column("key").take(pick), pa.array(runs)], names=["hash", "doc", "key", "run"])
+            pick, long, origin = pa.array(np.concatenate([text, sure])), (end - begin) << 32, pa.array(spot)
+            runs = np.concatenate([chosen - per[text], ~(begin | long), ~(found["at"][spot] | long | _FIRST)])
+            docs_of = pa.concat_arrays([part.column("doc").take(pick), part.column("s_doc").flatten().take(origin)])
+            keys_of = pa.concat_arrays([part.column("key").take(pick), part.column("s_key").flatten().take(origin)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own, mix(own + _PAIR)]).view(np.int64)), docs_of, keys_of, pa.array(runs)], names=["hash", "doc", "key", "run"])
 
     windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, run bigint")
-    mine = F.struct("doc", "run")
-    plain = F.when(F.col("run") >= 0, mine)
-    seen = windows.withColumn("first", F.min(plain).over(Window.partitionBy("hash"))).where((F.col("run") < 0) | (mine > F.col("first")))
-    return seen.groupBy("doc", "key").agg(F.collect_set(F.when(F.col("run") < 0, F.bitwise_not("run")).otherwise(F.col("run"))).alias("runs"))
+    mine, sure, same = F.struct("doc", "run"), F.col("run") < 0, Window.partitionBy("hash")
+    seen = windows.withColumns({"first": F.min(F.when(~sure, mine)).over(same), "last": F.max(F.when(~sure, mine)).over(same)}).where(sure | (F.col("last") > F.col("first")))
+    value = F.when(sure, F.bitwise_not("run")).otherwise(F.col("run") + F.when(mine > F.col("first"), 0).otherwise(_FIRST))
+    return seen.groupBy("doc", "key").agg(F.collect_set(value).alias("runs"))
 
 
-def _spans(runs: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first words, words after the last, row) of the maximal spans that runs of windows cover."""
+def _expand(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, whether it is the first occurrence) of every repeated window, each once; a later occurrence is never a first one."""
     value = np.asarray(runs.flatten(), np.int64)
     row = np.repeat(np.arange(len(runs)), np.diff(np.asarray(runs.offsets)))
-    begin, stop = value & 0xFFFFFFFF, (value & 0xFFFFFFFF) + (value >> 32)
-    order = np.lexsort((begin, row))
-    begin, stop, row = begin[order], stop[order], row[order]
-    wide = int(stop.max()) + window + 1 if len(stop) else 1
-    reach = np.maximum.accumulate(row * wide + stop + window) - row * wide if len(stop) else stop
+    first = value >= _FIRST
+    value = value & (_FIRST - 1)
+    count = (value >> 32) + 1
+    start = flat_ranges(value & 0xFFFFFFFF, count)
+    place = np.repeat(row, count) << 32 | start
+    first = np.repeat(first, count)
+    later = np.unique(place[~first])
+    fresh = np.setdiff1d(place[first], later)
+    every = np.concatenate([later, fresh])
+    return every >> 32, every & 0xFFFFFFFF, np.arange(len(every)) >= len(later)
+
+
+def _spans(runs: pa.Array, window: int, kept: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, words after the last, row) of the maximal spans that later occurrences cover, or with ``kept`` the first ones."""
+    row, begin, first = _expand(runs)
+    row, begin = row[first == kept], begin[first == kept]
     head = np.ones(len(begin), bool)
-    head[1:] = (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])
+    head[1:] = (row[1:] != row[:-1]) | (begin[1:] > begin[:-1] + window)
     tail = np.append(head[1:], True) if len(head) else head
-    return begin[head], reach[tail], row[head]
+    return begin[head], begin[tail] + window, row[head]
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, span: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, span_start, span_end, n_words): the maximal spans, as word positions [start, end), whose every word lies in a run of
-    ``window`` words that occurs earlier, in a lesser doc_id or further left in the same text.
+    """(doc_id, span_start, span_end, n_words, kept): the maximal spans, as word positions [start, end), of runs of ``window`` words that occur
+    more than once. Where ``kept`` is false every word lies in a run that occurs earlier, in a lesser doc_id or further left in the same text; where it is true
+    the runs occur here first. The two kinds may overlap.
 
     Words are compared as they are written; what separates them doesn't matter. Texts of fewer words than the window have no spans, nor
     have null texts; rows with a null id are left out. Rows that repeat an id and text are one document. Other columns are ignored.
@@ -201,10 +217,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, span: int = 8, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, row = _spans(batch.column("runs"), window)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(b - a, pa.int32())], names=[id_col, "span_start", "span_end", "n_words"])
+            for kept in (False, True):
+                a, b, row = _spans(batch.column("runs"), window, kept)
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(b - a, pa.int32()), pa.array(np.full(len(a), kept))], names=[id_col, "span_start", "span_end", "n_words", "kept"])
 
-    return repeated_windows(docs, window, span, id_col, text_col).select("doc", "runs").mapInArrow(run, f"{id_col} {kind}, span_start int, span_end int, n_words int")
+    return repeated_windows(docs, window, span, id_col, text_col).select("doc", "runs").mapInArrow(run, f"{id_col} {kind}, span_start int, span_end int, n_words int, kept boolean")
 
 
 def without_repeats(docs: DataFrame, window: int = 50, span: int = 8, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -265,12 +282,12 @@ with d as (
   select distinct doc_id, list_filter(string_split_regex(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as ws from documents where doc_id is not null
 ), p as (
   select doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') as win from (select doc_id, ws, unnest(range(0, len(ws) - 49)) as i from d where len(ws) >= 50)
-), later as (
-  select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as nth from p) where nth > 1
+), again as (
+  select doc_id, i, nth = 1 as kept from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as nth, count(*) over (partition by win) as n from p) where n > 1
 ), islands as (
-  select doc_id, i, sum(fresh) over (partition by doc_id order by i) as island
-  from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from later)
+  select doc_id, i, kept, sum(fresh) over (partition by doc_id, kept order by i) as island
+  from (select doc_id, i, kept, case when i <= lag(i) over (partition by doc_id, kept order by i) + 50 then 0 else 1 end as fresh from again)
 )
-select doc_id, cast(min(i) as int) as span_start, cast(max(i) + 50 as int) as span_end, cast(max(i) + 50 - min(i) as int) as n_words
-from islands group by doc_id, island
+select doc_id, cast(min(i) as int) as span_start, cast(max(i) + 50 as int) as span_end, cast(max(i) + 50 - min(i) as int) as n_words, kept
+from islands group by doc_id, kept, island
 """
