@@ -128,7 +128,8 @@ class EventLog:
 
     def append(self, events: DataFrame) -> None:
         shaped = events.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._schema()])
-        shaped.repartition("msg_type").write.mode("append").partitionBy("msg_type").parquet(self.path)
+        # balanced by size, so a hot type is many files and a rare one is not
+        shaped.hint("rebalance", "msg_type").write.mode("append").partitionBy("msg_type").parquet(self.path)
 
     def _schema(self):
         from pyspark.sql import types as T
