@@ -59,10 +59,6 @@ class _View:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-
     def _epochs(self, name: str) -> list[int]:
         base = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -86,16 +82,15 @@ class LinearView(_View):
         self.keys, self.value, self.total = list(keys), value, total
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        delta = batch.groupBy(*self.keys).agg(F.sum(F.col(self.value) * F.col("weight")).alias(self.total))
-        past = [e for e in self._epochs("totals") if e < epoch]
-        if past:
-            before = self._read("totals", past[-1], delta.schema)
-            delta = before.unionByName(delta).groupBy(*self.keys).agg(F.sum(self.total).alias(self.total))
-        self._write(delta, "totals", epoch)
+        """An epoch costs as much as its batch: only the delta is aggregated and written."""
+        self._write(batch.groupBy(*self.keys).agg(F.sum(F.col(self.value) * F.col("weight")).alias(self.total)), "deltas", epoch)
 
     def current(self) -> DataFrame | None:
-        done = self._epochs("totals")
-        return self.spark.read.parquet(f"{self.path}/totals/epoch={done[-1]}") if done else None
+        done = self._epochs("deltas")
+        if not done:
+            return None
+        deltas = self.spark.read.parquet(*[f"{self.path}/deltas/epoch={e}" for e in done])
+        return deltas.groupBy(*self.keys).agg(F.sum(self.total).alias(self.total))
 
 
 class FoldView(_View):
@@ -108,27 +103,33 @@ class FoldView(_View):
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """``batch`` has the events' columns and ``weight``; a retracted event leaves the log and its group is replayed from there."""
         self._write(batch, "feed", epoch)
-        epochs = [e for e in self._epochs("feed") if e <= epoch]
         schema = batch.schema
-        feed = self.spark.read.schema(schema).parquet(*[f"{self.path}/feed/epoch={e}" for e in epochs])
+        feed = self.spark.read.schema(schema).parquet(*[f"{self.path}/feed/epoch={e}" for e in self._epochs("feed") if e <= epoch])
         columns = [c for c in batch.columns if c != "weight"]
         since = self._read("feed", epoch, schema).groupBy(*self.group).agg(F.min(F.struct(*self.order)).alias("since_ord"))
         groups = since.select(*self.group)
         events = feed.join(groups, self.group, "left_semi").groupBy(*columns).agg(F.sum("weight").alias("weight")).where("weight > 0").drop("weight")
         types = {f.name: f.dataType.simpleString() for f in schema}
         shape = ", ".join([f"`{c}` {types[c]}" for c in self.group] + [f"key {self.key_type}"] + [f"`{c}` {types[c]}" for c in self.order] + [f"value {self.value_type}"])
-        past = [e for e in self._epochs("timeline") if e < epoch]
-        before = self._read("timeline", past[-1], shape) if past else self.spark.createDataFrame([], shape)
+        latest = self._latest([e for e in self._epochs("timeline") if e < epoch])
+        before = self.spark.createDataFrame([], shape) if latest is None else latest.join(groups, self.group, "left_semi")
         after = stategraph.replay(events, before, since, self.handler, self.group, self.order, self.key_type, self.value_type)
+        self._write(groups, "groups", epoch)
         self._write(after, "timeline", epoch)
         now = self._read("timeline", epoch, shape)
-        ord_of = F.struct(*self.order).alias("ord")
-        touched = lambda df: df.join(groups, self.group, "left_semi").select(*self.group, "key", ord_of, "value")
-        self._write(stategraph.effective_changes(touched(before), touched(now), [*self.group, "key"]), "changes", epoch)
+        keyed = lambda df: df.select(*self.group, "key", F.struct(*self.order).alias("ord"), "value")
+        self._write(stategraph.effective_changes(keyed(before), keyed(now), [*self.group, "key"]), "changes", epoch)
+
+    def _latest(self, epochs: list[int]) -> DataFrame | None:
+        """Each group's timeline of the last epoch that touched it: an epoch writes the groups of its batch and no others."""
+        if not epochs:
+            return None
+        read = lambda name: self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
+        last = read("groups").groupBy(*self.group).agg(F.max("epoch").alias("epoch"))
+        return read("timeline").join(last, [*self.group, "epoch"], "left_semi").drop("epoch")
 
     def timeline(self) -> DataFrame | None:
-        done = self._epochs("timeline")
-        return self.spark.read.parquet(f"{self.path}/timeline/epoch={done[-1]}") if done else None
+        return self._latest(self._epochs("timeline"))
 
     def changes(self, epoch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/changes/epoch={epoch}")
