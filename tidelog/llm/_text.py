@@ -106,20 +106,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return range_hash(data, starts, ends), per_text
 
 
+def _gram_step(state: np.ndarray, term: np.ndarray, k: int) -> np.ndarray:
+    state = (state + term) * U(0xD6E8FEB86659FD93 + 2 * k)
+    state ^= state >> U(29)
+    return state
+
+
 def gram_hashes(words: np.ndarray, per_text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every n-gram of words within each text, and offsets. A text of 1 to n-1 words is one gram of all its words."""
     counts = np.diff(per_text)
     grams = np.where(counts >= n, counts - n + 1, (counts > 0).astype(counts.dtype))
-    out_offsets = np.concatenate([[0], np.cumsum(grams)])
-    first = np.repeat(per_text[:-1] - out_offsets[:-1], grams) + np.arange(out_offsets[-1])
-    size = np.repeat(np.minimum(counts, n), grams)
-    out = np.zeros(len(first), dtype=np.uint64)
-    for k in range(n):
-        have = k < size
-        term = words[np.minimum(first + k, max(len(words) - 1, 0))] if len(words) else out
-        np.copyto(out, (out + term) * U(0xD6E8FEB86659FD93 + 2 * k), where=have)
-        np.copyto(out, out ^ (out >> U(29)), where=have)
-    return mix(out), out_offsets
+    offsets = np.concatenate([[0], np.cumsum(grams)])
+    here = np.arange(len(words)) + n <= np.repeat(per_text[1:], counts)
+    every = np.zeros(len(words), np.uint64)
+    fit = max(len(words) - n + 1, 0)
+    state = every[:fit]
+    for k in range(n if fit else 0):
+        state = _gram_step(state, words[k : k + fit], k)
+    every[:fit] = state
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        first, size, state = per_text[short], counts[short], np.zeros(len(short), np.uint64)
+        for k in range(n - 1):
+            more = size > k
+            state[more] = _gram_step(state[more], words[first[more] + k], k)
+        every[first], here[first] = state, True
+    return mix(every[here]), offsets
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -136,8 +148,8 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
 class Memo:
     """Codes of strings that recur: each new string is encoded once, and its ids stay in flat arrays until too many are kept."""
 
-    def __init__(self, encode_many, most: int = 400_000):
-        self.encode_many, self.most = encode_many, most
+    def __init__(self, encode_many, most: int = 400_000, finish=None):
+        self.encode_many, self.most, self.finish = encode_many, most, finish
         self._clear()
 
     def _clear(self) -> None:
@@ -155,6 +167,8 @@ class Memo:
             coded = self.encode_many(new)
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(sizes.sum()))
+            if self.finish:
+                flat = self.finish(flat, new, np.cumsum(sizes))
             at[fresh] = np.arange(len(new)) + len(self.place)
             self.place.update(zip(new, at[fresh].tolist()))
             self.ids = np.concatenate([self.ids, flat])

@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._text import buffers, flat_ranges, lists, slices
+from tidelog.llm._text import Memo, buffers, flat_ranges, lists, slices
 
 MODEL = os.environ.get("TIDELOG_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁".encode()
-_CACHE = 400_000
 
 
 class CharacterMap:
@@ -128,7 +127,7 @@ class Codec:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         spec.name = "identity"
         self.cutter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.known: dict[str, tuple] = {}
+        self.memo = Memo(lambda new: self.cutter.encode(new, num_threads=1), finish=self._measured)
         surfaces = [b" " * 5 if i == self.unk else b"" if self.silent[i] else bytes([self.byte[i]]) if self.byte[i] >= 0 else p.replace(MARK, b" ") for i, p in enumerate(self.pieces)]
         if self.unk >= 0:
             surfaces[self.unk] = b" \xe2\x81\x87 "
@@ -202,12 +201,10 @@ class Codec:
         edges = np.flatnonzero(cut)
         stretch = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(norm))
         coded = stretch.dictionary_encode()
-        ids, lens, per = self._look_up(coded.dictionary.to_pylist())
-        code = coded.indices.to_numpy()
-        count = per[code + 1] - per[code]
-        where = flat_ranges(per[code], count)
-        ids = ids[where]
-        size = lens[where]
+        code = self.memo(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        ids = self.memo.ids[flat_ranges(self.memo.ends[code], self.memo.ends[code + 1] - self.memo.ends[code])]
+        size = ids >> 32
+        ids &= 0xFFFFFFFF
         stop = np.cumsum(size)
         origin = np.append(source, len(data))
         tokens = np.searchsorted(stop, bounds, side="left") + 1
@@ -221,28 +218,14 @@ class Codec:
         base = np.repeat(offsets[:-1], np.diff(tokens))
         return ids, start - base, end - base, tokens
 
-    def _look_up(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and normalised lengths of the pieces of each stretch, one after the other, and offsets."""
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        fresh = [s for s in stretches if s not in known]
-        if fresh:
-            for s, got in zip(fresh, self.cutter.encode(fresh, num_threads=1)):
-                known[s] = (got, None)
-            if self.unk >= 0:
-                for s in fresh:
-                    if self.unk in known[s][0]:
-                        proto = self.cutter.encode(s, return_type="proto")
-                        known[s] = ([p.id for p in proto.pieces], [len(p.surface.encode()) if p.id == self.unk else self.size[p.id] for p in proto.pieces])
-        found = [known[s] for s in stretches]
-        per = np.concatenate([[0], np.cumsum(np.fromiter((len(f[0]) for f in found), np.int64, len(found)))])
-        ids = np.fromiter((i for f in found for i in f[0]), np.int64, int(per[-1]))
+    def _measured(self, ids: np.ndarray, stretches: list[str], ends: np.ndarray) -> np.ndarray:
+        """Ids with their normalised lengths in the upper half; an unknown piece is as long as what it stands for."""
         lens = self.size[ids]
-        for k, f in enumerate(found):
-            if f[1] is not None:
-                lens[per[k] : per[k + 1]] = f[1]
-        return ids, lens, per
+        if self.unk >= 0:
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(ids == self.unk), side="right")).tolist():
+                pieces = self.cutter.encode(stretches[k], return_type="proto").pieces
+                lens[ends[k] - len(pieces) : ends[k]] = [len(p.surface.encode()) if p.id == self.unk else self.size[p.id] for p in pieces]
+        return ids | lens << 32
 
     def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the decoded texts: word marks become spaces, the leading one that encoding adds goes."""
@@ -282,7 +265,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches, text_col, 2 << 20):
+        for part in slices(batches, text_col, 1 << 19):
             text = part.column(text_col)
             data, offsets = buffers(text)
             ids, start, end, per = own.encode_flat(data, offsets)
