@@ -151,8 +151,9 @@ def doc_content(attaches: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
     """
     edits = attaches.where("not is_merge")
     tree = text.anchors(edits)
-    pairs = attaches.select("doc", "branch").distinct()
-    known = members.join(pairs, "branch").select("doc", F.lit("invited").alias("dep"), F.concat_ws("|", F.col("branch").cast("string"), F.col("key").cast("string")).alias("dep_key"), F.col("value").alias("dep_value"), *ORDER)
+    # a document needs the membership of its own authors only
+    authors = attaches.select("doc", "branch", F.col("user").alias("key")).distinct()
+    known = members.join(authors, ["branch", "key"]).select("doc", F.lit("invited").alias("dep"), F.concat_ws("|", F.col("branch").cast("string"), F.col("key").cast("string")).alias("dep_key"), F.col("value").alias("dep_value"), *ORDER)
 
     def run(events: pd_frame, dependencies: pd_frame) -> pd_frame:
         import pandas as pd
