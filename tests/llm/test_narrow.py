@@ -359,6 +359,32 @@ def test_contamination_edges(spark, make, hard_rows):
     assert decontaminate.clean(make(hard_rows), bench.limit(0)).count() == len(hard_rows)
 
 
+def brute_short(docs, items, threshold=0.6):
+    """Every item against every document of fewer words, whole."""
+    bag = lambda w: Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    bags = {i: bag(t.lower().split()) for i, t in items}
+    df = Counter(g for b in bags.values() for g in b)
+    weight = lambda g: np.log1p(len(bags) / df.get(g, 1))
+    size = {i: len(t.split()) for i, t in items}
+    return {(d, i) for d, t in docs for i, b in bags.items() if 3 <= len(t.split()) < size[i] and weighted_jaccard(bag(t.lower().split()), b, weight) >= threshold}
+
+
+def test_documents_shorter_than_the_item(spark, make):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        rows += [(10 * k, " ".join(w[:-1])), (10 * k + 1, " ".join(w[3:])), (10 * k + 2, " ".join(w[:9] + w[10:])), (10 * k + 3, " ".join(w[: len(w) // 2]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminations(make(rows), bench).collect()
+    got, want = {(r.doc_id, r.item_id) for r in found}, brute_short(rows, items)
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 2 * len(items)
+    texts = dict(rows)
+    assert all(r.start_word == 0 and r.n_words == len(texts[r.doc_id].split()) for r in found)
+    left = {r.doc_id for r in decontaminate.clean(make(rows), bench).collect()}
+    assert left == set(texts) - {d for d, _ in got}
+
+
 def test_multi_index_finds_everything_within_the_radius():
     draw = np.random.default_rng(4)
     a = draw.integers(0, 2**63, 300, dtype=np.uint64)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows of each item's size.
 
-A document window has as many words as the item it is held against. Windows and items have 64-bit SimHash fingerprints over weighted
+A document window has as many words as the item it is held against; a document of fewer words is one window as a whole. Windows and items have 64-bit SimHash fingerprints over weighted
 word shingles; a multi-index of radius + 1 blocks finds every item within the radius (by the pigeonhole principle one block is equal),
 and the exact weighted Jaccard similarity of the shingle multisets verifies. Before that, positions whose shingles can't reach the
 threshold by weight are skipped, which loses nothing: similarity at least t needs shared weight at least t times the item's.
@@ -136,36 +136,37 @@ class Items:
                     yield from ((row, *m) for m in self._windows(hashes[low:high], gained[low : high + 1], n, able))
 
     def _windows(self, own: np.ndarray, sums: np.ndarray, n: int, able: np.ndarray) -> Iterator[tuple[object, int, int, float]]:
-        places, spans, allowed = [], [], set(able.tolist())
+        places, sizes, allowed = [], [], set(able.tolist())
         for s in np.unique(self.sizes[able]).tolist():
-            m = s - n + 1
-            if len(own) >= m:
-                good = np.flatnonzero(sums[m:] - sums[:-m] >= self.threshold * self.total[able][self.sizes[able] == s].min() - 1e-9)
-                places.append(good)
-                spans.append(np.full(len(good), m))
-        if not places or not sum(map(len, places)):
+            # a document shorter than the item is held against it whole
+            m = min(s - n + 1, len(own))
+            good = np.flatnonzero(sums[m:] - sums[:-m] >= self.threshold * self.total[able][self.sizes[able] == s].min() - 1e-9)
+            places.append(good)
+            sizes.append(np.full(len(good), s))
+        if not sum(map(len, places)):
             return
-        start, span = np.concatenate(places), np.concatenate(spans)
+        start, size = np.concatenate(places), np.concatenate(sizes)
+        span = np.minimum(size - n + 1, len(own))
         # of windows with equal shingles the first stands for all
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _power("up", len(own)))])
-        same = mix((run[start + span] - run[start]) * _power("down", len(own) + 1)[start] + span.astype(np.uint64))
+        same = mix((run[start + span] - run[start]) * _power("down", len(own) + 1)[start] + size.astype(np.uint64))
         first = np.sort(np.unique(same, return_index=True)[1])
-        start, span = start[first], span[first]
+        start, span, size = start[first], span[first], size[first]
         heavy = self.weight_of(own)
         prints = np.zeros(len(start), np.uint64)
         for bit in _BITS:
             run = np.concatenate([[0.0], np.cumsum(np.where((own >> bit) & U(1) == 1, heavy, -heavy))])
             prints |= (run[start + span] - run[start] > 1e-9).astype(np.uint64) << bit
         best: dict[int, tuple[float, int, int]] = {}
-        for a, m, mark, row in zip(start.tolist(), span.tolist(), prints.tolist(), blocks_of(prints, self.radius).tolist()):
-            tables = self.index[m + n - 1]
+        for a, m, s, mark, row in zip(start.tolist(), span.tolist(), size.tolist(), prints.tolist(), blocks_of(prints, self.radius).tolist()):
+            tables = self.index[s]
             for k in {k for table, block in zip(tables, row) for k in table.get(block, ())} & allowed:
                 if (mark ^ int(self.fingerprints[k])).bit_count() <= self.radius and sums[a + m] - sums[a] >= self.threshold * self.total[k] - 1e-9:
                     value = self.similarity(own[a : a + m], k)
                     if value >= self.threshold and (k not in best or value > best[k][0]):
                         best[k] = value, a, m + n - 1
-        for k, (value, a, size) in sorted(best.items()):
-            yield self.ids[k], a, size, value
+        for k, (value, a, count) in sorted(best.items()):
+            yield self.ids[k], a, count, value
 
 
 def _parts(benchmark: DataFrame, threshold: float, n: int, most_bytes: int) -> Iterator[Items]:
@@ -181,7 +182,7 @@ def _parts(benchmark: DataFrame, threshold: float, n: int, most_bytes: int) -> I
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, n: int = 3, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and benchmark item the best window that reaches the threshold.
 
-    Of equal windows the leftmost of the smallest size. Words are lower-case, with their punctuation. Null and blank texts and items match nothing;
+    Of equal windows the leftmost of the smallest size; a document of fewer words than the item is one window. Words are lower-case, with their punctuation. Null and blank texts and items match nothing;
     rows without id are left out, and an item id that repeats stands for its least text. Repeated documents each give their rows; other
     columns are ignored. Documents are read in one narrow pass for each ``most_bytes`` of benchmark text, without a shuffle.
     """
