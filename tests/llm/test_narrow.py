@@ -385,6 +385,29 @@ def test_documents_shorter_than_the_item(spark, make):
     assert left == set(texts) - {d for d, _ in got}
 
 
+def test_other_punctuation_is_the_same_passage(spark, make):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()] + [(-1, "?! -- ...")]
+    bare = str.maketrans("", "", "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+    strip = lambda t: " ".join(t.translate(bare).split())
+    rows, filler = [(-1, "so ?! -- ... it"), (-2, "so it - ?!")], "zz yy xx - ww " * 30
+    for k, (_, t) in enumerate(items[:-1]):
+        w = t.split()
+        forms = [strip(t), t.replace(",", ""), " - ".join(w), "; ".join(w), " ".join(w[:9] + w[10:]).upper() + " !"]
+        rows += [(20 * k + 2 * c + own, f if own else f"{filler}{f} {filler}") for c, f in enumerate(forms) for own in (0, 1)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = decontaminate.contaminations(make(rows), bench).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    plain_items, plain_rows = [(i, strip(t)) for i, t in items[:-1]], [(d, strip(t)) for d, t in rows]
+    want = brute_contaminations(plain_rows, plain_items) | brute_short(plain_rows, plain_items) | {(-1, -1)}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 10 * len(items) - 10
+    texts, whole = dict(rows), dict(items)
+    for r in found:  # positions are those of the text as it is written
+        passage = texts[r.doc_id].split()[r.start_word : r.start_word + r.n_words]
+        assert len(passage) == r.n_words and (r.similarity < 1 or strip(" ".join(passage)).lower() == strip(whole[r.item_id]).lower())
+    assert sum(r.similarity == 1 for r in found) >= 8 * (len(items) - 1)
+    assert {r.doc_id for r in decontaminate.clean(make(rows), bench).collect()} == set(texts) - {d for d, _ in got}
+
+
 def test_multi_index_finds_everything_within_the_radius():
     draw = np.random.default_rng(4)
     a = draw.integers(0, 2**63, 300, dtype=np.uint64)

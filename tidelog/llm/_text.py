@@ -15,6 +15,7 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+PUNCTUATION = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _BYTE = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 2**64)

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows of each item's size.
 
 A document window has as many words as the item it is held against; a document of fewer words is one window as a whole. Windows and items have 64-bit SimHash fingerprints over weighted
-word shingles; a multi-index of radius + 1 blocks finds every item within the radius (by the pigeonhole principle one block is equal),
+shingles of words without punctuation; a multi-index of radius + 1 blocks finds every item within the radius (by the pigeonhole principle one block is equal),
 and the exact weighted Jaccard similarity of the shingle multisets verifies. Before that, positions whose shingles can't reach the
 threshold by weight are skipped, which loses nothing: similarity at least t needs shared weight at least t times the item's.
 """
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._text import _power, U, buffers, flat_ranges, gram_hashes, mix, slices, word_hashes
+from tidelog.llm._text import PUNCTUATION, _power, U, buffers, flat_ranges, gram_hashes, mix, slices, word_bounds, word_hashes
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -43,18 +43,35 @@ def simhash(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.
     return out
 
 
-def _shingles(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _words(text: pa.Array, bare: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words and each text's range of words; with ``bare`` without ASCII punctuation, and a word of that alone is none."""
+    data, offsets = buffers(pc.utf8_lower(text))
+    if bare:
+        keep = ~PUNCTUATION[data]
+        data, offsets = data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    return word_hashes(data, offsets)
+
+
+def _written(text: pa.Array) -> np.ndarray:
+    """Which of a text's words each of its words without punctuation is."""
+    data, offsets = buffers(text)
+    starts, ends, _ = word_bounds(data, offsets)
+    kept = np.concatenate([[0], np.cumsum(~PUNCTUATION[data])])
+    return np.flatnonzero(kept[ends] > kept[starts])
+
+
+def _shingles(text: pa.Array, n: int, bare: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingles, offsets, word counts)."""
-    words, per = word_hashes(*buffers(pc.utf8_lower(text)))
+    words, per = _words(text, bare)
     return *gram_hashes(words, per, n), np.diff(per)
 
 
 class Items:
     """The benchmark as arrays: items by size, their shingles, weights, fingerprints and block index."""
 
-    def __init__(self, ids: list, text: pa.Array, threshold: float, n: int, radius: int):
-        self.threshold, self.n, self.radius = threshold, n, radius
-        hashes, offsets, words = _shingles(text, n)
+    def __init__(self, ids: list, text: pa.Array, threshold: float, n: int, radius: int, bare: bool = True):
+        self.threshold, self.n, self.radius, self.bare = threshold, n, radius, bare
+        hashes, offsets, words = _shingles(text, n, bare)
         some = [k for k in range(len(ids)) if words[k]]
         sets = [np.unique(hashes[offsets[k] : offsets[k + 1]], return_counts=True) for k in some]
         self.ids = [ids[k] for k in some]
@@ -104,8 +121,7 @@ class Items:
 
     def find(self, text: pa.Array) -> Iterator[tuple[int, object, int, int, float]]:
         """(row, item id, first word, words, similarity): the best window of each document and item that reaches the threshold."""
-        lower = pc.utf8_lower(text)
-        words, per = word_hashes(*buffers(lower))
+        words, per = _words(text, self.bare)
         for n in sorted({min(self.n, s) for s in self.by_size}):
             sizes = [s for s in self.by_size if min(self.n, s) == n]
             # shingle k of a text begins at its word k; a text too short for one has no window of these sizes
@@ -133,7 +149,12 @@ class Items:
                 sums = np.bincount(items, np.repeat(self.weight[mine], many), len(self.ids))
                 able = np.flatnonzero((sums >= self.threshold * self.total - 1e-9) & np.isin(self.sizes, sizes))
                 if len(able):
-                    yield from ((row, *m) for m in self._windows(hashes[low:high], gained[low : high + 1], n, able))
+                    found = list(self._windows(hashes[low:high], gained[low : high + 1], n, able))
+                    at_word = _written(text.slice(row, 1)) if found and self.bare else None
+                    for item, a, count, value in found:
+                        if at_word is not None:  # as the document counts its words, with those of punctuation alone
+                            a, count = int(at_word[a]), int(at_word[a + count - 1] - at_word[a]) + 1
+                        yield row, item, a, count, value
 
     def _windows(self, own: np.ndarray, sums: np.ndarray, n: int, able: np.ndarray) -> Iterator[tuple[object, int, int, float]]:
         places, sizes, allowed = [], [], set(able.tolist())
@@ -176,13 +197,18 @@ def _parts(benchmark: DataFrame, threshold: float, n: int, most_bytes: int) -> I
     count = max(1, -(-size // most_bytes))
     for k in range(count):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).toArrow().sort_by("item_id")
-        yield Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), threshold, n, radius_for(threshold))
+        ids, text = part.column("item_id"), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string())
+        none = pa.array(np.diff(_words(text, True)[1]) == 0)
+        yield Items(ids.filter(pc.invert(none)).to_pylist(), text.filter(pc.invert(none)), threshold, n, radius_for(threshold))
+        if np.diff(_words(text.filter(none), False)[1]).any():  # items of punctuation alone are held against words as they are written
+            yield Items(ids.filter(none).to_pylist(), text.filter(none), threshold, n, radius_for(threshold), bare=False)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, n: int = 3, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): for each document and benchmark item the best window that reaches the threshold.
 
-    Of equal windows the leftmost of the smallest size; a document of fewer words than the item is one window. Words are lower-case, with their punctuation. Null and blank texts and items match nothing;
+    Of equal windows the leftmost of the smallest size; a document of fewer words than the item is one window. Words are lower-case and without ASCII
+    punctuation, but for an item of punctuation alone; positions count the words of the text as it is written. Null and blank texts and items match nothing;
     rows without id are left out, and an item id that repeats stands for its least text. Repeated documents each give their rows; other
     columns are ignored. Documents are read in one narrow pass for each ``most_bytes`` of benchmark text, without a shuffle.
     """
