@@ -289,6 +289,31 @@ def test_no_pairs_keep_all_texts(spark, make, hard_rows):
     assert quality.classify(make([]), labels).count() == 0
 
 
+def fair_and_poor(n, poor):
+    draw = random.Random(4)
+    fair = lambda: " ".join(draw.choice(("river", "stone", "music", "garden", "letter", "winter", "reads", "walks", "slowly", "and")) for _ in range(draw.randint(20, 60)))
+    return [" ".join(["BUY!!!", "pills", "|", "$$$", "now"] * draw.randint(4, 9)) if k in poor else fair() for k in range(n)]
+
+
+def test_few_of_a_kind_are_told_apart():
+    for n, poor in ((200, {7}), (200, {7, 90}), (200, {3, 4, 150}), (2, {1}), (30, set(range(30)) - {5})):
+        texts, good = fair_and_poor(n, poor), np.array([k not in poor for k in range(n)])
+        for seed in range(4):
+            ranker = quality.fit(*quality.features(pa.array(texts)), good, seed=seed)
+            keep = ranker.score(pa.array(texts)) >= ranker.threshold
+            assert not keep[~good].any() and keep[good].mean() > 0.95
+    assert quality.fit(*quality.features(pa.array(texts)), np.ones(n, bool)).threshold == -np.inf
+
+
+def test_sample_holds_both_kinds(spark, make):
+    # the poor documents are those whose hashed ids come last, outside a sample of the first ones
+    order = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    poor = set(order[-6:])
+    labels = spark.createDataFrame([(k, int(k not in poor), 0) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    rows = quality.classify(make(list(enumerate(fair_and_poor(400, poor)))), labels, most_labelled=80).collect()
+    assert not any(r.keep for r in rows if r.doc_id in poor) and np.mean([r.keep for r in rows if r.doc_id not in poor]) > 0.95
+
+
 # --- 9
 
 
