@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -281,6 +282,61 @@ def test_scores_are_the_sum_of_weights(make, hard_rows):
     assert stay.columns == docs.columns and stay.count() == sum(r.keep for r in rows)
 
 
+def brute_dense(text):
+    """The dense measures from their definitions, in plain Python."""
+    low = text.lower()
+    words = []
+    for w in filter(None, re.split(r"[ \t\n\x0b\f\r]+", low)):
+        for _ in range(2):
+            if len(w.encode()) > 1 and w[-1] in ".,;:!?\"'()":
+                w = w[:-1]
+        words.append(w)
+    raw, n = text.encode(), max(len(words), 1)
+    of = lambda chars: sum(chr(c) in chars for c in raw) / max(len(raw), 1)
+    symbols = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in ".,;:'\"!?-()")
+    upper, digit, mark, stop = of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("0123456789"), of(symbols), of(".,;:!?")
+    stutter = sum(a == b for a, b in zip(words, words[1:])) / n
+    runs = [tuple(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [tuple(words)] * bool(words)
+    return [1, np.log1p(len(words)), len(text.lower().encode()) / n / 10, stutter, upper, digit, mark, stop, min(upper * 5, 1), min(stutter * 20, 1), min(mark * 50, 1), min(stop * 50, 1), sum(len(w.encode()) == 1 for w in words) / n, (len(runs) - len(set(runs))) / max(len(runs), 1)]
+
+
+def test_features_against_brute_force_in_any_company(small, hard_rows):
+    texts = [t for _, t in hard_rows if t is not None] + ["spam", "spam", "spam spam (spam)."] + [r.text for r in small.collect()]
+    dense, present, per = quality.features(pa.array(texts))
+    names = {}
+    for k, t in enumerate(texts):
+        alone = quality.features(pa.array([t]))
+        assert (alone[0][0] == dense[k]).all() and (alone[1] == present[per[k] : per[k + 1]]).all()
+        assert np.allclose(dense[k], brute_dense(t), atol=1e-12)
+        if len(t) < 400:  # the hashed features of a text are those of its words, taken one by one
+            own = set(filter(None, re.split(r"[ \t\n\x0b\f\r]+", t)))
+            for w in own - set(names):
+                names[w] = set(quality.features(pa.array([w]))[1].tolist())
+            assert set(present[per[k] : per[k + 1]].tolist()) == set().union(*(names[w] for w in own))
+
+
+def test_fit_is_at_the_least_loss():
+    """Beside the pair loss of every pair, computed one by one, moving any weight that was learned doesn't help."""
+    texts, good = fair_and_poor(80, set(range(0, 80, 3))), np.array([k % 3 > 0 for k in range(80)])
+    ranker = quality.fit(*quality.features(pa.array(texts)), good)
+    s = ranker.score(pa.array(texts))
+    loss = lambda v: np.mean([np.log1p(np.exp(b - a)) for a in v[good] for b in v[~good]])
+    assert loss(s) < 0.1 and abs(loss(s * 0) - np.log(2)) < 1e-9
+    dense = quality.features(pa.array(texts))[0]
+    for k in np.flatnonzero(ranker.dense):
+        assert loss(s) <= loss(s - ranker.dense[k] * dense[:, k]) + 1e-3
+
+
+def test_labels_that_repeat_and_texts_that_repeat(spark, make):
+    rows = list(enumerate(fair_and_poor(60, set(range(0, 60, 4)))))
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    once = quality.train(make(rows), labels)
+    again = quality.train(make(rows * 3 + [(1, "zz " * 300_000)]), labels.union(labels))
+    assert again.threshold == once.threshold and (again.hashed == once.hashed).all() and (again.dense == once.dense).all()
+    long = quality.train(make(rows + [(60, "zz yy " * 150_000)]), labels.union(spark.createDataFrame([(60, 0, 0)], labels.schema)))
+    assert [r.keep for r in quality.scored(make([(60, "zz yy " * 150_000)]), long).collect()] == [False]
+
+
 def test_no_pairs_keep_all_texts(spark, make, hard_rows):
     labels = spark.createDataFrame([(4, 1, 0), (None, 0, 1), (6, None, None)], "doc_id bigint, quality int, toxic int")
     for known in (labels, labels.limit(0)):
@@ -332,9 +388,10 @@ def test_chat_examples(spark):
 # --- 10
 
 
-def weighted_jaccard(a, b, weight):
-    keys = set(a) | set(b)
-    return sum(weight(k) * min(a[k], b[k]) for k in keys) / sum(weight(k) * max(a[k], b[k]) for k in keys)
+def weighted_jaccard(window, item, weight):
+    """What the item hasn't got weighs as a shingle of a single item, ``weight(None)``."""
+    of = {k: weight(k) if k in item else weight(None) for k in set(window) | set(item)}
+    return sum(w * min(window[k], item[k]) for k, w in of.items()) / sum(w * max(window[k], item[k]) for k, w in of.items())
 
 
 def brute_contaminations(docs, items, threshold=0.6):
@@ -368,8 +425,6 @@ def test_contaminations_against_brute_force(spark, make, small):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(make(rows, extra=True).drop("item_id"), bench).collect()}
     want = brute_contaminations(rows, items)
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 30
-    split = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(make(rows), bench, most_bytes=1 << 62).collect()}
-    assert split == got
     left = {r.doc_id for r in decontaminate.clean(make(rows), bench).collect()}
     assert left == {d for d, _ in rows} - {d for d, _ in got}
 
@@ -433,14 +488,48 @@ def test_other_punctuation_is_the_same_passage(spark, make):
     assert {r.doc_id for r in decontaminate.clean(make(rows), bench).collect()} == set(texts) - {d for d, _ in got}
 
 
+def test_parts_of_the_benchmark_change_nothing(spark, make):
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    common = [word() for _ in range(14)]  # shingles that all items share weigh less than their own
+    items = [(k, " ".join([word() for _ in range(8)] + common + [word() for _ in range(8)])) for k in range(60)] + [(100, "?! -- ..."), (101, "!! ?? --"), (102, "")]
+    rows = []
+    for k, t in items[:60]:
+        w = t.split()
+        for _ in range(k % 7):
+            w[draw.randrange(len(w))] = word()
+        rows.append((k, " ".join(common[: k % 9] + w + common)))
+    rows += [(200, "so ?! -- ... it")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(tuple, decontaminate.contaminations(make(rows), bench, most_bytes=1 << 62).collect()))
+    assert 20 < len(whole) < 60
+    for most in (900, 4000):
+        assert sorted(map(tuple, decontaminate.contaminations(make(rows), bench, most_bytes=most).collect())) == whole
+    want = brute_contaminations(rows[:60], items[:60])
+    assert {w[:2] for w in whole if w[0] < 100} == want
+    left = {d for d, _ in rows} - {w[0] for w in whole}
+    assert {r.doc_id for r in decontaminate.clean(make(rows), bench, most_bytes=2000).collect()} == left
+
+
 def test_multi_index_finds_everything_within_the_radius():
     draw = np.random.default_rng(4)
-    a = draw.integers(0, 2**63, 300, dtype=np.uint64)
-    for radius in (3, 11, 23):
+    a = draw.integers(0, 2**63, (300, decontaminate.BLOCKS), dtype=np.uint64)
+    for radius in (3, 21, decontaminate.radius_for(0.6)):
         b = a.copy()
-        for bit in range(radius):
-            b ^= np.uint64(1) << draw.integers(0, 64, len(a)).astype(np.uint64)
-        assert (decontaminate.blocks_of(a, radius) == decontaminate.blocks_of(b, radius)).any(axis=1).all()
+        for row in b:
+            for bit in draw.choice(64 * decontaminate.BLOCKS, radius, replace=False):
+                row[bit // 64] ^= np.uint64(1 << int(bit) % 64)
+        looked, near = decontaminate.within(a, b, radius)
+        assert looked.all() and near.all()
+        assert not decontaminate.within(a, np.roll(b, 1, axis=0), radius)[1].any()
+
+
+def test_multi_index_prunes(small):
+    radius = decontaminate.radius_for(0.6)
+    items = decontaminate.Items(list(range(400)), pa.array([" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=40)) for k in range(400)]), 0.6, 3, radius)
+    a, b = items.fingerprints[:200], items.fingerprints[200:]
+    looked, near = decontaminate.within(a[:, None], b[None, :], radius)
+    assert looked.mean() < 0.05 and not near.any()
 
 
 def test_every_operator_is_registered():
