@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,21 +65,6 @@ def copies(small):
 # --- 3
 
 
-def test_pairs_against_brute_force(make, copies, hard_rows):
-    rows = copies + [(None if i is None else i + 5000, t) for i, t in hard_rows if i != 4]
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.similar_pairs(make(rows, extra=True)).collect()}
-    want = brute_pairs(rows)
-    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 1000
-    assert all(abs(v - want[p]) < 1e-12 for p, v in got.items())
-
-
-def test_large_groups_take_several_blocks(make, copies, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
-    got = {(r.doc_a, r.doc_b) for r in jaccard_join.similar_pairs(make(copies)).collect()}
-    want = brute_pairs(copies)
-    assert got <= set(want) and len(got) >= 0.98 * len(want)
-
-
 def groups_of(pairs):
     up = {}
 
@@ -93,6 +79,93 @@ def groups_of(pairs):
     return {x: top(x) for x in up}
 
 
+def expanded(docs):
+    """All similar pairs that class pairs and membership stand for."""
+    pairs, members = jaccard_join.class_pairs(docs)
+    of = defaultdict(list)
+    for r in members.collect():
+        of[r.rep].append(r.doc_id)
+    out = {tuple(sorted(p)): 1.0 for ds in of.values() for p in itertools.combinations(ds, 2)}
+    for r in pairs.collect():
+        out |= {tuple(sorted((a, b))): r.jaccard for a in of[r.doc_a] for b in of[r.doc_b]}
+    return out
+
+
+def test_pairs_against_brute_force(make, copies, hard_rows):
+    rows = copies + [(None if i is None else i + 5000, t) for i, t in hard_rows] + [(5900, hard_rows[4][1] + " and a few words more")]
+    docs, want = make(rows, extra=True), brute_pairs(rows)
+    got = expanded(docs)
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 1000 and (5004, 5900) in got
+    assert all(abs(v - want[p]) < 1e-12 for p, v in got.items())
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.similar_classes(docs).collect()}
+    assert set(found) == {d for d, _ in rows if d is not None}
+    links, roots = Counter(x for p in got for x in p), groups_of(got)
+    assert found == {d: (roots.get(d, d), links[d]) for d in found}
+
+
+def test_large_groups_take_several_blocks(make, copies, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    want = brute_pairs(copies)
+    got = expanded(make(copies))
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+
+
+def random_text(draw, words, size):
+    return " ".join(draw.choice(words) for _ in range(size))
+
+
+def entry_links(texts, batches=1, monkeypatch=None, many=None, few=None):
+    """What entries and links make of texts, without Spark: (links, entries of the largest bucket)."""
+    if many is not None:
+        monkeypatch.setattr(jaccard_join, "MANY", many)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+    bands, rows = jaccard_join.bands_for(0.5, 0.9995)
+    width, most = -(-bands * rows // 32), bands * rows - jaccard_join.least_agreement(0.5, 0.9995, bands * rows)
+    cls, keys, sketch = jaccard_join.signatures(*jaccard_join._grams(pa.array(texts), 3), bands, rows)
+    table = pa.table({"cls": cls.view(np.int64), "bands": jaccard_join._binary(keys), "sketch": jaccard_join._binary(sketch)})
+    out = pa.Table.from_batches(jaccard_join._entries(bands, width, most)(iter(table.to_batches(max_chunksize=-(-len(texts) // batches)))))
+    sent = Counter(out.column("bucket").to_pylist()).most_common(1)[0][1]
+    of = {int(c): k for k, c in enumerate(cls.view(np.int64).tolist())}
+    rows = sorted(set(zip(out.column("bucket").to_pylist(), out.column("cls").to_pylist())))
+    met = pa.table({"bucket": [r[0] for r in rows], "cls": [r[1] for r in rows], "sketch": jaccard_join._binary(sketch[[of[r[1]] for r in rows]])})
+    links = pa.Table.from_batches(jaccard_join._linked(width, most)(iter(met.to_batches(max_chunksize=777))))
+    return [(of[a], of[b]) for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist())], sent
+
+
+def test_hot_buckets_keep_all_connected(monkeypatch):
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    base = random_text(draw, words, 120)
+    texts = [random_text(draw, words, 120) for _ in range(60)]
+    for _ in range(600):  # near copies of one text, each with some words of its own
+        w = base.split()
+        for _ in range(draw.choice((1, 1, 2, 3, 12))):
+            w[draw.randrange(len(w))] = draw.choice(words)
+        texts.append(" ".join(w))
+    draw.shuffle(texts)
+    want = groups_of(brute_pairs(list(enumerate(texts))))
+    usual, largest = entry_links(texts, 3, monkeypatch, 10**6, 64)
+    few, less = entry_links(texts, 3, monkeypatch, 4, 8)
+    for links in (usual, few):
+        got = groups_of(links)
+        assert all(got.get(d, d) == r for d, r in want.items()) and set(got) == set(want)
+    assert less <= 221 < 300 < largest  # no bucket is larger than a batch
+
+
+def test_chance_links_nothing():
+    """Documents that share phrases by chance aren't brought together: comparisons stay in proportion to true pairs as the corpus grows."""
+    draw = random.Random(6)
+    words, phrases = [f"w{k}" for k in range(5000)], []
+    phrases = [random_text(draw, words, 8) for _ in range(40)]
+    made = []
+    for size in (400, 1600):
+        texts = [" ".join(draw.choice((draw.choice(phrases), random_text(draw, words, 12))) for _ in range(12)) for _ in range(size)]
+        links = entry_links(texts)[0]
+        true = brute_pairs(list(enumerate(texts)))
+        made.append(len(set(links)) - len(true))
+    assert max(made) <= 2
+
+
 def test_one_of_each_group_stays(make, copies):
     rows = [*copies, (None, "no id"), (9000, None), (9001, "")]
     docs = make(rows, extra=True)
@@ -102,10 +175,20 @@ def test_one_of_each_group_stays(make, copies):
     assert sorted(r.doc_id or -1 for r in left.collect()) == sorted(d or -1 for d, _ in rows if roots.get(d, d) == d)
 
 
+def test_rows_that_repeat(make):
+    twice = [(1, "same text two times"), (1, "same text two times"), (1, "another text, though"), (2, "Same text two times!"), (3, None), (3, None), (4, ""), (4, "")]
+    docs = make(twice).withColumn("extra", F.when(F.col("lang") == "en", F.rand()))
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.without_copies(docs).collect() if r.text) == [(1, "another text, though"), (1, "same text two times")]
+    assert jaccard_join.without_copies(docs).where("doc_id > 2").count() == 2
+    got = sorted(map(tuple, jaccard_join.similar_classes(docs).collect()))
+    assert got == [(1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0)]
+
+
 def test_pairs_of_nothing(make):
-    for rows in ([], [(1, None), (2, ""), (3, " ")], [(1, "same text twice"), (1, "same text twice")]):
-        assert jaccard_join.similar_pairs(make(rows)).count() == 0
+    for rows in ([], [(1, None), (2, ""), (3, " ")]):
+        assert not expanded(make(rows))
         assert jaccard_join.without_copies(make(rows)).count() == len(rows)
+        assert {(r.class_id, r.n_links) for r in jaccard_join.similar_classes(make(rows)).collect()} == {(d, 0) for d, _ in rows}
 
 
 def test_components(spark):
@@ -120,6 +203,7 @@ def test_bands_reach_the_recall():
     for threshold, recall in ((0.5, 0.999), (0.8, 0.95), (0.3, 0.9)):
         b, r = jaccard_join.bands_for(threshold, recall)
         assert 1 - (1 - threshold**r) ** b >= recall and b * r <= 256
+    assert jaccard_join.bands_for(0.01, 0.999)[1] == 1 and 1 - 0.99 ** jaccard_join.bands_for(0.01, 0.999)[0] >= 0.999
 
 
 # --- 5

@@ -36,11 +36,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-gram sets are at least half alike."""
-    return jaccard_join.similar_pairs(_table(spark, sf_dir, "documents"))
+    """Every document's class of those whose word 3-gram sets are at least half alike, and the number it is linked to."""
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents"))
 
 
-ORACLE["op3_jaccard_join"] = jaccard_join.SIMILAR_PAIRS_SQL
+ORACLE["op3_jaccard_join"] = jaccard_join.SIMILAR_CLASSES_SQL
 
 
 @_query
