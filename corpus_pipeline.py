@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontaminate, jaccard_join, quality, sentencepiece_codec, substring_dedup
-from tidelog.llm._session import written
+from tidelog.llm._session import dropped, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the whole table ``documents``; each stage's result is written and reread."""
+    """The rows of the last stage over the whole table ``documents``; each stage's result is written and reread, and dropped when the next one is there.
+
+    Rows without text go in the first stage; those without an id can't be told apart, so no later stage removes or cuts them. Of rows that repeat an id and
+    text one stays. Columns beside those of ``documents`` pass all stages but the last, whatever their names. An empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            dropped(before)
     return docs
