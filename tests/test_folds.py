@@ -25,11 +25,8 @@ def test_access_levels(spark):
 
 
 def pure_fold(events, handler):
-    import pandas as pd
-
-    pdf = pd.DataFrame(events, columns=["site", "admin", "target", "level", "event"]).astype({"admin": object})
-    out = stategraph._fold(pdf, None, None, handler, ["site"], ["event"], ["site", "key", "event", "value"], ["event"])
-    return {tuple(r) for r in out[["key", "event", "value"]].itertuples(index=False)}
+    rows = sorted((dict(zip(("site", "admin", "target", "level", "event"), e)) for e in events), key=lambda e: e["event"])
+    return {(key, e["event"], value) for e, writes in stategraph.run_events(rows, handler) for key, value in writes.items()}
 
 
 def test_access_levels_do_not_depend_on_order_or_batches():

@@ -24,7 +24,8 @@ def test_choice_and_options(spark):
     with pytest.raises(Exception):
         value(spark, fn.if_else(F.lit(None).cast("boolean"), 1, 0))
     assert value(spark, fn.opt_unwrap(fn.some_if(F.lit(False), 1), 7)) == 7
-    assert value(spark, fn.opt_struct_unwrap(fn.some(3), 7)) == 3 and value(spark, fn.none()).has is False
+    assert value(spark, fn.opt_unwrap(fn.some(3), 7)) == 3 and value(spark, fn.opt_unwrap(fn.none(), 7)) == 7 and value(spark, fn.none()).has is False
+    assert value(spark, fn.opt_unwrap(fn.some_of(F.lit(None).cast("bigint")), 7)) == 7 and value(spark, fn.opt_unwrap(fn.some(F.lit(None).cast("bigint")), 7)) is None
 
 
 def test_lists(spark):
@@ -51,5 +52,6 @@ def test_loops_and_records(spark):
     assert value(spark, fn.record_drop(r, "b")).asDict() == {"a": 1, "c": 3} and value(spark, fn.record_keep(r, "c")).asDict() == {"c": 3}
     assert value(spark, fn.char_slice(F.lit("Привет"), 1, 3)) == "ри"
     assert fn.lookup("int_add") is fn.int_add
+    assert all(callable(fn.lookup(name)) for name in fn.names())
     with pytest.raises(EvaluationError):
         fn.lookup("nothing")

@@ -95,3 +95,58 @@ def test_any_series_of_diffs_round_trips(steps):
     for target in steps:
         d.edit(diff_text(d.tree, d.texts, target))
         assert d.text() == target
+
+
+def random_document(draw, size):
+    """Several anchors under the root and inside each other, some deleted."""
+    tree, texts, every = Tree(), {}, []
+    for tx in range(1, size + 1):
+        parent = draw.choice([ROOT, *every]) if every else ROOT
+        anchor = (tx, 0, 0, draw.choice("ab"))
+        tree.add(anchor, parent, draw.randrange(14))
+        texts[anchor] = "".join(draw.choice("abcde ") for _ in range(draw.randrange(1, 12)))
+        every.append(anchor)
+    for a in draw.sample(every, size // 5):
+        texts.pop(a)
+    return tree, texts
+
+
+def test_diff_spares_untouched_anchors():
+    import random
+
+    for seed in range(1000):
+        draw = random.Random(seed)
+        tree, texts = random_document(draw, draw.randrange(2, 9))
+        parts = segments(tree, texts)
+        now = "".join(s for _, _, s in parts)
+        at = draw.randrange(len(now) + 1)
+        cut = min(len(now), at + draw.choice((0, 0, 1, 3)))
+        target = now[:at] + draw.choice(("", "XY", "Z Z")) + now[cut:]
+        upd = diff_text(tree, texts, target)
+        reach, touched = 0, set()
+        for a, _, s in parts:
+            if reach < cut and at < reach + len(s) and cut > at:
+                touched.add(a)
+            reach += len(s)
+        # a shortest script may cut other characters that read the same, across one more edge of anchors
+        assert len(upd["deletions"]) <= len(touched) + 1, seed
+        if cut == at:
+            assert not upd["deletions"]
+        event = (1 << 40, 0, "z")
+        tree.apply(event, upd)
+        assert render_text(tree, apply_edit(texts, event, upd)) == target, seed
+
+
+def test_long_edits_round_trip():
+    import random
+    import time
+
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(1, 9))) for _ in range(3000)]
+    began = time.time()
+    for old, new in ((words, words[500:900] + words[:400] + words[1500:]), (words, [w[::-1] for w in words]), (["la"] * 3000, ["la"] * 500 + ["lo"] * 2000)):
+        tree, texts = single(" ".join(old))
+        upd = diff_text(tree, texts, " ".join(new))
+        tree.apply((1, 0, "b"), upd)
+        assert render_text(tree, apply_edit(texts, (1, 0, "b"), upd)) == " ".join(new)
+    assert time.time() - began < 60

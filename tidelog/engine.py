@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
@@ -18,9 +18,14 @@ from tidelog.sources import log
 class RuleRuntime(ABC):
     """A rule with a state of its own choosing: what a gear is when it isn't one DataFrame expression.
 
-    ``step`` gets the state that the last step returned and the net change since, and must give what one step over everything would.
+    ``step`` gets the state that the last step returned and the net change since, and must give what one step over everything would. ``name`` is that of
+    its state, which outlives the process.
     """
 
+    @property
+    def name(self) -> str:
+        return type(self).__qualname__
+
     @abstractmethod
     def initial(self, spark: SparkSession) -> DataFrame: ...
 
@@ -30,7 +35,7 @@ class RuleRuntime(ABC):
 
 
 class Engine:
-    """Opens, or makes, the log at ``path``. Tables are Parquet; dimensions are append-only like the log, and read deduplicated."""
+    """Opens, or makes, a node's log at ``path``. Tables are Parquet; dimensions are append-only like the log, and read deduplicated."""
 
     SHAPES = {"users": "user string", "senders": "sender string, user string, arrival bigint", "data": "ts bigint, hash string, content string"}
 
@@ -39,7 +44,6 @@ class Engine:
         self.log = log.EventLog(spark, f"{self.path}/events")
         self.types, self.gears = EventTypes(), Gears()
         self._queries: list = []
-        self._states: dict[int, tuple[DataFrame, int]] = {}
 
     # dimensions
     def _append(self, name: str, rows: DataFrame) -> None:
@@ -93,37 +97,45 @@ class Engine:
         self.log.post(events, ts, self.senders(), self.users(), **checks)
 
     def pull(self, *peers: Engine) -> None:
-        """Append what peers have and this log hasn't; deduplication makes all nodes converge, in whatever order."""
+        """Append what peers got since the last pull and this log hasn't; it arrives here after all that is here. Deduplication makes all nodes converge,
+        in whatever order. Of peers, only what arrived there since is read."""
         version = ["sender", "tx_id", "msg_type", "group", "ts", "node"]
         for peer in peers:
             for name in self.SHAPES:
                 self._append(name, peer._read(name).exceptAll(self._read(name)))
-            self.log.append(peer.log.versions().join(self.log.versions().select(*version), version, "left_anti"))
+            mark = f"pulled-{hashlib.sha256(peer.path.encode()).hexdigest()[:16]}"
+            top = peer.log.arrived()
+            new = peer.log.versions().where(F.col("arrival_seq") > self.log._mark(mark))
+            self.log.append(new.join(self.log.versions().select(*version), version, "left_anti"))
+            self.log._set_mark(mark, top)
 
     # reading
     def group_feed(self, msg_type: str, group: str | None = None, cursor: int | None = None) -> DataFrame:
         """The signed feed of a type or group, after a cursor if one is given."""
-        feed = log.scan_group(self.log.feed(), msg_type, group)
-        return feed if cursor is None else feed.where(F.col("change_seq") > cursor)
+        return self.log.feed(msg_type, group, cursor)
 
     def event(self, sender: str, group: str, tx_id: int) -> DataFrame:
         """The winner of one identity, or no row."""
-        return self.log.events().where((F.col("sender") == sender) & (F.col("group") == group) & (F.col("tx_id") == tx_id))
+        return self.log.event(sender, group, tx_id)
 
     def run(self, gear: str, inputs: dict[str, DataFrame]) -> DataFrame:
         """A gear's converged output."""
         return self.gears.materialize(gear, inputs)
 
     def run_runtime(self, runtime: RuleRuntime, msg_type: str) -> DataFrame:
-        """A stateful rule's output over what arrived since it last ran here."""
-        state, cursor = self._states.get(id(runtime), (None, None))
-        feed = self.group_feed(msg_type, cursor=cursor)
-        top = feed.agg(F.max("change_seq")).first()[0]
-        state, out = runtime.step(state if state is not None else runtime.initial(self.spark), feed)
-        # written, as a lazy state would be read again from a log that has grown since
-        at = f"{self.path}/states/{uuid.uuid4().hex}"
-        state.write.parquet(at)
-        self._states[id(runtime)] = (self.spark.read.schema(state.schema).parquet(at), cursor if top is None else top)
+        """A stateful rule's output over what arrived since it last ran on this log, in this process or another."""
+        base = f"states/{runtime.name}-{msg_type}"
+        cursor = self.log._mark(f"{base}/done")
+        top = 2 * self.log.arrived() + 1
+        if cursor < 0:
+            state = runtime.initial(self.spark)
+        else:
+            state = self.spark.read.parquet(f"{self.path}/{base}/at={cursor}")
+        state, out = runtime.step(state, self.group_feed(msg_type, cursor=cursor))
+        if top > cursor:
+            # written, as a lazy state would be read again from a log that has grown since
+            state.write.mode("overwrite").parquet(f"{self.path}/{base}/at={top}")
+            self.log._set_mark(f"{base}/done", top)
         return out
 
     def partition_of(self, groups: DataFrame, group: str, partitions: int) -> DataFrame:

@@ -6,6 +6,8 @@ errors.
 
 from __future__ import annotations
 
+import importlib
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -165,11 +167,12 @@ def loop_times(n: Value, start: Column, f: Callable[[Column, Column], Column]) -
     return F.aggregate(count_up(n), start, f)
 
 
-def loop(start, step: Callable, most: int = 1_000_000):
-    """General recursion on plain values: step(again, state), where again(state) goes round once more."""
+def loop(start, step: Callable, most: int | None = None):
+    """General recursion on plain values: step(again, state), where again(state) goes round once more. It ends when a step doesn't go on, or with an
+    error after ``most`` rounds where that is given."""
     again = type("Again", (tuple,), {})
     state = start
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         out = step(lambda s: again((s,)), state)
         if not isinstance(out, again):
             return out
@@ -199,9 +202,9 @@ def record_drop(r: Column, *names: str) -> Column:
     return r.dropFields(*names)
 
 
-# options: null where a value may be missing, or {has, body} where the value itself may be null
-def none() -> Column:
-    return F.struct(F.lit(False).alias("has"), F.lit(None).alias("body"))
+# options are records {has, body}; the body may itself be null
+def none(kind: str = "bigint") -> Column:
+    return F.struct(F.lit(False).alias("has"), F.lit(None).cast(kind).alias("body"))
 
 
 def some(x: Value) -> Column:
@@ -209,14 +212,17 @@ def some(x: Value) -> Column:
 
 
 def some_if(condition: Column, x: Value) -> Column:
-    return F.when(condition, _col(x))
+    """``x`` where the condition holds, else nothing."""
+    holds = F.coalesce(condition, F.lit(False))
+    return F.struct(holds.alias("has"), F.when(holds, _col(x)).alias("body"))
 
 
-def opt_unwrap(x: Column, default: Value) -> Column:
-    return F.coalesce(x, _col(default))
+def some_of(x: Value) -> Column:
+    """A nullable value as an option: null is nothing."""
+    return some_if(_col(x).isNotNull(), x)
 
 
-def opt_struct_unwrap(x: Column, default: Value) -> Column:
+def opt_unwrap(x: Column, default: Value) -> Column:
     return F.when(x["has"], x["body"]).otherwise(_col(default))
 
 
@@ -228,6 +234,7 @@ def char_slice(text: Column, low: Value, high: Value) -> Column:
 
 _REGISTRY: dict[str, Callable] = {
     "DataId": data_id,
+    "Id": identity,
     "EventTypeId": event_type_id,
     "LocEventId": event_id,
     "Timestamp": timestamp,
@@ -271,8 +278,44 @@ _REGISTRY: dict[str, Callable] = {
 }
 
 
+#: Names of what isn't a column function: rules, logs, folds and text.
+_ELSEWHERE = {
+    "Gear": "operators.gears:Gear",
+    "Query": "sources.log:delta_since",
+    "StateGraph": "operators.stategraph:fold",
+    "StateGraphOut": "operators.timeline:last",
+    "anchor_agg_apply": "operators.text:anchors",
+    "mk_anchor_agg": "operators.text:Tree",
+    "mk_event_type": "schema:EventTypes",
+    "mk_gear": "operators.gears:Gear",
+    "mk_query": "sources.log:change_feed",
+    "mk_stategraph": "operators.stategraph:Context",
+    "mk_text_agg": "operators.text:apply_texts",
+    "query_delta": "sources.log:delta_since",
+    "resolve_data": "sources.log:resolve",
+    "resolve_event": "sources.log:project_event",
+    "secondary_get": "operators.gears:Gears",
+    "sender-to>user": "sources.log:resolve",
+    "sgctx_dep_query": "operators.stategraph:depend",
+    "sgctx_query": "operators.timeline:own_before",
+    "sgctx_update": "operators.timeline:insert",
+    "stategraph_apply": "operators.stategraph:replay",
+    "stategraph_out": "operators.stategraph:fold",
+    "text_agg_apply": "operators.text:apply_texts",
+    "text_agg_merge": "operators.text:merge",
+}
+
+
+def names() -> list[str]:
+    """All names of the rule language, in order."""
+    return sorted({*_REGISTRY, *_ELSEWHERE})
+
+
 def lookup(name: str) -> Callable:
     """A function by its name in the rule language."""
+    if name in _ELSEWHERE:
+        module, _, attribute = _ELSEWHERE[name].partition(":")
+        return getattr(importlib.import_module(f"tidelog.{module}"), attribute)
     try:
         return _REGISTRY[name]
     except KeyError:

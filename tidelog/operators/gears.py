@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidelog.operators import stategraph, text
-from tidelog.operators.text import ROOT, Tree, apply_edit, merge_texts, render_text
+from tidelog.operators.text import ROOT, Tree, edit_texts, render_text
 from tidelog.schema import GearError
 
 Step = Callable[..., DataFrame]
@@ -147,46 +150,59 @@ def doc_content(attaches: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
     """(anchors, texts): the anchors of each document and the text of each branch as the last event leaves it.
 
     ``attaches``: doc, branch, creator (the branch's), user, is_merge, edit, from_branch and the order columns; ``members``: the output of
-    ``invited``. An attach counts if its author is a member of its branch at that point. ``texts``: doc, branch, text.
+    ``invited``. An attach counts if its author is a member of its branch at that point. ``texts``: doc, branch, text. Events stream past in
+    order, so a task holds one document: its tree and the present text of each branch.
     """
     edits = attaches.where("not is_merge")
     tree = text.anchors(edits)
     # a document needs the membership of its own authors only
     authors = attaches.select("doc", "branch", F.col("user").alias("key")).distinct()
-    known = members.join(authors, ["branch", "key"]).select("doc", F.lit("invited").alias("dep"), F.concat_ws("|", F.col("branch").cast("string"), F.col("key").cast("string")).alias("dep_key"), F.col("value").alias("dep_value"), *ORDER)
-
-    def run(events: pd_frame, dependencies: pd_frame) -> pd_frame:
-        import pandas as pd
-
-        shape, branches = Tree(), {}
-
-        def handler(ctx: stategraph.Context, e: dict) -> None:
-            seen = ctx.dep_query("invited", f"{e['branch']}|{e['user']}")
-            if not (seen if seen is not None else e["user"] == e["creator"]):
-                return
-            mine = ctx.query(e["branch"]) or {}
-            if e["is_merge"]:
-                ctx.update(e["branch"], merge_texts(mine, ctx.query(e["from_branch"]) or {}))
-            else:
-                ctx.update(e["branch"], apply_edit(mine, (e["tx_id"], e["route_id"], e["sender"]), e["edit"]))
-
-        for e in events.to_dict("records"):
-            if not e["is_merge"]:
-                shape.apply((e["tx_id"], e["route_id"], e["sender"]), e["edit"])
-        written = stategraph._fold(events, dependencies, None, handler, ["doc"], ORDER, ["doc", "key", *ORDER, "value"], ORDER)
-        for key, value in zip(written["key"], written["value"]):
-            branches[key] = value
-        doc = events["doc"].iloc[0] if len(events) else None
-        return pd.DataFrame([(doc, b, render_text(shape, t)) for b, t in branches.items()], columns=["doc", "branch", "text"])
-
-    types = {f.name: f.dataType.simpleString() for f in attaches.schema}
-    texts = text.fresh(attaches).groupBy("doc").cogroup(text.fresh(known).groupBy("doc")).applyInPandas(run, f"doc {types['doc']}, branch {types['branch']}, text string")
+    known = members.join(authors, ["branch", "key"]).select("doc", "branch", "key", "value", *ORDER)
+    # a document's membership changes and events in order, the changes first; a branch's texts change in place
+    kind = {f.name: f.dataType.simpleString() for f in attaches.schema}
+    event = F.struct("branch", F.col("creator").alias("creator"), "user", "is_merge", "edit", "from_branch")
+    changes = known.select("doc", *ORDER, F.lit(0).alias("side"), F.col("branch").cast(kind["branch"]).alias("m_branch"), F.col("key").cast(kind["user"]).alias("m_user"), F.col("value").alias("m_value"), F.lit(None).cast(attaches.select(event.alias("e")).schema["e"].dataType).alias("event"))
+    steps = attaches.select("doc", *ORDER, F.lit(1).alias("side"), F.lit(None).cast(kind["branch"]).alias("m_branch"), F.lit(None).cast(kind["user"]).alias("m_user"), F.lit(None).cast("boolean").alias("m_value"), event.alias("event"))
+
+    def run(batches):
+        here, shape, branches, members_of, out = object(), Tree(), {}, {}, []
+
+        def close() -> None:
+            out.extend((here, b, render_text(shape, t)) for b, t in branches.items())
+
+        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["doc"] != here:
+                    close()
+                    here, shape, branches, members_of = r["doc"], Tree(), {}, {}
+                    if len(out) >= 100:
+                        yield give()
+                        out = []
+                e = r["event"]
+                if e is None:
+                    members_of[r["m_branch"], r["m_user"]] = r["m_value"]
+                    continue
+                at = (r["tx_id"], r["route_id"], r["sender"])
+                if not e["is_merge"]:
+                    shape.apply(at, e["edit"])
+                seen = members_of.get((e["branch"], e["user"]))
+                if seen if seen is not None else e["user"] == e["creator"]:
+                    mine = branches.setdefault(e["branch"], {})
+                    if e["is_merge"]:
+                        mine.update(branches.get(e["from_branch"], {}))
+                    else:
+                        edit_texts(mine, at, e["edit"])
+        close()
+        if out:
+            yield give()
+
+    result = T.StructType.fromDDL(f"doc {kind['doc']}, branch {kind['branch']}, text string")
+    arrow = to_arrow_schema(result)
+    texts = changes.unionByName(steps).repartition("doc").sortWithinPartitions("doc", *ORDER, "side").mapInArrow(run, result)
     return tree, texts
 
 
-pd_frame = object  # the pandas DataFrame of a group; pandas is imported where a task runs
-
-
 def standard_gears() -> Gears:
     """The rules of this module under their names."""
     out = Gears()

@@ -6,7 +6,10 @@ Siblings are ordered by offset, then newest first: offset up, tx_id down, route_
 
 from __future__ import annotations
 
-import difflib
+import bisect
+import collections
+import itertools
+import re
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -134,14 +137,19 @@ class Tree:
         return parent in self._below
 
 
-def apply_edit(texts: dict[Anchor, str], event: tuple[int, int, str], upd: dict) -> dict[Anchor, str]:
-    """The texts after an edit: non-empty strings come, then deletions go; ``texts`` itself stays."""
-    out = dict(texts)
+def edit_texts(texts: dict[Anchor, str], event: tuple[int, int, str], upd: dict) -> None:
+    """Apply an edit in place: non-empty strings come, then deletions go."""
     for idx, s in enumerate(upd["new_strings"]):
         if s:
-            out[(event[0], event[1], idx, event[2])] = s
+            texts[(event[0], event[1], idx, event[2])] = s
     for d in upd["deletions"]:
-        out.pop(as_anchor(d), None)
+        texts.pop(as_anchor(d), None)
+
+
+def apply_edit(texts: dict[Anchor, str], event: tuple[int, int, str], upd: dict) -> dict[Anchor, str]:
+    """The texts after an edit; ``texts`` itself stays."""
+    out = dict(texts)
+    edit_texts(out, event, upd)
     return out
 
 
@@ -179,95 +187,161 @@ def render_text(tree: Tree, texts: dict[Anchor, str]) -> str:
     return "".join(s for _, _, s in segments(tree, texts))
 
 
-def diff_text(tree: Tree, texts: dict[Anchor, str], target: str) -> dict:
-    """The edit that turns the document into ``target``.
+class Document:
+    """A document as one branch shows it: its tree and that branch's texts."""
 
-    Inserted text becomes a child at its place. An anchor that loses characters is deleted whole and its surviving text is inserted
-    again, as a child of the same anchor at the survivors' offsets, so concurrent edits elsewhere keep their places.
-    """
-    parts = segments(tree, texts)
-    current = "".join(s for _, _, s in parts)
-    starts, at = [], 0
-    for _, _, s in parts:
-        starts.append(at)
-        at += len(s)
+    def __init__(self, tree: Tree, texts: dict[Anchor, str]):
+        self.tree, self.texts = tree, texts
+
+    def segments(self) -> list[tuple[Anchor, int, str]]:
+        return segments(self.tree, self.texts)
+
+    def text(self) -> str:
+        return render_text(self.tree, self.texts)
+
+    def diff(self, target: str) -> dict:
+        return diff_text(self.tree, self.texts, target)
+
+
+FEW_EDITS = 400
+
+
+def _shortest(a: Sequence, b: Sequence, most: int) -> list[tuple[int, int]] | None:
+    """The matched places (i, j) of a shortest edit script (Myers), or None if it takes more than ``most`` insertions and deletions."""
+    best, trail = {1: 0}, []
+    for d in range(min(most, len(a) + len(b)) + 1):
+        trail.append(dict(best))
+        for k in range(-d, d + 1, 2):
+            down = k == -d or (k != d and best[k - 1] < best[k + 1])
+            i = best[k + 1] if down else best[k - 1] + 1
+            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
+                i += 1
+            best[k] = i
+            if i >= len(a) and i - k >= len(b):
+                return _back(trail, len(a), len(b))
+    return None
+
+
+def _back(trail: list[dict[int, int]], i: int, j: int) -> list[tuple[int, int]]:
+    """The matches on the way back through the furthest points of every round."""
+    pairs = []
+    for d in range(len(trail) - 1, -1, -1):
+        best, k = trail[d], i - j
+        back = k + 1 if k == -d or (k != d and best[k - 1] < best[k + 1]) else k - 1
+        from_i = best[back]
+        from_j = from_i - back
+        while i > from_i and j > from_j:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        i, j = from_i, from_j
+    return pairs[::-1]
+
+
+def _matches(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Matched places of two sequences, in order: a shortest script where it is short, else what is alike around items that either has once."""
     low = 0
-    while low < min(len(current), len(target)) and current[low] == target[low]:
+    while low < min(len(a), len(b)) and a[low] == b[low]:
         low += 1
     high = 0
-    while high < min(len(current), len(target)) - low and current[-1 - high] == target[-1 - high]:
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
         high += 1
-    ops = difflib.SequenceMatcher(None, current[low : len(current) - high], target[low : len(target) - high], autojunk=False).get_opcodes()
-    cut = [False] * len(current)
-    added: dict[int, str] = {}
-    for tag, a, b, c, d in ops:
-        if tag in ("delete", "replace"):
-            cut[low + a : low + b] = [True] * (b - a)
-        if tag in ("insert", "replace"):
-            added[low + a] = added.get(low + a, "") + target[low + c : low + d]
-    touched = {parts[k][0] for k in range(len(parts)) if any(cut[starts[k] : starts[k] + len(parts[k][2])])}
-    gone = sorted(touched, key=lambda a: (a[0], a[1], a[2], a[3]))
-    if not touched:
-        # plain insertions: each hangs on the segment that ends or begins there
-        new, strings = [], []
-        for place, s in sorted(added.items()):
-            k = next((k for k in range(len(parts)) if starts[k] < place <= starts[k] + len(parts[k][2])), None)
-            if k is None:
-                first = parts[0] if parts else None
-                new.append((first[0], first[1]) if first and first[1] == 0 and not _has_child_at(tree, first[0], 0) else (ROOT, 0))
-            else:
-                anchor, offset, _ = parts[k]
-                new.append((anchor, offset + place - starts[k]))
-            strings.append(s)
-        made = update(new, strings)
-        probe = (1 << 62, 0, "")
-        trial = Tree()
-        trial._below = {p: dict(c) for p, c in tree._below.items()}
-        trial.apply(probe, made)
-        if render_text(trial, apply_edit(texts, probe, made)) == target:
-            return made
-    # the whole target under the root, with everything that shows deleted; order among siblings is then newest first
-    every = sorted({a for a, _, _ in parts}, key=lambda a: (a[0], a[1], a[2], a[3]))
-    keep = _regrow(tree, texts, parts, starts, cut, added, gone, target)
-    return keep if keep is not None else update([(ROOT, 0)], [target], every) if target else update(deletions=every)
-
+    out = [(k, k) for k in range(low)]
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    if len(x) and len(y):
+        inner = _shortest(x, y, FEW_EDITS)
+        if inner is None:
+            inner = []
+            count_a, count_b = collections.Counter(x), collections.Counter(y)
+            at_b = {w: j for j, w in enumerate(y) if count_b[w] == 1}
+            tails: list[int] = []
+            ends: list[tuple[int, int, int]] = []
+            for i, w in enumerate(x):  # the longest run of such items that comes in the same order
+                if count_a[w] == 1 and w in at_b:
+                    k = bisect.bisect_left(tails, at_b[w])
+                    tails[k : k + 1] = [at_b[w]]
+                    ends.append((k, i, at_b[w]))
+            chain, want = [], len(tails) - 1
+            for k, i, j in reversed(ends):
+                if k == want and (not chain or j < chain[-1][1]):
+                    chain.append((i, j))
+                    want -= 1
+            last = (-1, -1)
+            for i, j in [*chain[::-1], (len(x), len(y))] if chain else []:
+                inner += [(last[0] + 1 + p, last[1] + 1 + q) for p, q in _matches(x[last[0] + 1 : i], y[last[1] + 1 : j])]
+                if i < len(x):
+                    inner.append((i, j))
+                last = (i, j)
+        out += [(low + i, low + j) for i, j in inner]
+    return out + [(len(a) - high + k, len(b) - high + k) for k in range(high)]
+
+
+def matched(a: str, b: str) -> list[tuple[int, int]]:
+    """The characters of ``a`` that stay, with their places in ``b``. Long edits are matched by words first, then within what differs."""
+    direct = _shortest(a, b, FEW_EDITS) if abs(len(a) - len(b)) <= FEW_EDITS else None
+    if direct is not None:
+        return direct
+    words_a, words_b = (re.findall(r"\s|[^\s]+", t) for t in (a, b))
+    starts = [list(itertools.accumulate(map(len, w), initial=0)) for w in (words_a, words_b)]
+    out, last = [], (0, 0)
+    for i, j in [*_matches(words_a, words_b), (len(words_a), len(words_b))]:
+        la, lb, ia, jb = starts[0][last[0]], starts[1][last[1]], starts[0][i], starts[1][j]
+        if ia > la and jb > lb:
+            out += [(la + p, lb + q) for p, q in _shortest(a[la:ia], b[lb:jb], FEW_EDITS) or []]
+        if i < len(words_a):
+            out += [(ia + k, jb + k) for k in range(len(words_a[i]))]
+        last = (i + 1, j + 1)
+    return out
 
-def _has_child_at(tree: Tree, anchor: Anchor, offset: int) -> bool:
-    return any(o == offset for _, o in tree.children(anchor))
 
+def diff_text(tree: Tree, texts: dict[Anchor, str], target: str) -> dict:
+    """The edit that turns the document into ``target``.
 
-def _regrow(tree: Tree, texts: dict, parts: list, starts: list, cut: list, added: dict, gone: list, target: str) -> dict | None:
-    """Delete touched anchors; hang what survives of them, and insertions, on the touched anchors themselves at their old offsets."""
+    An anchor that loses characters is deleted whole, and what survives of each of its segments, with what is inserted there, is a child of that anchor in
+    the segment's place. Every other insertion becomes a child where it stands. No anchor that keeps all its characters is deleted, so concurrent edits
+    elsewhere keep their places.
+    """
+    parts = segments(tree, texts)
+    current = "".join(s for _, _, s in parts)
+    stays = [False] * len(current)
+    added: dict[int, str] = {}
+    done = 0
+    last = 0
+    for i, j in [*matched(current, target), (len(current), len(target))]:
+        if j > done:
+            added[last] = target[done:j]  # after the character that stayed last
+        if i < len(current):
+            stays[i], done, last = True, j + 1, i + 1
+    starts = list(itertools.accumulate((len(s) for _, _, s in parts), initial=0))
+    lost = {a for k, (a, _, s) in enumerate(parts) if not all(stays[starts[k] : starts[k + 1]])}
     new, strings = [], []
-    lost = set(gone)
 
-    def hang(anchor, offset, s):
+    def hang(anchor: Anchor | None, offset: int, s: str) -> None:
         if s:
             new.append((anchor, offset))
             strings.append(s)
 
+    owed = ""  # inserted right before the segment at hand
+    if not parts:
+        hang(ROOT, 0, target)
     for k, (anchor, offset, s) in enumerate(parts):
         base = starts[k]
-        run, run_at = "", offset
-        for j, ch in enumerate(s):
-            extra = added.get(base + j) if (base + j) in added and not (j == 0 and k > 0) else None
-            if j == 0 and k == 0:
-                extra = added.get(0)
-            if anchor in lost:
-                run += (extra or "") + ("" if cut[base + j] else ch)
-            elif extra:
-                hang(anchor, offset + j, extra)
-        tail = added.get(base + len(s))
+        at_start = owed + (added.get(0, "") if k == 0 else "")
+        owed = ""
+        after = added.get(base + len(s), "") if len(s) else ""
         if anchor in lost:
-            hang(anchor, run_at, run + (tail or ""))
-        elif tail:
-            hang(anchor, offset + len(s), tail)
-    made = update(new, strings, gone)
-    probe = (1 << 62, 0, "")
-    trial = Tree()
-    trial._below = {p: dict(c) for p, c in tree._below.items()}
-    trial.apply(probe, made)
-    return made if render_text(trial, apply_edit(texts, probe, made)) == target else None
+            body = at_start + "".join((s[j] if stays[base + j] else "") + (added.get(base + j + 1, "") if j + 1 < len(s) else "") for j in range(len(s))) + after
+            there = any(o == offset for _, o in tree.children(anchor))
+            # newest stands first among siblings of one offset, so after those that are there it is one further
+            hang(anchor, offset + 1 if there else offset, body)
+        else:
+            hang(anchor, offset, at_start)
+            for j in range(1, len(s)):
+                hang(anchor, offset + j, added.get(base + j, ""))
+            if after and k + 1 < len(parts) and parts[k + 1][0] in lost:
+                owed = after
+            else:
+                hang(anchor, offset + len(s), after)
+    return update(new, strings, sorted(lost))
 
 
 # --- rendering at scale --------------------------------------------------------------------------------------

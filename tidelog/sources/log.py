@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidelog.operators.routing import content_hash, route_id
-from tidelog.schema import RAW, ContentMismatch, ForwardReference, UnknownData, UnknownSender, UnknownUser
+from tidelog.schema import IDENTITY, RAW, ContentMismatch, ForwardReference, UnknownData, UnknownSender, UnknownUser
 
 
 def winners(versions: DataFrame, identity: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -24,7 +25,8 @@ def winners(versions: DataFrame, identity: Sequence[str], version: Sequence[str]
 def change_feed(versions: DataFrame, identity: Sequence[str], version: Sequence[str], arrival: str) -> DataFrame:
     """The signed feed, with ``weight`` +1 or -1 and ``change_seq``: a new least version is added, and the one it replaces is removed."""
     mine = F.struct(*version, arrival)
-    before = Window.partitionBy(*identity).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    # of versions that arrive at once the least comes first, so the others change nothing
+    before = Window.partitionBy(*identity).orderBy(arrival, *version).rowsBetween(Window.unboundedPreceding, -1)
     row = F.struct(*versions.columns)
     seen = versions.withColumns({"__least": F.min(F.struct(*version)).over(before), "__old": F.min_by(row, mine).over(before)})
     new = seen.where(F.col("__least").isNull() | (F.struct(*version) < F.col("__least")))
@@ -115,8 +117,17 @@ def validate(events: DataFrame, senders: DataFrame, users: DataFrame, data: Data
             raise UnknownData(UnknownData.__doc__)
 
 
+SHARDS = 64
+
+
 class EventLog:
-    """A log in Parquet, partitioned by event type; readers prune to the types they need."""
+    """A node's log in Parquet: versions as they arrived, and the signed feed of their winners.
+
+    Both are partitioned by event type and by a shard of the group's route, so readers of a group prune to its shard and filter within it.
+    ``arrival_seq`` numbers arrivals at this node, also of what other nodes sent; the number in a batch says the order within it. A batch is appended
+    under numbers that no other has, and then its changes of the winner set go to the feed; a feed that was left behind by a failure catches up
+    with the next batch. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -128,29 +139,120 @@ class EventLog:
 
     def append(self, events: DataFrame) -> None:
         shaped = events.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._schema()])
+        low, high, rows = shaped.agg(F.min("arrival_seq"), F.max("arrival_seq"), F.count("*")).first()
+        if not rows:
+            return
+        base = self._mark("reserved") + 1
+        self._set_mark("reserved", base + (0 if low is None else high - low))
+        numbered = shaped.withColumn("arrival_seq", F.coalesce(F.col("arrival_seq") - F.lit(low), F.lit(0)) + F.lit(base)).withColumn("shard", shard(F.col("group")))
         # balanced by size, so a hot type is many files and a rare one is not
-        shaped.hint("rebalance", "msg_type").write.mode("append").partitionBy("msg_type").parquet(self.path)
+        numbered.hint("rebalance", "msg_type", "shard").write.mode("append").partitionBy("msg_type", "shard").parquet(f"{self.path}/versions")
+        self._follow()
+
+    def _follow(self) -> None:
+        """Bring the feed up to the versions that are there."""
+        done, there = self._mark("fed"), self._mark("reserved")
+        new = self.versions().where(F.col("arrival_seq") > done)
+        places = new.select("msg_type", shard(F.col("group")).alias("shard")).distinct().collect()  # types x shards at most
+        if places:
+            old = self._changes([r.msg_type for r in places], [r.shard for r in places]).where("weight > 0")
+            touched = with_order(new).select(*[F.col(c).alias(f"__{c}") for c in IDENTITY]).distinct()
+            same = F.lit(True)
+            for c in IDENTITY:
+                same = same & (F.col(c) == F.col(f"__{c}"))
+            columns = [f.name for f in self._schema()]
+            # the latest addition to an identity is its winner so far
+            known = old.join(touched, same, "left_semi").groupBy(*IDENTITY).agg(F.max_by(F.struct(*columns), "change_seq").alias("w")).select("w.*")
+            feed = change_feed(with_order(known.unionByName(new.select(*columns))), IDENTITY, ("ts", "node"), "arrival_seq").drop("ord")
+            fresh = feed.where(F.col("change_seq") >= 2 * (done + 1)).withColumn("shard", shard(F.col("group")))
+            fresh.hint("rebalance", "msg_type", "shard").write.mode("overwrite").partitionBy("msg_type", "shard").parquet(f"{self.path}/feed/epoch={done + 1}")
+        self._set_mark("fed", there)
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at, fs = self._fs(f"{self.path}/{folder}")
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _mark(self, name: str) -> int:
+        """The highest number that a step has come to; -1 before the first."""
+        return max((int(n) for n in self._names(f"marks/{name}")), default=-1)
+
+    def _set_mark(self, name: str, value: int) -> None:
+        older = [n for n in self._names(f"marks/{name}") if int(n) < value]
+        at, fs = self._fs(f"{self.path}/marks/{name}/{value}")
+        fs.create(at, True).close()
+        for n in older:
+            at, fs = self._fs(f"{self.path}/marks/{name}/{n}")
+            fs.delete(at, False)
 
     def _schema(self):
         from pyspark.sql import types as T
 
         return T.StructType.fromDDL(RAW)
 
+    def _changes(self, types: Sequence[str] | None = None, shards: Sequence[int] | None = None) -> DataFrame:
+        """The feed's rows of some types and shards, with route_id; both prune."""
+        schema = f"{RAW}, route_id bigint, weight int, change_seq bigint, shard int, epoch bigint"
+        epochs = [n for n in self._names("feed") if n.startswith("epoch=") and int(n[6:]) <= self._mark("fed")]
+        if not epochs:
+            return self.spark.createDataFrame([], schema)
+        out = self.spark.read.schema(schema).option("basePath", f"{self.path}/feed").parquet(*[f"{self.path}/feed/{e}" for e in epochs])
+        if types is not None:
+            out = out.where(F.col("msg_type").isin(sorted(set(types))))
+        return out if shards is None else out.where(F.col("shard").isin(sorted(set(shards))))
+
     def versions(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self._schema()).parquet(self.path)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" in str(missing):
-                return self.spark.createDataFrame([], self._schema())
-            raise
+        return self._versions().drop("shard")
+
+    def _versions(self) -> DataFrame:
+        schema = self._schema().add("shard", IntegerType())
+        if not self._names("versions"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions")
+
+    def arrived(self) -> int:
+        """The number of the last arrival, -1 without any."""
+        return self._mark("reserved")
 
     def events(self) -> DataFrame:
         """The winners, with route_id and ord."""
-        return winners(with_order(self.versions()), ("sender", "route_id", "tx_id"), ("ts", "node"))
-
-    def feed(self) -> DataFrame:
-        return change_feed(with_order(self.versions()), ("sender", "route_id", "tx_id"), ("ts", "node"), "arrival_seq")
+        return winners(with_order(self.versions()), IDENTITY, ("ts", "node"))
+
+    def event(self, sender: str, group: str, tx_id: int) -> DataFrame:
+        """The winner of one identity: one shard of each type is read, and the identity is filtered at the scan."""
+        own = self._versions().where((F.col("shard") == shard(F.lit(group))) & (F.col("group") == group) & (F.col("sender") == sender) & (F.col("tx_id") == tx_id))
+        return winners(with_order(own.drop("shard")), IDENTITY, ("ts", "node"))
+
+    def feed(self, msg_type: str | None = None, group: str | None = None, cursor: int | None = None) -> DataFrame:
+        """The signed feed, of a type, of a group and after a cursor where these are given; all three reach the scan."""
+        out = self._changes(None if msg_type is None else [msg_type])
+        if group is not None:
+            out = out.where((F.col("shard") == shard(F.lit(group))) & (F.col("group") == group))
+        if cursor is not None:
+            out = out.where(F.col("change_seq") > cursor)
+        return out.withColumn("ord", F.struct("ts", "route_id", "tx_id", "sender")).drop("shard", "epoch")
+
+    def compact(self) -> None:
+        """Write the feed's epochs as one."""
+        epochs = sorted((n for n in self._names("feed") if n.startswith("epoch=")), key=lambda n: int(n[6:]))
+        if len(epochs) > 1:
+            whole = self._changes().drop("epoch")
+            last = f"{self.path}/compacting"
+            whole.hint("rebalance", "msg_type", "shard").write.mode("overwrite").partitionBy("msg_type", "shard").parquet(last)
+            for n in epochs:
+                at, fs = self._fs(f"{self.path}/feed/{n}")
+                fs.delete(at, True)
+            (source, fs), (target, _) = self._fs(last), self._fs(f"{self.path}/feed/{epochs[-1]}")
+            fs.rename(source, target)
 
     def stream(self) -> DataFrame:
         """New versions as they are appended."""
-        return self.spark.readStream.schema(self._schema()).parquet(self.path)
+        return self.spark.readStream.schema(self._schema().add("shard", IntegerType())).parquet(f"{self.path}/versions").drop("shard")
+
+
+def shard(group: Column) -> Column:
+    """The folder of a group within its type."""
+    return F.pmod(route_id(group), F.lit(SHARDS)).cast("int")
