@@ -16,6 +16,7 @@ from conftest import plain  # noqa: F401
 from test_narrow import brute_contaminations
 from tidelog.llm import jaccard_join, lm_scoring, quality, sentencepiece_codec, substring_dedup
 from tidelog.llm._components import components
+from tidelog.llm._text import buffers, word_hashes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -247,7 +248,8 @@ def passages(small):
 
 
 def test_repeats_against_brute_force(make, passages, hard_rows):
-    rows = passages + [(None if i is None else i + 5000, t) for i, t in hard_rows if i != 4]
+    long = hard_rows[4][1]
+    rows = passages + [(None if i is None else i + 5000, t) for i, t in hard_rows] + [(6000, "zz " + long[200_000:300_000].split(" ", 1)[1])]
     got, first = defaultdict(list), defaultdict(list)
     for r in substring_dedup.repeated_spans(make(rows, extra=True)).orderBy("doc_id", "span_start").collect():
         assert r.n_words == r.span_end - r.span_start
@@ -265,8 +267,23 @@ def cut(text, spans):
     return [x for k, x in enumerate(w) if not any(a <= k < b for a, b in spans)]
 
 
+def test_recompression_ends_with_long_symbols(hard_rows):
+    draw = random.Random(2)
+    for text in (hard_rows[4][1], "ab " * 7 + "x", " ".join(draw.choice("ab") for _ in range(5000)), "a " * 9000):
+        words, per = word_hashes(*buffers(pa.array([text])))
+        name, first, size = substring_dedup.recompress(words, per, 8)
+        size = np.abs(size)
+        covered = np.zeros(len(words), int)
+        for a, n in zip(first, size):
+            covered[a : a + n] += 1
+        # what no final symbol covers is a single short symbol between two of them
+        assert covered.max(initial=0) <= 1 and (len(words) < 100 or covered.mean() > 0.6)
+        gaps = np.diff(np.flatnonzero(np.concatenate([[1], covered, [1]])))
+        assert len(words) < 100 or gaps.max() <= 8
+
+
 def test_cutting(make, passages, hard_rows):
-    rows = passages + [(None if i is None else i + 5000, t) for i, t in hard_rows if i != 4]
+    rows = passages + [(None if i is None else i + 5000, t) for i, t in hard_rows]
     docs = make(rows, extra=True)
     out = substring_dedup.without_repeats(docs)
     assert out.columns == docs.columns

@@ -9,6 +9,7 @@ every window of ``window`` words that holds such a symbol is then verified by it
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,11 @@ _FIRST = 1 << 62
 _RUN, _PAIR, _LONG = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3), U(0x1D8E4E27C47D124F)
 
 
-def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recompress(words: np.ndarray, per_text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(names, first words, lengths in words) of the final symbols, in order.
 
     A run of at least ``span`` words is named by what is repeated alone, so that it matches a run of another length; its length is
-    given as a negative number.
+    given as a negative number. Rounds go on until no two symbols that aren't final are neighbours.
     """
     n = len(words)
     text = np.repeat(np.arange(len(per_text) - 1), np.diff(per_text))
@@ -35,8 +36,9 @@ def recompress(words: np.ndarray, per_text: np.ndarray, span: int, rounds: int =
     done = []
     # final symbols stay in the sequence as walls: their names take no further part
     final = np.zeros(n, bool)
-    for r in range(rounds):
-        if len(symbols) < 2:
+    for r in itertools.count():
+        open_ = ~final
+        if not (open_[1:] & open_[:-1] & (text[1:] == text[:-1])).any():
             break
         same = np.zeros(len(symbols), bool)
         same[1:] = (symbols[1:] == symbols[:-1]) & (text[1:] == text[:-1]) & ~final[1:] & ~final[:-1]
