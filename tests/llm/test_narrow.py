@@ -111,20 +111,32 @@ def test_token_shards(spark, make, small, hard_rows, tmp_path):
     n = len(rows)
     assert [r.slot for r in rows] == list(range(n)), "range-partitioned and sorted, each slot once"
     assert all(r.shard == r.slot // 500 and r.byte_offset == r.slot % 500 * 128 and len(r.tokens) == 128 for r in rows)
-    whole = defaultdict(list)
-    for r in sorted(rows, key=lambda r: r.seq_no):
-        whole[r.doc_id].append(np.frombuffer(r.tokens, "<u2")[: r.n_tokens].tolist())
+    whole, pads = defaultdict(list), 0
+    for r in rows:
+        tokens = np.frombuffer(r.tokens, "<u2").tolist()
+        starts = [p.start for p in r.docs] + [r.n_tokens]
+        assert starts[0] == 0 and starts == sorted(set(starts)) and set(tokens[r.n_tokens :]) <= {len(ranks)}
+        pads += r.n_tokens < 64
+        for p, a, b in zip(r.docs, starts, starts[1:]):
+            whole[p.doc].append((p.token, tokens[a:b]))
+    assert pads <= docs.rdd.getNumPartitions(), "only a task's last sequence is padded"
+    joined = {d: sum((t for _, t in sorted(ps, key=lambda p: p[0])), []) for d, ps in whole.items()}
     for r in docs.collect():
         if r.text is None:
             assert r.doc_id not in whole
         elif r.doc_id != 5:
-            assert sum(whole[r.doc_id], []) == [*plain_encoder.encode_ordinary(r.text), len(ranks)]
-    assert sum(whole[5], []) == 2 * [*plain_encoder.encode_ordinary("same row here"), len(ranks)]
-    files = token_shards.write_shards(ordered, str(tmp_path)).collect()
-    assert sum(f.n_sequences for f in files) == n
-    tail = list(token_shards.read_from(str(tmp_path), n // 2, 64, 500))
-    assert [t.tobytes() for t in tail] == [bytes(r.tokens) for r in rows[n // 2 :]]
-    assert token_shards.training_order(make([])).count() == 0
+            assert joined[r.doc_id] == [*plain_encoder.encode_ordinary(r.text), len(ranks)]
+            at = 0
+            for token, piece in sorted(whole[r.doc_id], key=lambda p: p[0]):
+                assert token == at
+                at += len(piece)
+    assert sorted(t for _, ps in whole[5] for t in ps) == sorted(2 * [*plain_encoder.encode_ordinary("same row here"), len(ranks)])
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        files = token_shards.materialised(docs, 64, 500, folder=folder).collect()
+        assert [r.slot for r in files] == list(range(n)) and all(r.path == token_shards.shard_path(folder, r.shard) for r in files)
+        tail = list(token_shards.read_from(folder, n // 2, 64, 500))
+        assert [t.tobytes() for t in tail] == [bytes(r.tokens) for r in rows[n // 2 :]]
+    assert token_shards.training_order(make([])).count() == 0 and token_shards.materialised(make([])).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])

@@ -30,8 +30,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token sequence of the corpus in its slot of the training order."""
-    return token_shards.training_order(_table(spark, sf_dir, "documents"))
+    """Every token sequence of the corpus in its slot of the training order, in the shard files that are written on the way."""
+    return token_shards.materialised(_table(spark, sf_dir, "documents"))
 
 
 @_query

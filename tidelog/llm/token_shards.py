@@ -1,6 +1,6 @@
 """Token ids as fixed-stride binary shards in training order.
 
-Every document is cut into sequences of ``length`` tokens. A keyed Feistel permutation with cycle-walking maps the dense index of
+Documents, an end mark after each, are joined within a task and cut into sequences of ``length`` tokens, so only a task's last one is padded. A keyed Feistel permutation with cycle-walking maps the dense index of
 each sequence to its slot in the training order, a bijection on 0..N-1; shard k holds the slots from k * per_shard on, each at the
 same stride, so any slot is one seek away and reading resumes from a slot number alone.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._session import written
+from tidelog.llm._session import shared_folder, written
 from tidelog.llm._text import SPACE, Memo, U, buffers, flat_ranges, mix, slices
 
 RANKS = os.environ.get("TIDELOG_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -86,48 +87,82 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, length: int, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, ordinal, doc_id, seq_no, n_tokens, tokens): each document's tokens and an end mark, cut to ``length`` and filled up with end marks.
+    """(part, ordinal, docs, n_tokens, tokens): tokens of the task's documents with their end marks, joined and cut to ``length``; the last sequence is
+    filled up with end marks, which ``n_tokens`` doesn't count.
 
+    ``docs`` lists the pieces of a sequence: the document, where in the sequence the piece starts, and which token of the document that is.
     ``tokens`` is little-endian binary. ``part`` and ``ordinal`` number the rows of the task that made them.
     """
     width = width_of(ranks)
     kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
-    schema = f"part int, ordinal bigint, {id_col} {docs.schema[id_col].dataType.simpleString()}, seq_no int, n_tokens int, tokens binary"
+    schema = f"part int, ordinal bigint, docs {PIECES.format(docs.schema[id_col].dataType.simpleString())}, n_tokens int, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, done, own = TaskContext.get().partitionId(), 0, tokenizer(ranks)
+        # what isn't a whole sequence yet: its tokens, and the document, first place and token of each of its pieces
+        rest, rest_ids, rest_at, rest_from = np.zeros(0, kind), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def give(flat: np.ndarray, ids: pa.Array, at: np.ndarray, begins: np.ndarray, real: int) -> pa.RecordBatch:
+            """The whole sequences of ``flat``, whose pieces begin at ``at``, of which the first ``real`` tokens count."""
+            nonlocal done
+            n = len(flat) // length
+            ends = np.append(at[1:], real)
+            first, last = at // length, np.maximum(ends - 1, at) // length
+            owner = np.repeat(np.arange(len(at)), last - first + 1)
+            seq = flat_ranges(first, last - first + 1)
+            begin = np.maximum(at[owner], seq * length)
+            pieces = pa.StructArray.from_arrays([ids.take(pa.array(owner)), pa.array(begin - seq * length, pa.int32()), pa.array(begins[owner] + begin - at[owner])], names=["doc", "start", "token"])
+            lists_ = pa.ListArray.from_arrays(pa.array(np.searchsorted(seq, np.arange(n + 1)), pa.int32()), pieces)
+            tokens = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (length * width)), pa.py_buffer(np.ascontiguousarray(flat[: n * length]))])
+            counts = np.minimum(real - np.arange(n) * length, length)
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(done, done + n)), lists_, pa.array(counts, pa.int32()), tokens], names=["part", "ordinal", "docs", "n_tokens", "tokens"])
+            done += n
+            return out
+
         for rows in slices(batches, text_col, 2 << 20):
             rows = rows.filter(rows.column(text_col).is_valid())
             if not rows.num_rows:
                 continue
-            ids, per = own.encode_flat(*buffers(rows.column(text_col)))
+            coded, per = own.encode_flat(*buffers(rows.column(text_col)))
             sizes = np.diff(per) + 1
-            count = -(-sizes // length)
-            first = np.cumsum(count) - count
-            flat = np.full(int(count.sum()) * length, own.end, kind)
-            flat[flat_ranges(first * length, sizes - 1)] = ids
-            n = int(count.sum())
-            no = flat_ranges(np.zeros(len(count), np.int64), count)
-            doc = np.repeat(np.arange(len(count)), count)
-            real = np.minimum(sizes[doc] - no * length, length)
-            tokens = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (length * width)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(done, done + n)), rows.column(id_col).take(pa.array(doc)), pa.array(no, pa.int32()), pa.array(real, pa.int32()), tokens],
-                names=["part", "ordinal", id_col, "seq_no", "n_tokens", "tokens"],
-            )
-            done += n
+            begin = np.cumsum(sizes) - sizes
+            fresh = np.full(int(sizes.sum()), own.end, kind)
+            fresh[flat_ranges(begin, sizes - 1)] = coded
+            flat = np.concatenate([rest, fresh])
+            ids = rows.column(id_col)
+            ids = ids if rest_ids is None else pa.concat_arrays([rest_ids, ids])
+            at, froms = np.concatenate([rest_at, begin + len(rest)]), np.concatenate([rest_from, np.zeros(len(begin), np.int64)])
+            whole = len(flat) // length * length
+            k = int(np.searchsorted(at, whole, side="right"))
+            if whole:
+                yield give(flat[:whole], ids.slice(0, k) if at[k - 1] < whole else ids.slice(0, k - 1), *((at[:k], froms[:k]) if at[k - 1] < whole else (at[: k - 1], froms[: k - 1])), whole)
+            if whole == len(flat):
+                rest, rest_ids, rest_at, rest_from = np.zeros(0, kind), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            else:
+                first = k - 1  # the piece that the rest begins in
+                rest, rest_ids = flat[whole:], ids.slice(first)
+                rest_at, rest_from = at[first:] - whole, froms[first:].copy()
+                rest_from[0] -= min(rest_at[0], 0)
+                rest_at = np.maximum(rest_at, 0)
+        if len(rest):
+            padded = np.full(length, own.end, kind)
+            padded[: len(rest)] = rest
+            yield give(padded, rest_ids, rest_at, rest_from, len(rest))
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
+PIECES = "array<struct<doc:{},start:int,token:bigint>>"
+
+
 def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens) of every sequence, range-partitioned and sorted by slot.
+    """(slot, shard, byte_offset, docs, n_tokens, tokens) of every sequence, range-partitioned and sorted by slot; ``docs`` as in ``sequences``.
 
     Tokens are computed once and written to the shared folder, which fixes each sequence's index; only they are shuffled, once, and
-    each shard is one partition. A null text has no sequence, an empty one has one of a single end mark; repeated rows and null ids
-    each give their own sequences; other columns are ignored; an empty table gives no rows.
+    each shard is one partition. A null text has no tokens, an empty one a single end mark, a very long one many sequences; repeated rows and null ids
+    each give their own tokens; other columns are ignored; an empty table gives no rows.
     """
     table = written(sequences(docs, length, ranks, id_col, text_col), "sequences")
     counts = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each file split
@@ -146,7 +181,7 @@ def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, k
     stride = length * width_of(ranks)
     placed = table.withColumn("slot", slot("part", "ordinal"))
     shard = F.floor(F.col("slot") / F.lit(per_shard)).cast("int")
-    out = placed.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * stride).alias("byte_offset"), id_col, "seq_no", "n_tokens", "tokens")
+    out = placed.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "docs", "n_tokens", "tokens")
     return out.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("slot")
 
 
@@ -154,49 +189,66 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """(shard, path, n_sequences, n_bytes) of the raw files that the tasks wrote to ``folder``, which all executors must see.
+    """(slot, shard, byte_offset, docs, n_tokens, path): the sequences, in the raw files that the tasks write to ``folder``, a path or URI that all
+    executors see. A row appears when its file is there.
 
     A file is written under another name and renamed, so a task that is run again replaces it whole.
     """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.drop("tokens").schema) + ", path string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = _store(folder)
         store.create_dir(root)
-        current, out, name, done = None, None, "", []
+        current, out, name, waiting = None, None, "", []
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             if out is not None:
                 out.close()
                 store.move(name, shard_path(root, current))
-                done.append((current, shard_path(root, current), count, size))
+                for rows in waiting:
+                    yield rows.append_column("path", pa.array([shard_path(folder, current)] * rows.num_rows, pa.string()))
 
-        count = size = 0
         for batch in batches:
-            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens")):
-                if shard != current:
-                    close()
-                    current, count, size = shard, 0, 0
+            shards = np.asarray(batch.column("shard"))
+            cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shards)]):
+                if shards[a] != current:
+                    yield from close()
+                    current, waiting = int(shards[a]), []
                     name = f"{root}/.{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                out.write(tokens.as_buffer())
-                count, size = count + 1, size + len(tokens.as_buffer())
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "n_sequences", "n_bytes"])
+                rows = batch.slice(a, b - a)
+                tokens = rows.column("tokens")
+                _, ends, data = tokens.buffers()
+                low, high = np.frombuffer(ends, np.int32)[[tokens.offset, tokens.offset + len(tokens)]]
+                out.write(data.slice(int(low), int(high - low)))
+                waiting.append(rows.drop_columns(["tokens"]))
+        yield from close()
 
-    return ordered.select("shard", "tokens").mapInArrow(run, "shard int, path string, n_sequences bigint, n_bytes bigint")
+    return ordered.mapInArrow(run, schema)
+
+
+def materialised(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, folder: str | None = None) -> DataFrame:
+    """The training order as shard files in ``folder``, by default a new one in the shared folder, and a row for every sequence, as ``write_shards`` gives them."""
+    return write_shards(training_order(docs, length, per_shard, key, ranks), folder or f"{shared_folder(docs.sparkSession)}/tidelog-shards-{uuid.uuid4().hex}")
 
 
 def read_from(folder: str, slot: int, length: int = 512, per_shard: int = 65536, width: int = 2) -> Iterator[np.ndarray]:
-    """The sequences from ``slot`` on, in training order: one seek, then sequential reads over the shards."""
+    """The sequences from ``slot`` on, in training order: one seek, then sequential reads over the shards. ``folder`` is a path or URI, as it was written."""
+    from pyarrow import fs
+
+    store, root = _store(folder)
     stride, shard = length * width, slot // per_shard
     skip = (slot % per_shard) * stride
-    while os.path.exists(shard_path(folder, shard)):
-        with open(shard_path(folder, shard), "rb") as f:
+    while store.get_file_info(shard_path(root, shard)).type == fs.FileType.File:
+        with store.open_input_file(shard_path(root, shard)) as f:
             f.seek(skip)
             while block := f.read(stride):
                 yield np.frombuffer(block, "<u2" if width == 2 else "<u4")
