@@ -225,11 +225,14 @@ def test_equal_passages_share_phrases(make):
 # --- 6
 
 
-def test_sharding_equals_a_plain_packing(spark, make, hard_rows):
+@pytest.mark.parametrize("n, cell", [(6, 256), (12, 5)])
+def test_sharding_equals_a_plain_packing(spark, make, hard_rows, n, cell):
     draw = random.Random(9)
+    # s2 holds a third of the rows; rows 600 to 603 tie, and the last one is more than a shard
     rows = [(k, "w " * draw.randint(1, 60), draw.choice(["en", "de", None]), f"s{min(k % 11, k % 3)}", 0) for k in range(600)]
+    rows += [(600 + k, "tie tie", None, f"t{k}", 0) for k in range(4)] + [(604, "big " * 4000, "en", "huge", 0)]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"shard": F.lit(1), "unit": F.lit("x")})
-    out = sharding.shard_documents(docs, n_shards=6)
+    out = sharding.shard_documents(docs, n_shards=n, cell_shards=cell)
     got = {r.doc_id: r.shard for r in out.collect()}
     hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
     names = {r.doc_id: r.j for r in docs.select("doc_id", F.to_json(F.struct(F.col("source").alias("g0"), F.col("lang").alias("g1"))).alias("j")).collect()}
@@ -238,28 +241,38 @@ def test_sharding_equals_a_plain_packing(spark, make, hard_rows):
     groups = defaultdict(lambda: np.zeros(3))
     for d in size:
         groups[names[d]] += size[d]
-    parts = {g: max(1, int(np.ceil((v * 6 / total).max() / 0.125))) for g, v in groups.items()}
+    parts = {g: max(1, int(np.ceil((v * n / total).max() / 0.125))) for g, v in groups.items()}
     unit_of = {d: f"{names[d]}#{hashes[d] % parts[names[d]]}" for d in size}
     units = defaultdict(lambda: np.zeros(3))
     for d in size:
         units[unit_of[d]] += size[d]
-    room = [np.full(3, 1.02) for _ in range(6)]
+    cells = -(-n // cell)
+    cell_of = {r.u: r.c for r in spark.createDataFrame([(u,) for u in units], "u string").select("u", F.pmod(F.xxhash64("u"), F.lit(cells)).alias("c")).collect()}
     where = {}
-    for u in sorted(units, key=lambda u: (-(units[u] / total).max(), u)):
-        v = units[u] / (total / 6)
-        fit = [s for s in range(6) if (room[s] >= v - 1e-12).all()]
-        best = max(fit, key=lambda s: (room[s] @ v, -s)) if fit else max(range(6), key=lambda s: ((room[s] - v).min(), -s))
-        where[u] = best
-        room[best] = room[best] - v
+    for c in range(cells):
+        own = [u for u in units if cell_of[u] == c]
+        low, high = n * c // cells, n * (c + 1) // cells
+        whole = sum((units[u] for u in own), np.zeros(3))
+        room = [np.full(3, 1.02) for _ in range(high - low)]
+        for u in sorted(own, key=lambda u: (-(units[u] / whole).max(), u)):
+            v = units[u] / (whole / (high - low))
+            fit = [s for s in range(high - low) if (room[s] >= v - 1e-12).all()]
+            best = max(fit, key=lambda s: (room[s] @ v, -s)) if fit else max(range(high - low), key=lambda s: ((room[s] - v).min(), -s))
+            where[u] = best + low
+            room[best] = room[best] - v
     assert got == {d: where[unit_of[d]] for d in size}
-    load = defaultdict(lambda: np.zeros(3))
-    for d, s in got.items():
-        load[s] += size[d]
-    assert max((v / (total / 6)).max() for v in load.values()) < 1.25
     assert sharding.shard_documents(make(hard_rows, extra=True)).count() == len(hard_rows)
     assert sharding.shard_documents(make([])).count() == 0
 
 
+def test_shards_follow_the_size(make):
+    docs = make([(k, "word " * 200) for k in range(300)])
+    load = defaultdict(int)
+    for r in sharding.shard_documents(docs, shard_bytes=30_000).collect():
+        load[r.shard] += r.bytes
+    assert len(load) == 10 and max(load.values()) < 1.25 * 30_000
+
+
 # --- 8
 
 

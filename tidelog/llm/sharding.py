@@ -34,18 +34,20 @@ def pack(vectors: np.ndarray, shards: int, slack: float) -> np.ndarray:
     return out
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 64, by: tuple[str, ...] = ("source", "lang"), slack: float = 0.02, unit_share: float = 0.125, cell_shards: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, shard, bytes, tokens) of every row.
+def shard_documents(docs: DataFrame, n_shards: int | None = None, shard_bytes: int = 64 << 20, by: tuple[str, ...] = ("source", "lang"), slack: float = 0.02, unit_share: float = 0.125, cell_shards: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, shard, bytes, tokens) of every row. Without ``n_shards`` there are as many shards as ``shard_bytes`` of text fill.
 
     Texts are read once, to measure them; the measures are a written table of a few bytes a row. A null text is 0 bytes and 0
     tokens, and a token is a word here; null group values form a group of their own. Rows that share an id and group share the shard;
-    ties in size go by unit name. An empty table gives no rows; other columns are ignored.
+    ties in size go by unit name. A row that is more than a shard holds has room nowhere and goes where the tightest dimension stays loosest. An empty table gives no
+    rows; other columns are ignored.
     """
     words = F.regexp_count(F.col(text_col), F.lit("[^ \\t\\n\\x0B\\f\\r]+"))
     unit_name = F.to_json(F.struct(*[F.col(c).cast("string").alias(f"g{k}") for k, c in enumerate(by)]))
     measured = written(docs.select(F.col(id_col).alias("id"), unit_name.alias("grp"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint").alias("bytes"), F.coalesce(words, F.lit(0)).cast("bigint").alias("tokens")), "measures")
     sums = [F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = measured.agg(*sums).first()
+    n_shards = n_shards or max(1, -(-(total["bytes"] or 0) // shard_bytes))
     share = F.greatest(*[F.col(d) * F.lit(n_shards / max(1, total[d] or 0)) for d in DIMENSIONS])
     parts = measured.groupBy("grp").agg(*sums).select("grp", F.greatest(F.lit(1), F.ceil(share / unit_share)).cast("bigint").alias("parts"))
     own = measured.join(parts, "grp").withColumn("unit", F.concat_ws("#", "grp", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.col("parts")).cast("string")))
