@@ -4,7 +4,7 @@ Maximum-likelihood estimates of the three orders and the uniform one are mixed w
 was seen; expectation-maximisation learns the weights on documents held out from counting. A counted document is scored without
 the occurrence at hand (counts less one), so it isn't praised for being in the corpus.
 
-Counting is a shuffle of blocks: a chunk of documents sends each different n-gram once, as sorted keys of 56 bits, difference-coded and
+Counting is a shuffle of blocks: a chunk of documents sends each different n-gram once, as sorted keys of 64 bits (62 of hash, 2 for the order), difference-coded and
 compressed, to the bucket that owns the key's range; the bucket adds up all chunks and answers each with a block of counts in the order of
 its keys. Nothing is sampled, capped or gathered on the driver but the sums, and a histogram of held-out probabilities on a fixed grid.
 """
@@ -41,12 +41,12 @@ def keys_of(words: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     u = np.empty_like(w)
     u[1:] = v[:-1]
     u[head] = BEGIN
-    pack = lambda x, order: ((x >> U(10)) << U(2)) | U(order)
+    pack = lambda x, order: (x & ~U(3)) | U(order)
     two = v * U(0xD6E8FEB86659FD93) + w
     return pack(mix(w + U(1)), 1), pack(mix(two + U(2)), 2), pack(mix(mix(two) + u * U(0xA3B195354A39B70D)), 3), offsets
 
 
-END_KEY = int(((mix(np.array([END]) + U(1)) >> U(10)) << U(2) | U(1))[0])
+END_KEY = int((mix(np.array([END]) + U(1)) & ~U(3) | U(1))[0])
 
 
 def squeeze(values: np.ndarray, width: int) -> bytes:
@@ -62,11 +62,11 @@ def unsqueeze(blob: bytes, n: int, width: int) -> np.ndarray:
 
 
 def _keys_out(keys: np.ndarray) -> bytes:
-    return squeeze(np.diff(keys, prepend=U(0)), 7)
+    return squeeze(np.diff(keys, prepend=U(0)), 8)
 
 
 def _keys_in(blob: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unsqueeze(blob, n, 7), dtype=np.uint64)
+    return np.cumsum(unsqueeze(blob, n, 8), dtype=np.uint64)
 
 
 class Chunk:
@@ -131,7 +131,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
 
 
 def _bucket_edges(buckets: int) -> np.ndarray:
-    return np.array([-(-(k << 56) // buckets) for k in range(1, buckets)], np.uint64)
+    return np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], np.uint64)
 
 
 def requests(buckets: int):
@@ -143,7 +143,7 @@ def requests(buckets: int):
             edges = np.concatenate([[0], np.searchsorted(keys, _bucket_edges(buckets)), [len(keys)]])
             full = np.flatnonzero(np.diff(edges))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array(np.full(len(full), name), pa.int64()), pa.array(np.diff(edges)[full], pa.int32()), pa.array([_keys_out(keys[edges[k] : edges[k + 1]]) for k in full], pa.binary()), pa.array([squeeze(counts[edges[k] : edges[k + 1]], 4) for k in full], pa.binary())],
+                [pa.array(full, pa.int32()), pa.array(np.full(len(full), name), pa.int64()), pa.array(np.diff(edges)[full], pa.int32()), pa.array([_keys_out(keys[edges[k] : edges[k + 1]]) for k in full], pa.binary()), pa.array([squeeze(counts[edges[k] : edges[k + 1]], 8) for k in full], pa.binary())],
                 names=["bucket", "chunk", "n", "keys", "counts"],
             )
 
@@ -154,7 +154,7 @@ def answer(group: pa.Table) -> pa.Table:
     """The corpus counts for each chunk's keys of one bucket, and a row of sums: words counted, different words, documents."""
     sizes = group.column("n").to_pylist()
     keys = np.concatenate([_keys_in(b, n) for b, n in zip(group.column("keys").to_pylist(), sizes)])
-    counts = np.concatenate([unsqueeze(b, n, 4) for b, n in zip(group.column("counts").to_pylist(), sizes)])
+    counts = np.concatenate([unsqueeze(b, n, 8) for b, n in zip(group.column("counts").to_pylist(), sizes)])
     order = np.argsort(keys, kind="stable")
     first = np.ones(len(keys), bool)
     first[1:] = keys[order[1:]] != keys[order[:-1]]
@@ -165,7 +165,7 @@ def answer(group: pa.Table) -> pa.Table:
     different = keys[order[at]]
     words = (different & U(3)) == U(1)
     ends = np.cumsum(sizes)
-    blobs = [squeeze(total[e - n : e], 5) for e, n in zip(ends.tolist(), sizes)]
+    blobs = [squeeze(total[e - n : e], 8) for e, n in zip(ends.tolist(), sizes)]
     k = len(sizes)
     return pa.table(
         {
@@ -198,7 +198,7 @@ def _open(group: pa.Table, documents: int) -> tuple[Chunk, tuple[np.ndarray, ...
     rows = pa.ipc.open_stream(group.column("counts")[0].as_py()).read_all().combine_chunks()
     chunk = Chunk(rows.column("id").combine_chunks(), rows.column("text").combine_chunks(), kinds[0] == -2)
     keys, where = chunk.keys(inverse=True)
-    parts = [unsqueeze(b, n, 5) for b, n in zip(group.column("counts").to_pylist()[1:], group.column("n").to_pylist()[1:])]
+    parts = [unsqueeze(b, n, 8) for b, n in zip(group.column("counts").to_pylist()[1:], group.column("n").to_pylist()[1:])]
     total = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     if len(total) != len(keys):
         raise RuntimeError("a chunk was read differently when it was counted; the input isn't stable")
