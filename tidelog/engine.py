@@ -44,6 +44,7 @@ class Engine:
         self.log = log.EventLog(spark, f"{self.path}/events")
         self.types, self.gears = EventTypes(), Gears()
         self._queries: list = []
+        self._peers: list[Engine] = []
 
     # dimensions
     def _append(self, name: str, rows: DataFrame) -> None:
@@ -88,13 +89,30 @@ class Engine:
         return log.resolve(events, known, F.col("sender") == F.col("__sender"), required=log.UnknownSender).drop("__sender")
 
     # writing
-    def post(self, events: DataFrame, ts: int, **checks) -> None:
-        """Append a batch: sender, tx_id, msg_type, group, body, node, arrival_seq. Refused whole if anything in it is unknown."""
-        self.types.freeze()
-        declared = [t.name for t in self.types]
-        if declared and events.where(~F.col("msg_type").isin(declared)).limit(1).count():
-            raise LogError("an event of a type that isn't declared")
-        self.log.post(events, ts, self.senders(), self.users(), **checks)
+    def connect(self, *peers: Engine) -> None:
+        """Nodes that get every batch which is posted here."""
+        self._peers += peers
+
+    def post(self, events: DataFrame, ts: int, forwarded_from: str | None = None, reply: Callable[[LogError | None], None] | None = None, **checks) -> None:
+        """Append a batch: sender, tx_id, msg_type, group, body, node, arrival_seq. Refused whole if anything in it is unknown.
+
+        Connected nodes pull it, unless it was ``forwarded_from`` another. With ``reply`` the outcome goes there, None or the error, instead of being raised.
+        """
+        try:
+            self.types.freeze()
+            declared = [t.name for t in self.types]
+            if declared and events.where(~F.col("msg_type").isin(declared)).limit(1).count():
+                raise LogError("an event of a type that isn't declared")
+            self.log.post(events, ts, self.senders(), self.users(), **checks)
+        except LogError as refused:
+            if reply is None:
+                raise
+            return reply(refused)
+        if forwarded_from is None:
+            for peer in self._peers:
+                peer.pull(self)
+        if reply is not None:
+            reply(None)
 
     def pull(self, *peers: Engine) -> None:
         """Append what peers got since the last pull and this log hasn't; it arrives here after all that is here. Deduplication makes all nodes converge,

@@ -10,8 +10,11 @@ import importlib
 import itertools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidelog.schema import EvaluationError
 
@@ -180,6 +183,18 @@ def loop(start, step: Callable, most: int | None = None):
     raise EvaluationError(f"a loop of more than {most} rounds")
 
 
+def loop_column(state: Column, step: Callable, kind: str) -> Column:
+    """General recursion for every row: ``step(again, state)`` as in ``loop`` on each value, a dict where it is a struct. What no expression can say, so it runs
+    in Python, in Arrow batches."""
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else loop(v, step) for v in values.to_pylist()], arrow)
+
+    arrow = to_arrow_type(T.DataType.fromDDL(kind))
+    return run(state)
+
+
 # records
 def record(**fields: Value) -> Column:
     return F.struct(*[_col(v).alias(k) for k, v in fields.items()])

@@ -397,15 +397,32 @@ def render_segments(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("d
     return tree.groupBy(doc).cogroup(texts.groupBy(doc)).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", position int, anchor {ANCHOR}, offset int, text string")
 
 
+def _update_row(upd: dict) -> dict:
+    new = [{"parent": None if p["parent"] is None else dict(zip(FIELDS, p["parent"])), "offset": p["offset"]} for p in upd["new_anchors"]]
+    return {"new_anchors": new, "new_strings": upd["new_strings"], "deletions": [dict(zip(FIELDS, d)) for d in upd["deletions"]]}
+
+
+def diff_documents(tree: DataFrame, texts: DataFrame, targets: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, edit): the edit that turns each document into its target. ``texts`` has doc, anchor, text of one branch, ``targets`` doc and target."""
+    kind = targets.schema[doc].dataType.simpleString()
+    none = F.lit(None).cast(ANCHOR)
+    rows = texts.select(doc, "anchor", "text", F.lit(None).cast("string").alias("target")).unionByName(targets.select(doc, none.alias("anchor"), F.lit(None).cast("string").alias("text"), "target"))
+
+    def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
+        wanted = text_rows[text_rows["target"].notna()]
+        have = text_rows[text_rows["target"].isna()]
+        out = [(d, _update_row(Document(_tree_of(anchor_rows), _texts_of(have)).diff(t))) for d, t in zip(wanted[doc], wanted["target"])]
+        return pd.DataFrame(out, columns=[doc, "edit"])
+
+    return fresh(tree).groupBy(doc).cogroup(fresh(rows).groupBy(doc)).applyInPandas(run, f"`{doc}` {kind}, edit {TEXT_UPDATE}")
+
+
 def diff_column(old, new):
     """The edit (as an update column) that turns a one-anchor document holding ``old`` into ``new``; the anchor is (0, 0, 0, '')."""
 
     @F.pandas_udf(TEXT_UPDATE)
     def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for was, now in zip(a, b):
-            upd = diff_text(*single(was or ""), now or "")
-            rows.append({"new_anchors": [{"parent": None if p["parent"] is None else dict(zip(FIELDS, p["parent"])), "offset": p["offset"]} for p in upd["new_anchors"]], "new_strings": upd["new_strings"], "deletions": [dict(zip(FIELDS, d)) for d in upd["deletions"]]})
+        rows = [_update_row(Document(*single(was or "")).diff(now or "")) for was, now in zip(a, b)]
         return pd.DataFrame(rows, columns=["new_anchors", "new_strings", "deletions"])
 
     return of(old, new)

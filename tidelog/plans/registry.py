@@ -113,10 +113,10 @@ def resolve_event(spark, sf_dir):
 
 @_query("select l_orderkey, l_linenumber, l_partkey, p_name from lineitem join part on l_partkey = p_partkey")
 def resolve_data(spark, sf_dir):
-    """Content of every data object that an item refers to."""
+    """Content of every data object that an item refers to; one that isn't there is an error."""
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
     items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return log.resolve(items, parts, F.col("l_partkey") == F.col("p_partkey")).where("p_name is not null").select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
+    return log.resolve(items, parts, F.col("l_partkey") == F.col("p_partkey"), required=log.UnknownData).select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
 
 
 @_query("select user_id, event_id from events e where user_id is not null and not exists (select 1 from supplier where s_suppkey = e.user_id)")
@@ -306,32 +306,49 @@ def sg_bounded_replay(spark, sf_dir):
     return stategraph.affected_readers(t.where("event_type = 'view'").select("user_id", "ord", "event_id"), writes, writes.where("value % 3 = 0"), ["user_id"]).select("event_id", "user_id")
 
 
+def _zero():
+    return F.lit(0).cast("bigint")
+
+
+def _root_edit(column: str):
+    """An edit that adds one anchor under the root, with the column's text."""
+    anchor = F.struct(F.lit(None).cast(text.ANCHOR).alias("parent"), F.lit(0).alias("offset"))
+    return F.struct(F.array(anchor).alias("new_anchors"), F.array(column).alias("new_strings"), F.array().cast(f"array<{text.ANCHOR}>").alias("deletions")).cast(text.TEXT_UPDATE)
+
+
+def _users(spark, sf_dir) -> int:
+    return _table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+
+
 def _invites(spark, sf_dir) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("branch"), F.lit(0).cast("bigint").alias("creator"), (F.col("user_id") % 20).alias("user"), (F.col("event_id") * 7 % 20).alias("invitee"), F.col("event_id").alias("ts"), F.lit(0).cast("bigint").alias("route_id"), F.lit(0).cast("bigint").alias("tx_id"), F.lit("").alias("sender"))
+    """Every event is an invitation by its user; user 0 made all branches."""
+    e, zero = _table(spark, sf_dir, "events"), F.lit(0).cast("bigint")
+    return e.select(F.col("event_type").alias("branch"), zero.alias("creator"), F.col("user_id").alias("user"), (F.col("event_id") * 7 % _users(spark, sf_dir)).alias("invitee"), F.col("event_id").alias("ts"), zero.alias("route_id"), zero.alias("tx_id"), F.lit("").alias("sender"))
 
 
-@_query("""with recursive steps as (
-  select event_type as branch, user_id % 20 as usr, event_id * 7 % 20 as invitee, event_id, row_number() over (partition by event_type order by event_id) as nth from events
+_MEMBERS = """recursive steps as (
+  select event_type as branch, user_id as usr, event_id * 7 % (select max(user_id) + 1 from events) as invitee, event_id, row_number() over (partition by event_type order by event_id) as nth from events
 ), fold(branch, nth, members, wrote, event_id) as (
   select distinct event_type, cast(0 as bigint), [cast(0 as bigint)], cast(null as bigint), cast(null as bigint) from events
   union all
   select f.branch, s.nth, case when list_contains(f.members, s.usr) and not list_contains(f.members, s.invitee) then list_append(f.members, s.invitee) else f.members end,
          case when list_contains(f.members, s.usr) then s.invitee end, s.event_id
   from fold f join steps s on s.branch = f.branch and s.nth = f.nth + 1
-)
-select branch, wrote as member, cast(min(event_id) as bigint) as since, count(*) as writes from fold where wrote is not null group by 1, 2""")
+)"""
+
+
+@_query(f"with {_MEMBERS} select branch, wrote as member, cast(min(event_id) as bigint) as since, count(*) as writes from fold where wrote is not null group by 1, 2")
 def sg_invited(spark, sf_dir):
     """Membership of every branch: since when, and how many invitations confirm it."""
     folded = gears.invited(_invites(spark, sf_dir))
     return folded.groupBy("branch", F.col("key").alias("member")).agg(F.min("ts").alias("since"), F.count("*").alias("writes"))
 
 
-@_query("""with recursive steps as (
-  select event_type as site, case when user_id % 50 = 0 then null else user_id % 20 end as admin, event_id % 20 as target, ['None', 'User', 'Moderator', 'Admin'][cast(event_id // 20 % 4 as int) + 1] as lvl, event_id,
+@_query("""with recursive n as (select max(user_id) + 1 as n from events), steps as (
+  select event_type as site, case when user_id % 50 = 0 then null else user_id end as admin, event_id % (select n from n) as target, ['None', 'User', 'Moderator', 'Admin'][cast(event_id // 20 % 4 as int) + 1] as lvl, event_id,
          row_number() over (partition by event_type order by event_id) as nth from events
 ), fold(site, nth, levels, wrote, lvl, event_id) as (
-  select distinct event_type, cast(0 as bigint), list_transform(range(20), lambda x: 'unset'), cast(null as bigint), cast(null as varchar), cast(null as bigint) from events
+  select distinct event_type, cast(0 as bigint), list_transform(range((select n from n)), lambda x: 'unset'), cast(null as bigint), cast(null as varchar), cast(null as bigint) from events
   union all
   select f.site, s.nth, case when s.admin is null or f.levels[s.admin + 1] = 'Admin' then list_concat(f.levels[:s.target], [s.lvl], f.levels[s.target + 2:]) else f.levels end,
          case when s.admin is null or f.levels[s.admin + 1] = 'Admin' then s.target end, s.lvl, s.event_id
@@ -340,30 +357,26 @@ def sg_invited(spark, sf_dir):
 select site, wrote as target, event_id as event, lvl as level from fold where wrote is not null""")
 def sg_rbac(spark, sf_dir):
     """Access levels of every site: all accepted changes."""
-    e = _table(spark, sf_dir, "events")
+    e, n = _table(spark, sf_dir, "events"), _users(spark, sf_dir)
     level = F.element_at(F.array(*map(F.lit, gears.LEVELS)), (F.floor(F.col("event_id") / 20) % 4).cast("int") + 1)
-    changes = e.select(F.col("event_type").alias("site"), F.when(F.col("user_id") % 50 != 0, F.col("user_id") % 20).alias("admin"), (F.col("event_id") % 20).alias("target"), level.alias("level"), F.col("event_id").alias("event"))
+    changes = e.select(F.col("event_type").alias("site"), F.when(F.col("user_id") % 50 != 0, F.col("user_id")).alias("admin"), (F.col("event_id") % n).alias("target"), level.alias("level"), F.col("event_id").alias("event"))
     return gears.access_levels(changes).select("site", F.col("key").alias("target"), "event", F.col("value").alias("level"))
 
 
-@_query("select cast(0 as bigint) as differences")
+@_query(f"with {_MEMBERS} select branch, wrote as member, event_id as ts from fold where wrote is not null")
 def oneshot_equals_multishot(spark, sf_dir):
-    """Folding everything at once, and folding the first half and replaying after the rest came, differ nowhere."""
+    """All membership writes after folding half of the events and replaying from the earliest change once the rest came."""
     invites = _invites(spark, sf_dir)
-    early = invites.where("ts % 2 = 0")
 
     def handler(ctx: stategraph.Context, e: dict) -> None:
         member = ctx.query(e["user"])
         if member if member is not None else e["user"] == e["creator"]:
             ctx.update(e["invitee"], True)
 
-    once = gears.invited(invites)
-    before = gears.invited(early)
+    before = gears.invited(invites.where("ts % 2 = 0"))
     since = invites.where("ts % 2 <> 0").groupBy("branch").agg(F.min(F.struct(*gears.ORDER)).alias("since_ord"))
     twice = stategraph.replay(invites, before, since, handler, ["branch"], gears.ORDER, "bigint", "boolean")
-    cols = ["branch", "key", *gears.ORDER, "value"]
-    mark = once.select(*cols, F.lit(1).alias("w")).unionByName(twice.select(*cols, F.lit(-1).alias("w")))
-    return mark.groupBy(*cols).agg(F.sum("w").alias("w")).where("w <> 0").agg(F.count("*").alias("differences"))
+    return twice.select("branch", F.col("key").alias("member"), "ts")
 
 
 # --- functions -------------------------------------------------------------------------------------------------
@@ -422,7 +435,7 @@ def clamp(spark, sf_dir):
 
 @_query("select event_id, coalesce(case when event_type = 'view' then user_id end, -1) as value, case when event_type = 'click' then 1 else 0 end as picked from events")
 def option_unwrap(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", fn.opt_unwrap(fn.some_if(F.col("event_type") == "view", F.col("user_id")), -1).alias("value"), fn.if_else(F.col("event_type") == "click", 1, 0).alias("picked"))
+    return _table(spark, sf_dir, "events").select("event_id", fn.opt_unwrap(fn.some_if(F.col("event_type") == "view", F.col("user_id")), F.lit(-1).cast("bigint")).alias("value"), fn.if_else(F.col("event_type") == "click", 1, 0).alias("picked"))
 
 
 @_query("select event_id, user_id as got, event_type as tag from events")
@@ -513,32 +526,162 @@ def text_diff_roundtrip(spark, sf_dir):
     return text.render(text.anchors(edits), text.apply_texts(edits)).select(F.col("doc").alias("item_id"), "text")
 
 
-@_query("""with recursive inv as (
-  select event_type as branch, user_id % 20 as usr, event_id * 7 % 20 as invitee, event_id, row_number() over (partition by event_type order by event_id) as nth from events
-), fold(branch, nth, members) as (
-  select distinct event_type, cast(0 as bigint), [cast(0 as bigint)] from events
-  union all select f.branch, s.nth, case when list_contains(f.members, s.usr) and not list_contains(f.members, s.invitee) then list_append(f.members, s.invitee) else f.members end from fold f join inv s on s.branch = f.branch and s.nth = f.nth + 1
-), member as (
-  select s.branch, m as usr, min(s.event_id) as since from fold f join inv s on s.branch = f.branch and s.nth = f.nth, unnest(f.members) as t(m) group by 1, 2
-), att as (select conv_id as doc, (['view', 'click', 'error', 'purchase', 'signup'])[cast(conv_id % 5 as int) + 1] as branch, turn, role, text, conv_id * 7 % 20 as usr, conv_id * 50 + turn as at from conversations)
+@_query(f"""with {_MEMBERS}, member as (
+  select s.branch, m as usr, min(s.event_id) as since from fold f join steps s on s.branch = f.branch and s.nth = f.nth, unnest(f.members) as t(m) group by 1, 2
+), att as (select conv_id as doc, (['view', 'click', 'error', 'purchase', 'signup'])[cast(conv_id % 5 as int) + 1] as branch, turn, role, text, conv_id * 7 % (select max(user_id) + 1 from events) as usr, conv_id * 50 + turn as pos from conversations)
 select a.doc, a.branch, string_agg(a.text, '' order by a.turn desc, a.role) as text from att a left join member m on m.branch = a.branch and m.usr = a.usr
-where a.usr = 0 or m.since <= a.at group by 1, 2""")
+where a.usr = 0 or m.since <= a.pos group by 1, 2""")
 def doc_content(spark, sf_dir):
     """Every document's text, of the authors who are members of its branch when they write."""
     members = gears.invited(_invites(spark, sf_dir))
     c = _table(spark, sf_dir, "conversations")
-    zero = F.lit(0).cast("bigint")
-    edit = F.struct(F.array(F.struct(F.lit(None).cast(text.ANCHOR).alias("parent"), F.lit(0).alias("offset"))).alias("new_anchors"), F.array("text").alias("new_strings"), F.array().cast(f"array<{text.ANCHOR}>").alias("deletions"))
     branch = F.element_at(F.array(*map(F.lit, ("view", "click", "error", "purchase", "signup"))), (F.col("conv_id") % 5).cast("int") + 1)
-    attaches = c.select(F.col("conv_id").alias("doc"), branch.alias("branch"), zero.alias("creator"), (F.col("conv_id") * 7 % 20).alias("user"), F.lit(False).alias("is_merge"), edit.alias("edit"), F.lit(None).cast("string").alias("from_branch"), (F.col("conv_id") * 50 + F.col("turn")).alias("ts"), zero.alias("route_id"), F.col("turn").alias("tx_id"), F.col("role").alias("sender"))
+    attaches = c.select(F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), (F.col("conv_id") * 7 % _users(spark, sf_dir)).alias("user"), F.lit(False).alias("is_merge"), _root_edit("text").alias("edit"), F.lit(None).cast("string").alias("from_branch"), (F.col("conv_id") * 50 + F.col("turn")).alias("ts"), _zero().alias("route_id"), F.col("turn").alias("tx_id"), F.col("role").alias("sender"))
     return gears.doc_content(attaches, members)[1].where("text <> ''")
 
 
+@_query("""with c as (select conv_id as doc, turn, role, text from conversations where text <> ''), a as (
+  select doc, 'main' as branch, turn, role, text from c where turn % 2 = 0
+  union all select doc, 'main', turn, role, text from c where turn % 2 = 1 and turn < 4
+  union all select doc, 'side', turn, role, text from c where turn % 2 = 1)
+select doc, branch, string_agg(text, '' order by turn desc, role) as text from a group by 1, 2""")
+def doc_content_merge(spark, sf_dir):
+    """Two branches of every document; the side branch is merged into the main one before turn 4, so its later turns aren't in it."""
+    c = _table(spark, sf_dir, "conversations")
+    side = F.when(F.col("turn") % 2 == 0, "main").otherwise("side")
+    own = lambda rows, branch, merge, edit, source, ts, tx, sender: rows.select(F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), _zero().alias("user"), F.lit(merge).alias("is_merge"), edit.alias("edit"), source.cast("string").alias("from_branch"), ts.cast("bigint").alias("ts"), _zero().alias("route_id"), tx.cast("bigint").alias("tx_id"), sender.alias("sender"))
+    edits = own(c, side, False, _root_edit("text"), F.lit(None), F.col("turn") * 2, F.col("turn"), F.col("role"))
+    merges = own(c.select("conv_id").distinct(), F.lit("main"), True, F.lit(None).cast(text.TEXT_UPDATE), F.lit("side"), F.lit(7), F.lit(1000), F.lit("user"))
+    nobody = gears.invited(_invites(spark, sf_dir).limit(0))
+    return gears.doc_content(edits.unionByName(merges), nobody)[1].where("text <> ''")
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """Every turn of a conversation is an anchor inside the turn before; turn 3 deletes turn 1, whose children stay."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    c = _table(spark, sf_dir, "conversations").withColumns({"up": F.lag("turn").over(before), "up_role": F.lag("role").over(before), "far": F.lag("turn", 2).over(before), "far_role": F.lag("role", 2).over(before)})
+    anchor = lambda tx, role: F.struct(tx.alias("tx_id"), _zero().alias("route_id"), F.lit(0).alias("idx"), role.alias("sender")).cast(text.ANCHOR)
+    parent = F.when(F.col("up").isNotNull(), anchor(F.col("up"), F.col("up_role")))
+    gone = F.when((F.col("turn") == 3) & F.col("far").isNotNull(), F.array(anchor(F.col("far"), F.col("far_role")))).otherwise(F.array().cast(f"array<{text.ANCHOR}>"))
+    edit = F.struct(F.array(F.struct(parent.alias("parent"), (F.col("turn") * 7 % 23).cast("int").alias("offset"))).alias("new_anchors"), F.array("text").alias("new_strings"), gone.alias("deletions")).cast(text.TEXT_UPDATE)
+    return c.select(F.col("conv_id").alias("doc"), F.lit(0).alias("branch"), F.col("turn").alias("tx_id"), _zero().alias("route_id"), F.col("role").alias("sender"), F.struct("turn", "role").alias("ord"), edit.alias("edit"))
+
+
+_NESTED = """with recursive c as (
+  select conv_id as doc, turn, role, row_number() over (partition by conv_id order by turn) as nth, turn * 7 % 23 as off,
+         case when lead(turn, 2) over (partition by conv_id order by turn) = 3 then '' else text end as body, count(*) over (partition by conv_id) as n from conversations
+), r(doc, nth, off, txt, pieces) as (
+  select doc, nth, off, body, case when body = '' then 0 else 1 end from c where nth = n
+  union all
+  select c.doc, c.nth, c.off, substr(c.body, 1, r.off) || r.txt || substr(c.body, r.off + 1), r.pieces + case when c.body = '' then 0 when r.off = 0 or r.off >= length(c.body) then 1 else 2 end
+  from r join c on c.doc = r.doc and c.nth = r.nth - 1
+)
+"""
+
+
+@_query(_NESTED + "select doc, txt as text from r where nth = 1")
+def text_nested_render(spark, sf_dir):
+    """Documents of nested anchors: each turn splits the text of the turn before, and a deleted one keeps what is in it."""
+    edits = _nested(spark, sf_dir)
+    return text.render(text.anchors(edits), text.apply_texts(edits)).select("doc", "text")
+
+
+@_query(_NESTED + "select doc, cast(pieces as bigint) as pieces, length(txt) as chars from r where nth = 1")
+def text_nested_segments(spark, sf_dir):
+    """How many pieces every nested document is read in, and its length."""
+    edits = _nested(spark, sf_dir)
+    return text.render_segments(text.anchors(edits), text.apply_texts(edits)).groupBy("doc").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
+
+
+@_query("select doc, turn, place from (select conv_id as doc, turn, cast(row_number() over (partition by conv_id order by turn % 3, turn desc, role) as int) as place from conversations) where place <= 2")
+def text_children(spark, sf_dir):
+    """The first two children of every document's root."""
+    from pyspark.sql import Window
+
+    tree = text.anchors(_edits(spark, sf_dir))
+    below = text.children(tree, "doc", F.lit(None).cast(text.ANCHOR))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(*text.sibling_order()))
+    return below.withColumn("place", place).where("place <= 2").select("doc", F.col("anchor.tx_id").alias("turn"), "place")
+
+
+@_query("select conv_id as doc, count(*) as parents from conversations group by 1")
+def text_parents(spark, sf_dir):
+    """How many anchors of every nested document have children, the root included."""
+    return text.parents(text.anchors(_nested(spark, sf_dir)))
+
+
+@_query("select cast(0 as bigint) as anchors, cast(0 as bigint) as texts, cast(count(distinct conv_id) as bigint) as edited from conversations")
+def text_new_aggregates(spark, sf_dir):
+    """New aggregates are empty; one edit of each document makes them not so."""
+    edits = _edits(spark, sf_dir)
+    none = edits.where(F.lit(False))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    edited = count(text.anchors(edits.where("tx_id = 0")), "edited")
+    return count(text.anchors(none), "anchors").crossJoin(count(text.apply_texts(none), "texts")).crossJoin(edited)
+
+
+@_query(_EDITED + "select doc, turn, role, text, case when turn % 2 = 0 then text || '!' else text end as forked from texts")
+def text_fork(spark, sf_dir):
+    """A fork with edits of its own beside the branch that it came from, which stays as it was."""
+    t = text.apply_texts(_edits(spark, sf_dir)).select("doc", F.col("anchor.tx_id").alias("turn"), F.col("anchor.sender").alias("role"), "text")
+    fork = text.merge(t, t.where("turn % 2 = 0").withColumn("text", F.concat("text", F.lit("!"))), ["doc", "turn", "role"]).withColumnRenamed("text", "forked")
+    return t.join(fork, ["doc", "turn", "role"])
+
+
+@_query(_EDITED + "select doc, turn, role from edits e where not exists (select 1 from texts t where t.doc = e.doc and t.turn = e.turn and t.role = e.role)")
+def text_deleted(spark, sf_dir):
+    """The anchors of every document that have no text."""
+    edits = _edits(spark, sf_dir)
+    return text.is_deleted(text.anchors(edits), text.apply_texts(edits), ["doc", "anchor"]).select("doc", F.col("anchor.tx_id").alias("turn"), F.col("anchor.sender").alias("role"))
+
+
+@_query("select conv_id as doc, turn, role, turn % 4 <> 0 and turn % 5 <> 1 as valid, cast(1 + case when turn = 3 then 1 else 0 end as int) as size from conversations")
+def text_updates(spark, sf_dir):
+    """Which updates are well formed, strings parallel to anchors and no offset negative, and how many anchors each adds and deletes."""
+    edits = _edits(spark, sf_dir)
+    more = F.when(F.col("tx_id") % 4 == 0, F.concat("edit.new_strings", F.array(F.lit("x")))).otherwise(F.col("edit.new_strings"))
+    moved = F.transform("edit.new_anchors", lambda a: a.withField("offset", F.when(F.col("tx_id") % 5 == 1, -1).otherwise(a["offset"])))
+    made = edits.withColumn("e", F.struct(moved.alias("new_anchors"), more.alias("new_strings"), F.col("edit.deletions").alias("deletions")))
+    return made.select("doc", F.col("tx_id").alias("turn"), F.col("sender").alias("role"), text.valid_update(F.col("e")).alias("valid"), (F.size("e.new_anchors") + F.size("e.deletions")).alias("size"))
+
+
+@_query(_EDITED + ", d as (select doc, string_agg(text, '' order by off, turn desc, role) as text from texts group by doc) select doc, replace(text, 'en', 'EN+') as text, cast(0 as bigint) as untouched from d")
+def text_diff_multi_anchor(spark, sf_dir):
+    """Documents of several anchors edited by a diff into another text, rendered; and how many anchors without the edited letters the diff deletes."""
+    edits = _edits(spark, sf_dir)
+    tree, texts = text.anchors(edits), text.apply_texts(edits)
+    now = text.render(tree, texts).select("doc", F.regexp_replace("text", "en", "EN+").alias("target"))
+    made = text.diff_documents(tree, texts.select("doc", "anchor", "text"), now)
+    gone = made.select("doc", F.explode("edit.deletions").alias("anchor")).join(texts, ["doc", "anchor"]).where(~F.col("text").contains("e") & ~F.col("text").contains("n"))
+    step = made.select("doc", F.lit(0).alias("branch"), F.lit(1 << 40).alias("tx_id"), _zero().alias("route_id"), F.lit("z").alias("sender"), F.struct(F.lit(1 << 40).alias("turn"), F.lit("z").alias("role")).alias("ord"), "edit")
+    every = edits.withColumn("edit", F.col("edit").cast(text.TEXT_UPDATE)).unionByName(step)
+    out = text.render(text.anchors(every), text.apply_texts(every)).select("doc", "text")
+    return out.join(gone.groupBy("doc").agg(F.count("*").alias("n")), "doc", "left").select("doc", "text", F.coalesce("n", F.lit(0)).cast("bigint").alias("untouched"))
+
+
 # --- placement -------------------------------------------------------------------------------------------------
 
+_ROUTES = """with recursive g as (select user_id, cast('0x' || substr(sha256('{"v":' || user_id || '}'), 1, 8) as bigint) as route_id from (select distinct user_id from events)), jump(user_id, route_id, k, b, nxt) as (
+  select user_id, route_id, cast(route_id as uhugeint), cast(0 as bigint), cast(0 as bigint) from g
+  union all
+  select user_id, route_id, (k * 2862933555777941757 + 1) % 18446744073709551616, nxt, cast(floor((nxt + 1) * (2147483648.0::double / (cast(((k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 as double) + 1))) as bigint) from jump where nxt < 16
+), routed as (select user_id, route_id, cast(max(b) as int) as bucket from jump group by 1, 2)
+"""
 
-@_query()
+
+@_query(_ROUTES + "select user_id, route_id, bucket as partition from routed")
 def route_hash(spark, sf_dir):
     """Route and partition of every group."""
     groups = _table(spark, sf_dir, "events").select("user_id").distinct().withColumn("route_id", routing.route_id(F.col("user_id")))
     return groups.withColumn("partition", routing.bucket(F.col("route_id"), 16))
+
+
+@_query(_ROUTES + "select event_id, user_id, bucket as partition from events join routed using (user_id)")
+def route_placement(spark, sf_dir):
+    """The partition that every event is in once its group is placed."""
+    return routing.place(_table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", 16).withColumn("partition", F.spark_partition_id())
+
+
+from tidelog.plans import nodes  # noqa: E402, F401  registers the queries of whole nodes, which build on what is here

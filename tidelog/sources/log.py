@@ -97,6 +97,11 @@ def unresolved(rows: DataFrame, column: str, table: DataFrame, key: str) -> Data
     return rows.where(F.col(column).isNotNull()).join(target, F.col(column) == F.col("__key"), "left_anti")
 
 
+def forward_references(data: DataFrame) -> DataFrame:
+    """(position, ref) of the references of data objects to themselves or to later ones; ``data`` has position and refs, an array of positions."""
+    return data.select("position", F.explode("refs").alias("ref")).where("ref >= position")
+
+
 def validate(events: DataFrame, senders: DataFrame, users: DataFrame, data: DataFrame | None = None, user_refs: str | None = None, data_refs: str | None = None) -> None:
     """Refuse a whole batch if a sender, a sender's user, or a user or data reference in a body is unknown.
 
@@ -111,7 +116,7 @@ def validate(events: DataFrame, senders: DataFrame, users: DataFrame, data: Data
     if user_refs and any_of(unresolved(events.select(F.explode(user_refs).alias("ref")), "ref", users, "user")):
         raise UnknownUser(UnknownUser.__doc__)
     if data is not None:
-        if any_of(data.select("position", F.explode("refs").alias("ref")).where("ref >= position")):
+        if any_of(forward_references(data)):
             raise ForwardReference(ForwardReference.__doc__)
         if data_refs and any_of(unresolved(events.select(F.explode(data_refs).alias("ref")), "ref", data, "hash")):
             raise UnknownData(UnknownData.__doc__)
@@ -226,6 +231,11 @@ class EventLog:
         own = self._versions().where((F.col("shard") == shard(F.lit(group))) & (F.col("group") == group) & (F.col("sender") == sender) & (F.col("tx_id") == tx_id))
         return winners(with_order(own.drop("shard")), IDENTITY, ("ts", "node"))
 
+    def find(self, identities: DataFrame) -> DataFrame:
+        """The winners of identities (sender, group, tx_id): versions of no other are brought together."""
+        own = self.versions().join(identities.select("sender", "group", "tx_id").distinct(), ["sender", "group", "tx_id"], "left_semi")
+        return winners(with_order(own.select(*[f.name for f in self._schema()])), IDENTITY, ("ts", "node"))
+
     def feed(self, msg_type: str | None = None, group: str | None = None, cursor: int | None = None) -> DataFrame:
         """The signed feed, of a type, of a group and after a cursor where these are given; all three reach the scan."""
         out = self._changes(None if msg_type is None else [msg_type])
