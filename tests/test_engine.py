@@ -59,6 +59,75 @@ def test_rules_with_state_continue(spark, tmp_path):
         assert sum(seen) == 3
 
 
+class Named(Total):
+    """Another process's rule of the same name: state is found by that, not by the object."""
+
+    name = "Total"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_arrivals_are_local_and_state_survives(spark, tmp_path):
+    with opened(spark, tmp_path / "n1") as one, opened(spark, tmp_path / "n2") as two:
+        one.post(spark.createDataFrame([("a", 0, "Invite", "b0", "x", 1, 10)], EVENT), 5)
+        assert {r.group: r.invites for r in one.run_runtime(Total(), "Invite").collect()} == {"b0": 1}
+        two.post(spark.createDataFrame([("a", 1, "Invite", "b0", "y", 2, 1), ("a", 0, "Invite", "b0", "early", 2, 2)], EVENT), 3)
+        one.pull(two)  # the peer's numbers are lower than the cursor
+        fresh = Engine(spark, str(tmp_path / "n1"))
+        assert {r.group: r.invites for r in fresh.run_runtime(Named(), "Invite").collect()} == {"b0": 2}
+        assert [(r.body, r.weight) for r in fresh.group_feed("Invite", "b0").orderBy("change_seq").collect()] == [("x", 1), ("y", 1), ("x", -1), ("early", 1)]
+        two.pull(one)
+        two.pull(one)
+        assert two.log.versions().count() == 3 and two.log.events().count() == 2
+        full = one.log.feed()
+        from tidelog.sources import log
+
+        again = log.change_feed(log.with_order(one.log.versions()), ("sender", "route_id", "tx_id"), ("ts", "node"), "arrival_seq")
+        columns = ["sender", "tx_id", "body", "weight", "change_seq"]
+        assert sorted(map(tuple, full.select(*columns).collect())) == sorted(map(tuple, again.select(*columns).collect()))
+        one.log.compact()
+        assert sorted(map(tuple, one.log.feed().select(*columns).collect())) == sorted(map(tuple, again.select(*columns).collect()))
+
+
+def test_reads_prune(spark, tmp_path):
+    with opened(spark, tmp_path / "n") as engine:
+        engine.post(spark.createDataFrame([("a", k, "Invite", f"b{k % 9}", "x", 0, k) for k in range(30)], EVENT), 1)
+        delta = plan_of(engine.group_feed("Invite", "b1", cursor=7))
+        assert "PartitionFilters: [isnotnull(msg_type" in delta or "PartitionFilters: [isnotnull(shard" in delta
+        assert "change_seq" in delta.split("PushedFilters:")[1].split("]")[0] and "shard#" in delta.split("PartitionFilters:")[1].split("]")[0]
+        lookup = plan_of(engine.event("a", "b1", 1))
+        pushed = lookup.split("PushedFilters:")[1].split("]")[0]
+        assert all(c in pushed for c in ("sender", "group", "tx_id")) and "shard#" in lookup.split("PartitionFilters:")[1].split("]")[0]
+        assert engine.event("a", "b1", 1).count() == 1 and engine.event("a", "b1", 2).count() == 0
+        assert {r.tx_id for r in engine.log.find(spark.createDataFrame([("a", "b1", 10), ("a", "b1", 2)], "sender string, `group` string, tx_id bigint")).collect()} == {10}
+
+
+def test_a_feed_left_behind_catches_up(spark, tmp_path, monkeypatch):
+    with opened(spark, tmp_path / "n") as engine:
+        one = lambda tx: spark.createDataFrame([("a", tx, "Invite", "b0", "x", 0, 0)], EVENT)
+        engine.post(one(0), 1)
+        with monkeypatch.context() as broken:
+            broken.setattr(type(engine.log), "_follow", lambda self: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                engine.post(one(1), 2)
+        engine.post(one(2), 3)
+        assert engine.log.feed().count() == 3 and engine.log.versions().count() == 3
+
+
+def test_connected_nodes_and_replies(spark, tmp_path):
+    with opened(spark, tmp_path / "n1") as one, opened(spark, tmp_path / "n2") as two:
+        one.connect(two)
+        said = []
+        row = lambda sender, tx: spark.createDataFrame([(sender, tx, "Invite", "b0", "x", 0, 0)], EVENT)
+        one.post(row("a", 0), 1, reply=said.append)
+        one.post(row("z", 1), 1, reply=said.append)
+        one.post(row("b", 2), 1, forwarded_from="n9", reply=said.append)
+        assert [type(s) for s in said] == [type(None), UnknownSender, type(None)]
+        assert one.log.versions().count() == 2 and two.log.versions().count() == 1
+
+
 def test_engine_refuses(spark, tmp_path):
     with opened(spark, tmp_path / "n") as engine:
         with pytest.raises(UnknownSender):

@@ -205,3 +205,38 @@ def test_fold_view_replays_late_events(spark, tmp_path):
     assert {(r.g, r.key) for r in view.timeline().collect()} == {("b", "x")}
     view.apply(spark.createDataFrame([("a", 1, "set", 20, -1)], schema), 3)  # the same epoch again
     assert {(r.g, r.key) for r in view.timeline().collect()} == {("b", "x")}
+
+
+def test_a_fold_holds_state_not_events(spark):
+    """A group's rows stream past the handler: its memory is the state, whatever the group's size."""
+    rows = spark.range(60_000).select(F.lit("g").alias("g"), F.col("id").alias("at"), (F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n"))
+
+    def handler(ctx, e):
+        if e["n"] is not None:
+            ctx.update(e["k"], (ctx.query(e["k"]) or 0) + 1)
+
+    out = stategraph.fold(rows, handler, ["g"], ["at"], "bigint", "bigint")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    assert out.count() == 40_000
+    assert {r.key: r.n for r in out.groupBy("key").agg(F.max("value").alias("n")).collect()} == {k: sum(1 for i in range(60_000) if i % 7 == k and i % 3) for k in range(7)}
+
+
+def test_dependencies_and_starts_come_before_events(spark):
+    events = spark.createDataFrame([("g", 1, "a"), ("g", 5, "a"), ("h", 5, "a"), ("g", 9, "b")], "g string, at bigint, k string")
+    deps = spark.createDataFrame([("g", "d", "a", "one", 1), ("g", "d", "a", "five", 5), ("g", "d", "b", None, 2)], "g string, dep string, dep_key string, dep_value string, at bigint")
+    out = stategraph.fold(events, lambda ctx, e: ctx.update(e["k"], f"{ctx.dep_query('d', e['k'])}/{ctx.query(e['k'])}"), ["g"], ["at"], dependencies=deps)
+    assert {(r.g, r.at, r.key, r.value) for r in out.collect()} == {("g", 1, "a", "one/None"), ("g", 5, "a", "five/one/None"), ("h", 5, "a", "None/None"), ("g", 9, "b", "None/None")}
+
+
+def test_affected_readers_meet_one_write_each(spark):
+    rng = random.Random(3)
+    writes = [(k, t) for k in range(3) for t in rng.sample(range(0, 100, 2), 20)]
+    reads = [(k, t, i) for i, (k, t) in enumerate((rng.randrange(3), rng.randrange(100)) for _ in range(200))]
+    changed = rng.sample(writes, 15)
+    got = stategraph.affected_readers(spark.createDataFrame(reads, "k bigint, ord bigint, id bigint"), spark.createDataFrame(writes, "k bigint, ord bigint"), spark.createDataFrame(changed, "k bigint, ord bigint"), ["k"])
+    want = set()
+    for k, t, i in reads:
+        earlier = [w for w in writes if w[0] == k and w[1] < t]
+        if earlier and max(earlier) in changed:
+            want.add(i)
+    assert {r.id for r in got.collect()} == want and "CartesianProduct" not in got._jdf.queryExecution().toString()
