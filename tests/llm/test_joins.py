@@ -423,3 +423,29 @@ def test_stages_keep_the_columns(spark, small, make):
         assert stage(spark, strange, SMALL).columns == strange.columns
         assert stage(spark, make([]), SMALL).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_on_hard_rows(spark, make, small, hard_rows, tmp_path):
+    """Nulls, empty and blank texts, repeated rows, a very long text and columns of clashing names, beside usual documents."""
+    usual = [(r.doc_id + 100, r.text) for r in small.collect()]
+    rows = [*usual, *[(None if i is None else i, t) for i, t in hard_rows], *usual[:5], (None, usual[0][1])]
+    make(rows, extra=True).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").withColumn("doc_id", F.col("doc_id") + 100)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    ranker = quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    keep = {t for t in {t for _, t in rows if t is not None} if ranker.score(pa.array([t]))[0] >= ranker.threshold}
+    left = [(d, t) for d, t in rows if t in keep]
+    roots = groups_of(brute_pairs(left))
+    left = [(d, t) for d, t in dict.fromkeys(left) if d is not None and roots.get(d, d) == d]
+    spans = brute_repeats(left)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    left = [(d, " ".join(cut(t, spans[d])) if d in spans else t) for d, t in left if d not in spans or cut(t, spans[d])]
+    bad = {d for d, _ in brute_contaminations(left, items)}
+    assert {d: n for d, n in got.items() if d is not None} == {d: 1 for d, _ in left if d not in bad}
+    assert got[None] == sum(d is None and t in keep for d, t in rows)
+    empty = tmp_path / "empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

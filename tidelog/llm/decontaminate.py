@@ -301,3 +301,29 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, n: int
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
+
+
+#: Every window of every pair that has the weight, one by one. For tables whose ids are unique and whose items have three words or more that aren't punctuation alone.
+CONTAMINATIONS_SQL = r"""
+with iw as (select item_id, unnest(range(len(ws))) as o, ws from (select item_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as ws from benchmark where item_id is not null and text is not null)),
+ib as (select item_id, o, regexp_replace(ws[o + 1], '[!-/:-@\[-`{-~]', '', 'g') as b from iw),
+ig as (select item_id, b || ' ' || lead(b) over w || ' ' || lead(b, 2) over w as gram from ib where b <> '' window w as (partition by item_id order by o)),
+sizes as (select item_id, count(*) as m from ib where b <> '' group by 1),
+bag as (select item_id, gram, count(*) as cnt from ig where gram is not null group by 1, 2),
+df as (select gram, ln(1 + (select count(*) from sizes) / count(*)) as weight from bag group by 1),
+item as (select item_id, m, sum(weight * cnt) as total from bag join df using (gram) join sizes using (item_id) group by 1, 2),
+dw as (select doc_id, unnest(range(len(ws))) as o, ws from (select doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as ws from documents where doc_id is not null and text is not null)),
+db as (select doc_id, o, regexp_replace(ws[o + 1], '[!-/:-@\[-`{-~]', '', 'g') as b from dw),
+dn as (select doc_id, o, b || ' ' || lead(b) over w || ' ' || lead(b, 2) over w as gram, row_number() over w - 1 as pos from db where b <> '' window w as (partition by doc_id order by o)),
+dg as (select doc_id, pos, gram from dn where gram is not null),
+many as (select doc_id, count(*) as grams from dg group by 1),
+able as (select doc_id, item_id, m, total, least(m - 2, grams) as span, grams from dg join bag using (gram) join df using (gram) join item using (item_id) join many using (doc_id) group by all having sum(weight) >= 0.6 * total - 1e-9),
+spots as (select doc_id, item_id, total, span, unnest(range(grams - span + 1)) as start from able),
+held as (select s.doc_id, s.item_id, s.total, s.span, s.start, g.gram, count(*) as n from spots s join dg g on g.doc_id = s.doc_id and g.pos >= s.start and g.pos < s.start + s.span group by all),
+judged as (
+  select h.doc_id, h.item_id, h.span, h.start, h.total, coalesce(sum(weight * least(n, cnt)), 0) as shared, sum(n * coalesce(case when cnt is not null then weight end, ln(1 + (select count(*) from sizes)))) as own
+  from held h left join bag b on b.item_id = h.item_id and b.gram = h.gram left join df on df.gram = b.gram group by all),
+best as (select *, round(shared / (own + total - shared), 9) as similarity from judged qualify row_number() over (partition by doc_id, item_id order by round(shared / (own + total - shared), 9) desc, start) = 1)
+select b.doc_id, b.item_id, cast(x.o as int) as start_word, cast(y.o - x.o + 1 as int) as n_words, similarity
+from best b join dn x on x.doc_id = b.doc_id and x.pos = b.start join dn y on y.doc_id = b.doc_id and y.pos = b.start + b.span + 1 where similarity >= 0.6
+"""
