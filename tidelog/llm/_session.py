@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame
 
 from tidelog.shared import shared_folder
 
-
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder; it lives as long as that folder, as checkpoints do, or until ``dropped``."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` as a table in the shared folder; it lives as long as that folder, as checkpoints do, or until ``dropped``. ``options`` are the Parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,14 +159,12 @@ def sequences(docs: DataFrame, length: int, ranks: str = RANKS, id_col: str = "d
 PIECES = "array<struct<doc:{},start:int,token:bigint>>"
 
 
-def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(slot, shard, byte_offset, docs, n_tokens, tokens) of every sequence, range-partitioned and sorted by slot; ``docs`` as in ``sequences``.
+def _placed(docs: DataFrame, length: int, per_shard: int, key: int, ranks: str, id_col: str, text_col: str, sample: int) -> tuple[DataFrame, bytes]:
+    """(the training order with ``tokens`` compressed, the dictionary for that): one shuffle, of compressed sequences.
 
-    Tokens are computed once and written to the shared folder, which fixes each sequence's index; only they are shuffled, once, and
-    each shard is one partition. A null text has no tokens, an empty one a single end mark, a very long one many sequences; repeated rows and null ids
-    each give their own tokens; other columns are ignored; an empty table gives no rows.
+    The dictionary is made from the first ``sample`` sequences of the table; it bears on nothing but sizes.
     """
-    table = written(sequences(docs, length, ranks, id_col, text_col), "sequences")
+    table = written(sequences(docs, length, ranks, id_col, text_col), "sequences", **{"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)})
     counts = sorted((r.part, r.n) for r in table.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each file split
     total = sum(n for _, n in counts)
     begin = np.zeros(max([p for p, _ in counts], default=-1) + 1, np.int64)
@@ -173,17 +172,38 @@ def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, k
     for p, n in counts:
         begin[p] = at
         at += n
+    some = [r.tokens for r in table.select("tokens").limit(sample).toLocalIterator()]
+    dictionary = zstandard.train_dictionary(64 << 10, list(map(bytes, some))).as_bytes() if len(some) > 1000 else b""
+    stride = length * width_of(ranks)
+    kind = table.schema["docs"].dataType.simpleString()
 
-    @F.arrow_udf("bigint")
-    def slot(part: pa.Array, ordinal: pa.Array) -> pa.Array:
-        index = begin[np.asarray(part)] + np.asarray(ordinal)
-        return pa.array(feistel(index, total, key))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False, write_dict_id=False)
+        for rows in batches:
+            slot = feistel(begin[np.asarray(rows.column("part"))] + np.asarray(rows.column("ordinal")), total, key)
+            tokens = pa.array([press.compress(t.as_buffer()) for t in rows.column("tokens")], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard, pa.int32()), pa.array(slot % per_shard * stride), rows.column("docs"), rows.column("n_tokens"), tokens], names=["slot", "shard", "byte_offset", "docs", "n_tokens", "tokens"])
 
-    stride = length * width_of(ranks)
-    placed = table.withColumn("slot", slot("part", "ordinal"))
-    shard = F.floor(F.col("slot") / F.lit(per_shard)).cast("int")
-    out = placed.select("slot", shard.alias("shard"), ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "docs", "n_tokens", "tokens")
-    return out.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("slot")
+    out = table.mapInArrow(run, f"slot bigint, shard int, byte_offset bigint, docs {kind}, n_tokens int, tokens binary")
+    return out.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("slot"), dictionary
+
+
+def _opened(rows: pa.RecordBatch, dictionary: bytes) -> pa.RecordBatch:
+    """The rows with their tokens as they were."""
+    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    tokens = pa.array([reader.decompress(t.as_buffer()) for t in rows.column("tokens")], pa.binary())
+    return rows.set_column(rows.schema.get_field_index("tokens"), "tokens", tokens)
+
+
+def training_order(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000) -> DataFrame:
+    """(slot, shard, byte_offset, docs, n_tokens, tokens) of every sequence, range-partitioned and sorted by slot; ``docs`` as in ``sequences``.
+
+    Tokens are computed once and written to the shared folder, which fixes each sequence's index; only they are shuffled, once, and
+    each shard is one partition. A null text has no tokens, an empty one a single end mark, a very long one many sequences; repeated rows and null ids
+    each give their own tokens; other columns are ignored; an empty table gives no rows.
+    """
+    ordered, dictionary = _placed(docs, length, per_shard, key, ranks, id_col, text_col, sample)
+    return ordered.mapInArrow(lambda batches: (_opened(rows, dictionary) for rows in batches), ordered.schema)
 
 
 def shard_path(folder: str, shard: int) -> str:
@@ -196,11 +216,11 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+def write_shards(ordered: DataFrame, folder: str, dictionary: bytes | None = None) -> DataFrame:
     """(slot, shard, byte_offset, docs, n_tokens, path): the sequences, in the raw files that the tasks write to ``folder``, a path or URI that all
     executors see. A row appears when its file is there.
 
-    A file is written under another name and renamed, so a task that is run again replaces it whole.
+    A file is written under another name and renamed, so a task that is run again replaces it whole. With ``dictionary`` tokens come compressed.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.drop("tokens").schema) + ", path string"
 
@@ -217,6 +237,7 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                     yield rows.append_column("path", pa.array([shard_path(folder, current)] * rows.num_rows, pa.string()))
 
         for batch in batches:
+            batch = batch if dictionary is None else _opened(batch, dictionary)
             shards = np.asarray(batch.column("shard"))
             cuts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else []
             for a, b in zip(cuts, [*cuts[1:], len(shards)]):
@@ -238,7 +259,8 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
 
 def materialised(docs: DataFrame, length: int = 512, per_shard: int = 65536, key: int = 20260101, ranks: str = RANKS, folder: str | None = None) -> DataFrame:
     """The training order as shard files in ``folder``, by default a new one in the shared folder, and a row for every sequence, as ``write_shards`` gives them."""
-    return write_shards(training_order(docs, length, per_shard, key, ranks), folder or f"{shared_folder(docs.sparkSession)}/tidelog-shards-{uuid.uuid4().hex}")
+    ordered, dictionary = _placed(docs, length, per_shard, key, ranks, "doc_id", "text", 8000)
+    return write_shards(ordered, folder or f"{shared_folder(docs.sparkSession)}/tidelog-shards-{uuid.uuid4().hex}", dictionary)
 
 
 def read_from(folder: str, slot: int, length: int = 512, per_shard: int = 65536, width: int = 2) -> Iterator[np.ndarray]:
