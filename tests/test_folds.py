@@ -205,6 +205,11 @@ def test_fold_view_replays_late_events(spark, tmp_path):
     assert {(r.g, r.key) for r in view.timeline().collect()} == {("b", "x")}
     view.apply(spark.createDataFrame([("a", 1, "set", 20, -1)], schema), 3)  # the same epoch again
     assert {(r.g, r.key) for r in view.timeline().collect()} == {("b", "x")}
+    view.compact()
+    again = streaming.FoldView(spark, str(tmp_path / "fold"), set_copy, ["g"], ["at"], "string", "bigint")
+    assert {(r.g, r.key) for r in again.timeline().collect()} == {("b", "x")}
+    again.apply(spark.createDataFrame([("a", 0, "set", 7, 1)], schema), 4)
+    assert {(r.g, r.key, r.value) for r in again.timeline().collect()} == {("a", "x", 7), ("a", "y", 8), ("a", "z", 9), ("b", "x", 5)}
 
 
 def test_a_fold_holds_state_not_events(spark):

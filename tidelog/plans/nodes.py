@@ -181,7 +181,7 @@ def refusals(spark, sf_dir):
     return spark.createDataFrame(found, "what string, error string")
 
 
-@_query("select l_orderkey, l_linenumber, l_partkey % 7 as ref from lineitem where l_partkey % 7 >= l_linenumber")
+@_query("select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey % 7 as ref from lineitem where l_partkey % 7 >= l_linenumber")
 def forward_refs(spark, sf_dir):
     """References of data objects to themselves or to later ones."""
     items = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.array(F.col("l_orderkey") * 10 + F.col("l_partkey") % 7).alias("refs"))

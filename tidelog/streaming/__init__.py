@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidelog.operators import stategraph
 
+SHARDS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -100,36 +101,81 @@ class FoldView(_View):
         super().__init__(spark, path)
         self.handler, self.group, self.order, self.key_type, self.value_type = handler, list(group), list(order), key_type, value_type
 
+    def _sharded(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("shard", F.pmod(F.xxhash64(*self.group), F.lit(SHARDS)).cast("int"))
+
+    def _put(self, df: DataFrame, name: str, epoch: int) -> None:
+        self._sharded(df).hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{name}/epoch={epoch}")
+
+    def _get(self, name: str, epochs: Sequence[int], schema: T.StructType, shards: Sequence[int] | None = None) -> DataFrame:
+        """What epochs wrote, with ``epoch``; other shards aren't read."""
+        if not epochs:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("epoch", T.LongType())]))
+        full = T.StructType([*schema.fields, T.StructField("epoch", T.LongType()), T.StructField("shard", T.IntegerType())])
+        out = self.spark.read.schema(full).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
+        return (out if shards is None else out.where(F.col("shard").isin(list(shards)))).drop("shard")
+
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """``batch`` has the events' columns and ``weight``; a retracted event leaves the log and its group is replayed from there."""
-        self._write(batch, "feed", epoch)
-        schema = batch.schema
-        feed = self.spark.read.schema(schema).parquet(*[f"{self.path}/feed/epoch={e}" for e in self._epochs("feed") if e <= epoch])
+        """``batch`` has the events' columns and ``weight``; a retracted event leaves the log and its group is replayed from there. Of the log and of the
+        timeline only the shards of the batch's groups are read."""
+        self._put(batch, "feed", epoch)
+        feed_of = lambda epochs, shards=None: self._get("feed", epochs, batch.schema, shards).drop("epoch")
+        new = feed_of([epoch])
+        shards = sorted(r.shard for r in self._sharded(new).select("shard").distinct().collect())  # SHARDS at most
+        feed = feed_of([e for e in self._epochs("feed") if e <= epoch], shards)
         columns = [c for c in batch.columns if c != "weight"]
-        since = self._read("feed", epoch, schema).groupBy(*self.group).agg(F.min(F.struct(*self.order)).alias("since_ord"))
+        since = new.groupBy(*self.group).agg(F.min(F.struct(*self.order)).alias("since_ord"))
         groups = since.select(*self.group)
         events = feed.join(groups, self.group, "left_semi").groupBy(*columns).agg(F.sum("weight").alias("weight")).where("weight > 0").drop("weight")
-        types = {f.name: f.dataType.simpleString() for f in schema}
-        shape = ", ".join([f"`{c}` {types[c]}" for c in self.group] + [f"key {self.key_type}"] + [f"`{c}` {types[c]}" for c in self.order] + [f"value {self.value_type}"])
-        latest = self._latest([e for e in self._epochs("timeline") if e < epoch])
-        before = self.spark.createDataFrame([], shape) if latest is None else latest.join(groups, self.group, "left_semi")
+        shape = stategraph._shape(events, self.group, self.order, self.key_type, self.value_type)
+        self._shape = shape
+        before = self._latest([e for e in self._epochs("timeline") if e < epoch], shape, shards).join(groups, self.group, "left_semi")
         after = stategraph.replay(events, before, since, self.handler, self.group, self.order, self.key_type, self.value_type)
-        self._write(groups, "groups", epoch)
-        self._write(after, "timeline", epoch)
-        now = self._read("timeline", epoch, shape)
+        self._put(groups, "groups", epoch)
+        self._put(after, "timeline", epoch)
+        now = self._get("timeline", [epoch], shape).drop("epoch")
         keyed = lambda df: df.select(*self.group, "key", F.struct(*self.order).alias("ord"), "value")
         self._write(stategraph.effective_changes(keyed(before), keyed(now), [*self.group, "key"]), "changes", epoch)
 
-    def _latest(self, epochs: list[int]) -> DataFrame | None:
+    def _latest(self, epochs: list[int], shape: T.StructType, shards: Sequence[int] | None = None) -> DataFrame:
         """Each group's timeline of the last epoch that touched it: an epoch writes the groups of its batch and no others."""
-        if not epochs:
-            return None
-        read = lambda name: self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
-        last = read("groups").groupBy(*self.group).agg(F.max("epoch").alias("epoch"))
-        return read("timeline").join(last, [*self.group, "epoch"], "left_semi").drop("epoch")
+        named = T.StructType([f for f in shape if f.name in self.group])
+        last = self._get("groups", epochs, named, shards).groupBy(*self.group).agg(F.max("epoch").alias("epoch"))
+        return self._get("timeline", epochs, shape, shards).join(last, [*self.group, "epoch"], "left_semi").drop("epoch")
+
+    def _shape_there(self) -> T.StructType | None:
+        done = self._epochs("timeline")
+        if not hasattr(self, "_shape") and done:
+            seen = self.spark.read.parquet(f"{self.path}/timeline/epoch={done[-1]}").schema
+            self._shape = T.StructType([f for f in seen if f.name != "shard"])
+        return getattr(self, "_shape", None) if done else None
 
     def timeline(self) -> DataFrame | None:
-        return self._latest(self._epochs("timeline"))
+        shape = self._shape_there()
+        return None if shape is None else self._latest(self._epochs("timeline"), shape)
+
+    def compact(self) -> None:
+        """One epoch in place of all there are: the events that are left, and each group's present timeline. None of them can be run again then."""
+        done, shape = self._epochs("timeline"), self._shape_there()
+        if len(done) < 2:
+            return
+        top = done[-1]
+        seen = self.spark.read.parquet(f"{self.path}/feed/epoch={top}").schema
+        schema = T.StructType([f for f in seen if f.name != "shard"])
+        columns = [f.name for f in schema if f.name != "weight"]
+        left = self._get("feed", self._epochs("feed"), schema).groupBy(*columns).agg(F.sum("weight").cast(schema["weight"].dataType).alias("weight")).where("weight <> 0").select(*[f.name for f in schema])
+        whole = self._latest(done, shape)
+        named = T.StructType([f for f in shape if f.name in self.group])
+        groups = self._get("groups", done, named).select(*self.group).distinct()
+        for name, df in (("feed", left), ("timeline", whole), ("groups", groups)):
+            self._put(df, f"compact/{name}", top)
+        fs_of = lambda path: (at := self.spark._jvm.org.apache.hadoop.fs.Path(path), at.getFileSystem(self.spark._jsc.hadoopConfiguration()))
+        for name in ("feed", "timeline", "groups"):
+            for e in self._epochs(name):
+                old, fs = fs_of(f"{self.path}/{name}/epoch={e}")
+                fs.delete(old, True)
+            (made, fs), (place, _) = fs_of(f"{self.path}/compact/{name}/epoch={top}"), fs_of(f"{self.path}/{name}/epoch={top}")
+            fs.rename(made, place)
 
     def changes(self, epoch: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/changes/epoch={epoch}")
