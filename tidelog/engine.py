@@ -6,7 +6,7 @@ import hashlib
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.gears import Gears
@@ -26,6 +26,18 @@ class RuleRuntime(ABC):
     def name(self) -> str:
         return type(self).__qualname__
 
+    def meta(self) -> dict[str, str]:
+        """What a node can say of the rule."""
+        return {"name": self.name, "rule": (type(self).__doc__ or "").split("\n")[0]}
+
+    def hash_data(self, content: Column) -> Column:
+        """The hash under which the rule's data objects are known."""
+        return content_hash(content)
+
+    def route_group(self, group: Column) -> Column:
+        """The route of a group of the rule's events, which places them."""
+        return route_id(group)
+
     @abstractmethod
     def initial(self, spark: SparkSession) -> DataFrame: ...
 

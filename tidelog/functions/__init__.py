@@ -308,7 +308,7 @@ _ELSEWHERE = {
     "mk_text_agg": "operators.text:apply_texts",
     "query_delta": "sources.log:delta_since",
     "resolve_data": "sources.log:resolve",
-    "resolve_event": "sources.log:project_event",
+    "resolve_event": "sources.log:resolve_event",
     "secondary_get": "operators.gears:Gears",
     "sender-to>user": "sources.log:resolve",
     "sgctx_dep_query": "operators.stategraph:depend",

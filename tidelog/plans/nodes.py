@@ -16,7 +16,7 @@ from tidelog import streaming
 from tidelog.engine import Engine, RuleRuntime
 from tidelog.operators import gears, routing, stategraph, timeline
 from tidelog.plans.registry import IDENTITY, V, _feed, _query, _table, _timeline, _two, _TWO, _versions
-from tidelog.schema import EventTypes, LogError
+from tidelog.schema import EventTypes, LogError, Records
 from tidelog.shared import shared_folder
 from tidelog.sources import log
 
@@ -103,8 +103,7 @@ def engine_find(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     engine.log.append(rows)
     wanted = rows.where(F.col("group") == "error").select("sender", "tx_id").distinct()
-    groups = rows.select("group").distinct()
-    return engine.log.find(wanted.crossJoin(F.broadcast(groups))).select("sender", "group", "tx_id", "ts")
+    return engine.log.find(rows.select("sender", "group", "tx_id").join(wanted, ["sender", "tx_id"], "left_semi")).select("sender", "group", "tx_id", "ts")
 
 
 @_query("select event_type as kind, count(*) as n from events group by 1")
@@ -195,6 +194,7 @@ def forward_refs(spark, sf_dir):
 def gear_of_gears(spark, sf_dir):
     """A rule that reads another's output: each branch's share of all invitations, materialised by name."""
     rules = gears.Gears()
+    # the whole is one row, so this product is as long as the rule's output
     share = lambda feed, count: count.crossJoin(F.broadcast(count.agg(F.sum("invites").alias("whole")))).select("event_type", "invites", (F.col("invites") / F.col("whole")).alias("share"))
     rules.register(gears.Gear("share", "Event", share, ("count",)))
     rules.register(gears.Gear("count", "Event", lambda feed: gears.invites_count(feed, "event_type")))
@@ -316,6 +316,25 @@ def record_fields(spark, sf_dir):
     return e.select("event_id", F.col("a.tag").alias("kept"), F.col("b.user").alias("rest"), F.col("b.twice").alias("other"))
 
 
+@_query("select event_id, event_type as kind, user_id as usr, null::bigint as amount, 'visit' as exact, 'purchase' as wide from events")
+def record_registry(spark, sf_dir):
+    """A record made from two of its fields is the first registered one that has them; the rest is null."""
+    records = Records()
+    records.register("mark", "kind string")
+    records.register("purchase", "kind string, usr bigint, amount bigint")
+    records.register("visit", "kind string, usr bigint")
+    made = records.make(usr=F.col("user_id"), kind=F.col("event_type"))
+    return _table(spark, sf_dir, "events").select("event_id", made.alias("r"), F.lit(records.exact("kind", "usr")).alias("exact"), F.lit(records.of("kind", "usr")).alias("wide")).select("event_id", "r.*", "exact", "wide")
+
+
+@_query("""select user_id, sha256('{"v":"' || user_id || '"}') as hash, cast('0x' || substr(sha256('{"v":' || user_id || '}'), 1, 8) as bigint) as route, 'Total' as rule from (select distinct user_id from events)""")
+def runtime_traits(spark, sf_dir):
+    """What a rule says of itself, of its groups' places and of its data's hashes."""
+    rule = Total()
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", rule.hash_data(F.col("user_id").cast("string")).alias("hash"), rule.route_group(F.col("user_id")).alias("route"), F.lit(rule.meta()["name"]).alias("rule"))
+
+
 @_query("select event_id, item from (select event_id, unnest([event_id, user_id, 7]) as item from events)")
 def iter_list(spark, sf_dir):
     """The items of a list, one after the other."""

@@ -104,11 +104,13 @@ def sender_to_user(spark, sf_dir):
     return log.resolve(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), senders, F.col("o_custkey") == F.col("c_custkey"), required=log.UnknownSender).select("o_orderkey", "o_custkey", "c_name")
 
 
-@_query("select event_id, user_id as sender, cast(round(value * 100) as bigint) as body from events")
+@_query("select l_orderkey, l_linenumber, user_id as sender, cast(round(value * 100) as bigint) as body from lineitem join events on event_id = (l_orderkey * 7 + l_linenumber) % (select count(*) from events)")
 def resolve_event(spark, sf_dir):
-    """Sender and body of every event."""
+    """Sender and body of the event that every item refers to; one that isn't there is an error."""
     e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("sender"), F.round(F.col("value") * 100).cast("bigint").alias("body"))
-    return log.project_event(e).select("event_id", "event.sender", "event.body")
+    n = e.count()
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % n).alias("ref"))
+    return log.resolve_event(items, e, "ref", "event_id").select("l_orderkey", "l_linenumber", "event.sender", "event.body")
 
 
 @_query("select l_orderkey, l_linenumber, l_partkey, p_name from lineitem join part on l_partkey = p_partkey")
@@ -617,9 +619,12 @@ def text_new_aggregates(spark, sf_dir):
     """New aggregates are empty; one edit of each document makes them not so."""
     edits = _edits(spark, sf_dir)
     none = edits.where(F.lit(False))
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    edited = count(text.anchors(edits.where("tx_id = 0")), "edited")
-    return count(text.anchors(none), "anchors").crossJoin(count(text.apply_texts(none), "texts")).crossJoin(edited)
+    of = {"anchors": text.anchors(none), "texts": text.apply_texts(none), "edited": text.anchors(edits.where("tx_id = 0"))}
+    every = None
+    for name, df in of.items():
+        own = df.select(F.lit(name).alias("what"))
+        every = own if every is None else every.unionByName(own)
+    return every.agg(*[F.count_if(F.col("what") == name).alias(name) for name in of])
 
 
 @_query(_EDITED + "select doc, turn, role, text, case when turn % 2 = 0 then text || '!' else text end as forked from texts")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 USER = "struct<id:bigint,server:binary>"
@@ -34,6 +36,10 @@ class UnknownData(RejectedBatch):
     """A data reference has no object."""
 
 
+class UnknownEvent(RejectedBatch):
+    """An event id has no event."""
+
+
 class ForwardReference(RejectedBatch):
     """A data object refers to itself or to a later one."""
 
@@ -61,6 +67,42 @@ class EventType:
     body: T.DataType
 
 
+class Records:
+    """Record shapes by name, in the order in which they are registered."""
+
+    def __init__(self) -> None:
+        self._shapes: dict[str, T.StructType] = {}
+
+    def register(self, name: str, fields: str) -> T.StructType:
+        """A shape, given as DDL; the same shape again under its name is the same."""
+        shape = T.StructType.fromDDL(fields)
+        if self._shapes.setdefault(name, shape) != shape:
+            raise LogError(f"record {name} is registered with other fields")
+        return shape
+
+    def exact(self, *names: str) -> str | None:
+        """The first record that has just these fields, in this order."""
+        return next((n for n, s in self._shapes.items() if s.names == list(names)), None)
+
+    def of(self, *names: str) -> str:
+        """The first record that has all these fields, and perhaps more."""
+        for name, shape in self._shapes.items():
+            if set(names) <= set(shape.names):
+                return name
+        raise EvaluationError(f"no record has the fields {', '.join(names)}")
+
+    def make(self, **fields: Column) -> Column:
+        """A value of the first record that has all the fields; what isn't given is null."""
+        shape = self._shapes[self.of(*fields)]
+        return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape])
+
+    def __getitem__(self, name: str) -> T.StructType:
+        try:
+            return self._shapes[name]
+        except KeyError:
+            raise LogError(f"no record {name}") from None
+
+
 class EventTypes:
     """Event types by name, declared before the log opens and frozen from then on."""
 

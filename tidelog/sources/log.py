@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tidelog.operators.routing import content_hash, route_id
-from tidelog.schema import IDENTITY, RAW, ContentMismatch, ForwardReference, UnknownData, UnknownSender, UnknownUser
+from tidelog.schema import IDENTITY, RAW, ContentMismatch, ForwardReference, UnknownData, UnknownEvent, UnknownSender, UnknownUser
 
 
 def winners(versions: DataFrame, identity: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -60,6 +60,12 @@ def project_event(log: DataFrame) -> DataFrame:
     return log.select("*", F.struct("sender", "body").alias("event"))
 
 
+def resolve_event(ids: DataFrame, log: DataFrame, id_col: str, event_col: str) -> DataFrame:
+    """{sender, body} of the event behind every id; an id without an event is an error when the result is computed."""
+    known = project_event(log).select(F.col(event_col).alias("__event"), "event")
+    return resolve(ids, known, F.col(id_col) == F.col("__event"), required=UnknownEvent).drop("__event")
+
+
 def replicate(*nodes: DataFrame) -> DataFrame:
     """The union of nodes' logs; deduplication over it is what every node converges to."""
     out = nodes[0]
