@@ -172,13 +172,13 @@ def _placed(docs: DataFrame, length: int, per_shard: int, key: int, ranks: str,
     for p, n in counts:
         begin[p] = at
         at += n
-    some = [r.tokens for r in table.select("tokens").limit(sample).toLocalIterator()]
-    dictionary = zstandard.train_dictionary(64 << 10, list(map(bytes, some))).as_bytes() if len(some) > 1000 else b""
+    some = [r.tokens for r in table.select("tokens").limit(sample).collect()]  # a bounded sample, without a shuffle
+    dictionary = zstandard.train_dictionary(110 << 10, list(map(bytes, some))).as_bytes() if len(some) > 1000 else b""
     stride = length * width_of(ranks)
     kind = table.schema["docs"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False, write_dict_id=False)
+        press = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False, write_dict_id=False)
         for rows in batches:
             slot = feistel(begin[np.asarray(rows.column("part"))] + np.asarray(rows.column("ordinal")), total, key)
             tokens = pa.array([press.compress(t.as_buffer()) for t in rows.column("tokens")], pa.binary())
