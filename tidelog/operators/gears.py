@@ -161,8 +161,15 @@ def doc_content(attaches: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
     # a document's membership changes and events in order, the changes first; a branch's texts change in place
     kind = {f.name: f.dataType.simpleString() for f in attaches.schema}
     event = F.struct("branch", F.col("creator").alias("creator"), "user", "is_merge", "edit", "from_branch")
-    changes = known.select("doc", *ORDER, F.lit(0).alias("side"), F.col("branch").cast(kind["branch"]).alias("m_branch"), F.col("key").cast(kind["user"]).alias("m_user"), F.col("value").alias("m_value"), F.lit(None).cast(attaches.select(event.alias("e")).schema["e"].dataType).alias("event"))
-    steps = attaches.select("doc", *ORDER, F.lit(1).alias("side"), F.lit(None).cast(kind["branch"]).alias("m_branch"), F.lit(None).cast(kind["user"]).alias("m_user"), F.lit(None).cast("boolean").alias("m_value"), event.alias("event"))
+    event_kind = attaches.select(event.alias("e")).schema["e"].dataType
+    changes = known.select(
+        "doc", *ORDER, F.lit(0).alias("side"), F.col("branch").cast(kind["branch"]).alias("m_branch"), F.col("key").cast(kind["user"]).alias("m_user"),
+        F.col("value").alias("m_value"), F.lit(None).cast(event_kind).alias("event"),
+    )
+    steps = attaches.select(
+        "doc", *ORDER, F.lit(1).alias("side"), F.lit(None).cast(kind["branch"]).alias("m_branch"), F.lit(None).cast(kind["user"]).alias("m_user"),
+        F.lit(None).cast("boolean").alias("m_value"), event.alias("event"),
+    )
 
     def run(batches):
         here, shape, branches, members_of, out = object(), Tree(), {}, {}, []
@@ -206,7 +213,15 @@ def doc_content(attaches: DataFrame, members: DataFrame) -> tuple[DataFrame, Dat
 def standard_gears() -> Gears:
     """The rules of this module under their names."""
     out = Gears()
-    for g in (Gear("invites_count", "Invite", invites_count), Gear("mulsum", "MulSumEntry", mulsum), Gear("doc_counter", "CounterAttach", doc_counter), Gear("invited", "Invite", invited), Gear("access_levels", "SiteEvent", access_levels), Gear("doc_content", "Attach", lambda attaches, invited: doc_content(attaches, invited)[1], ("invited",))):
+    rules = (
+        Gear("invites_count", "Invite", invites_count),
+        Gear("mulsum", "MulSumEntry", mulsum),
+        Gear("doc_counter", "CounterAttach", doc_counter),
+        Gear("invited", "Invite", invited),
+        Gear("access_levels", "SiteEvent", access_levels),
+        Gear("doc_content", "Attach", lambda attaches, invited: doc_content(attaches, invited)[1], ("invited",)),
+    )
+    for g in rules:
         out.register(g)
     return out
 

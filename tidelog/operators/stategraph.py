@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,15 +124,12 @@ def replay(events: DataFrame, before: DataFrame, since: DataFrame, handler: Hand
     touched = events.join(since, list(group)).where(ord_of >= F.col("since_ord")).select(*events.columns)
     early = before.join(since, list(group), "left").where(F.col("since_ord").isNull() | (ord_of < F.col("since_ord"))).select(*columns)
     # only each key's last value before the change is state
-    last = early.join(since.select(*group), list(group), "left_semi").groupBy(*group, "key").agg(F.max(F.struct(ord_of.alias("o"), F.col("value").alias("v"))).alias("m") if _orderable(shape["value"].dataType) else F.struct(F.max(ord_of).alias("o"), F.max_by("value", ord_of).alias("v")).alias("m"))
-    start = last.select(*group, "key", *[F.col(f"m.o.{c}").alias(c) for c in order], F.col("m.v").alias("value"))
+    kept = early.join(since.select(*group), list(group), "left_semi")
+    last = kept.groupBy(*group, "key").agg(F.max(ord_of).alias("o"), F.max_by("value", ord_of).alias("v"))
+    start = last.select(*group, "key", *[F.col(f"o.{c}").alias(c) for c in order], F.col("v").alias("value"))
     return early.unionByName(_streamed(touched, start, None, handler, group, order, shape))
 
 
-def _orderable(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
-
-
 def depend(events: DataFrame, dependency: DataFrame, key: Sequence[str], ord_col: str = "ord", value: str = "value", into: str = "dep") -> DataFrame:
     """Each event with the dependency's value at its position (inclusive): a handler that reads only other rules' output."""
     return timeline.latest_at(events, dependency, key, ord_col, value, into)

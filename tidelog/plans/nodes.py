@@ -28,7 +28,10 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _rows(spark, sf_dir) -> DataFrame:
     """The events table as rows of a log; the last events arrive first."""
     v = _versions(spark, sf_dir)
-    return v.select(F.col("user_id").cast("string").alias("sender"), F.col("tx").alias("tx_id"), F.lit("Event").alias("msg_type"), F.col("event_type").alias("group"), F.col("cents").cast("string").alias("body"), F.col("event_id").alias("ts"), F.lit(1).alias("node"), F.col("arrival").alias("arrival_seq"))
+    return v.select(
+        F.col("user_id").cast("string").alias("sender"), F.col("tx").alias("tx_id"), F.lit("Event").alias("msg_type"), F.col("event_type").alias("group"),
+        F.col("cents").cast("string").alias("body"), F.col("event_id").alias("ts"), F.lit(1).alias("node"), F.col("arrival").alias("arrival_seq"),
+    )
 
 
 def _node(spark, sf_dir, name: str) -> Engine:
@@ -68,7 +71,13 @@ def engine_incremental(spark, sf_dir):
         return one.run_runtime(Total(), "Event")
 
 
-@_query(V + ", v as (select user_id, event_type, tx, min(event_id) as event_id from versions where event_id % 2 = 1 group by all union all select user_id, event_type, tx, min(event_id) from versions where event_id % 2 = 0 group by all having (user_id, event_type, tx) not in (select (user_id, event_type, tx) from versions where event_id % 2 = 1)) select event_type as \"group\", cast(count(*) as bigint) as invites, cast(sum(cents) as bigint) as cents from v join events using (user_id, event_type, event_id) join versions using (event_id) group by 1".replace("from v join events using (user_id, event_type, event_id) join versions using (event_id)", "from (select v.event_type, x.cents from v join versions x on x.event_id = v.event_id)"))
+@_query(V + """, v as (
+  select user_id, event_type, tx, min(event_id) as event_id from versions where event_id % 2 = 1 group by all
+  union all
+  select user_id, event_type, tx, min(event_id) from versions where event_id % 2 = 0 group by all
+  having (user_id, event_type, tx) not in (select (user_id, event_type, tx) from versions where event_id % 2 = 1)
+)
+select v.event_type as "group", cast(count(*) as bigint) as invites, cast(sum(x.cents) as bigint) as cents from v join versions x on x.event_id = v.event_id group by 1""")
 def engine_post(spark, sf_dir):
     """Batches posted to one node, the later one with an earlier time, as a node sees them that is connected to it: a registered rule's output there."""
     rows = _rows(spark, sf_dir)
@@ -86,7 +95,8 @@ def engine_post(spark, sf_dir):
         return two.run("worth", {"Event": two.group_feed("Event")})
 
 
-@_query(V + "select cast(user_id as varchar) as sender, tx as tx_id, event_id as ts, cast(cents as varchar) as body from winners where (user_id, event_type, tx) = (select (user_id, event_type, tx) from versions where event_id = (select max(event_id) from versions))")
+@_query(V + """select cast(user_id as varchar) as sender, tx as tx_id, event_id as ts, cast(cents as varchar) as body from winners
+where (user_id, event_type, tx) = (select (user_id, event_type, tx) from versions where event_id = (select max(event_id) from versions))""")
 def engine_point_lookup(spark, sf_dir):
     """The winner of one identity, that of the last event; its shard is all that is read."""
     engine = _node(spark, sf_dir, "a")
@@ -96,7 +106,8 @@ def engine_point_lookup(spark, sf_dir):
     return engine.event(last.sender, last.group, last.tx_id).select("sender", "tx_id", "ts", "body")
 
 
-@_query(V + "select user_id as sender, event_type as \"group\", tx as tx_id, event_id as ts from winners where (user_id, tx) in (select (user_id, tx) from versions where event_type = 'error')".replace("select user_id as sender", "select cast(user_id as varchar) as sender"))
+@_query(V + """select cast(user_id as varchar) as sender, event_type as "group", tx as tx_id, event_id as ts from winners
+where (user_id, tx) in (select (user_id, tx) from versions where event_type = 'error')""")
 def engine_find(spark, sf_dir):
     """The winners of every sender and transaction that an error has, in all groups."""
     engine = _node(spark, sf_dir, "a")
@@ -139,8 +150,10 @@ def users_of_senders(spark, sf_dir):
     return engine.user_of(e.drop("user")).select("event_id", "sender", F.col("user").alias("usr"))
 
 
-@_query("""select * from (values ('an event type declared after the log opened', 'LogError'), ('an event type declared twice', 'LogError'), ('an event type that is not there', 'LogError'), ('a cycle of rules', 'GearError'), ('a rule that is not there', 'GearError'),
- ('a rule defined twice', 'GearError'), ('a rule that reads one which is not there', 'GearError'), ('an unknown sender', 'UnknownSender'), ('an unknown user', 'UnknownUser'), ('an unknown data object', 'UnknownData'), ('a reference forward', 'ForwardReference'), ('content that is not its hash', 'ContentMismatch'),
+@_query("""select * from (values ('an event type declared after the log opened', 'LogError'), ('an event type declared twice', 'LogError'), ('an event type that is not there', 'LogError'),
+ ('a cycle of rules', 'GearError'), ('a rule that is not there', 'GearError'), ('a rule defined twice', 'GearError'), ('a rule that reads one which is not there', 'GearError'), ('an unknown sender', 'UnknownSender'),
+ ('an unknown user', 'UnknownUser'), ('an unknown data object', 'UnknownData'), ('a reference forward', 'ForwardReference'),
+ ('content that is not its hash', 'ContentMismatch'),
  ('a group without canonical form', 'RoutingError'), ('a function that is not there', 'EvaluationError'), ('a loop beyond its bound', 'EvaluationError')) as t(what, error)""")
 def refusals(spark, sf_dir):
     """What the engine refuses, and with which error."""
@@ -229,7 +242,8 @@ def view_linear(spark, sf_dir):
     return view.current()
 
 
-@_query("select user_id, event_id, cast(sum(cents) over (partition by user_id order by event_id) as bigint) as running from (select user_id, event_id, cast(round(value * 100) as bigint) as cents from events where event_id % 7 <> 0)")
+@_query("""select user_id, event_id, cast(sum(cents) over (partition by user_id order by event_id) as bigint) as running
+from (select user_id, event_id, cast(round(value * 100) as bigint) as cents from events where event_id % 7 <> 0)""")
 def view_retraction(spark, sf_dir):
     """An ordered fold's timeline, running sums, after an epoch that retracts events: they leave nothing behind."""
 
@@ -243,7 +257,8 @@ def view_retraction(spark, sf_dir):
     return view.timeline().select("user_id", "event_id", F.col("value").alias("running"))
 
 
-@_query(V + ", s as (select user_id, event_id from winners where event_type = 'signup' and cents % 5 = 0), f as (select user_id, min(event_id) as first_id from s group by 1) select r.event_id, r.user_id from winners r join f using (user_id) where r.event_type = 'view' and r.event_id >= first_id")
+@_query(V + """, s as (select user_id, event_id from winners where event_type = 'signup' and cents % 5 = 0), f as (select user_id, min(event_id) as first_id from s
+group by 1) select r.event_id, r.user_id from winners r join f using (user_id) where r.event_type = 'view' and r.event_id >= first_id""")
 def sg_changed_dependencies(spark, sf_dir):
     """The views that read a user's sign-ups at or after the first of them that changed."""
     t = _timeline(spark, sf_dir)
@@ -260,7 +275,8 @@ def sg_effective_changes(spark, sf_dir):
     return stategraph.effective_changes(t, after, ["user_id"]).select("user_id", F.col("ord.event_id").alias("event_id"), "change", "old_value", "new_value")
 
 
-@_query(V + ", t as (select *, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as read_id from winners where event_type in ('view', 'purchase')) select event_id, read_id from t where event_type = 'view'")
+@_query(V + """, t as (select *, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as read_id
+from winners where event_type in ('view', 'purchase')) select event_id, read_id from t where event_type = 'view'""")
 def sg_read_sets(spark, sf_dir):
     """The purchase that every view read."""
     t = _timeline(spark, sf_dir)
@@ -341,7 +357,8 @@ def iter_list(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", fn.lookup("iter_list")(fn.list_of(F.col("event_id"), F.col("user_id"), F.lit(7).cast("bigint"))).alias("item"))
 
 
-@_query("select event_id, event_type = 'view' as same_tag, user_id = event_id % 10 as same_user, event_id as wrapped, user_id as usr, event_type as id, event_id as k, user_id as v, event_id + user_id as natural, true as unit, cast(5 as bigint) as five from events")
+@_query("""select event_id, event_type = 'view' as same_tag, user_id = event_id % 10 as same_user, event_id as wrapped, user_id as usr, event_type as id, event_id as k, user_id as v, event_id + user_id as natural, true as unit, cast(5 as bigint) as five
+from events""")
 def small_functions(spark, sf_dir):
     """Equality of tags and users, identities, constructors of ids, pairs, unit, constants and sums of naturals."""
     e, p = F.col("event_id"), fn.pair(F.col("event_id"), F.col("user_id"))
@@ -351,7 +368,8 @@ def small_functions(spark, sf_dir):
     )
 
 
-@_query("select event_id, event_type = 'view' as has, case when event_type = 'view' then user_id end as body, case when event_type = 'view' then user_id else -1 end as value, case when event_type = 'view' then 1 else 0 end as fixed from events")
+@_query("""select event_id, event_type = 'view' as has, case when event_type = 'view' then user_id end as body, case when event_type = 'view' then user_id else -1 end as value, case when event_type = 'view' then 1 else 0 end as fixed
+from events""")
 def option_record(spark, sf_dir):
     """Options as records, and what they hold or a default."""
     view = F.col("event_type") == "view"
@@ -367,7 +385,8 @@ def loop_gcd(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", fn.loop_column(pair, lambda again, s: s["a"] if s["b"] == 0 else again({"a": s["b"], "b": s["a"] % s["b"]}), "bigint").alias("divisor"))
 
 
-@_query("select case width when 'I8+' then 255 when 'I8' then 127 when 'I16+' then 65535 when 'I16' then 32767 when 'I32+' then 4294967295 when 'I32' then 2147483647 else 9223372036854775807 end as most, width from (select unnest(['I8', 'I8+', 'I16', 'I16+', 'I32', 'I32+', 'I64', 'I64+']) as width)")
+@_query("""select case width when 'I8+' then 255 when 'I8' then 127 when 'I16+' then 65535 when 'I16' then 32767 when 'I32+' then 4294967295 when 'I32' then 2147483647 else 9223372036854775807 end as most, width
+from (select unnest(['I8', 'I8+', 'I16', 'I16+', 'I32', 'I32+', 'I64', 'I64+']) as width)""")
 def widths(spark, sf_dir):
     """The greatest number of every fixed width, which passes its check."""
     most = {"I8": 127, "I8+": 255, "I16": 32767, "I16+": 65535, "I32": 2**31 - 1, "I32+": 2**32 - 1, "I64": 2**63 - 1, "I64+": 2**63 - 1}
@@ -376,7 +395,13 @@ def widths(spark, sf_dir):
     return rows.select("width", passed.alias("most"))
 
 
-_NAMES = "if int_add int_mul int_neg int_== int_>=0 list_length list_indexl list_viewl tag_== w_wrap w_unwrap loop loop_iter iter_list record_get record_keep_fields record_drop_fields mk_event_type mk_gear mk_query query_delta mk_stategraph stategraph_apply stategraph_out sgctx_query sgctx_update sgctx_dep_query resolve_event resolve_data sender-to>user user_eq UserId DataId Id Gear Query EventTypeId LocEventId Timestamp StateGraph StateGraphOut mk_anchor_agg anchor_agg_apply mk_text_agg text_agg_apply text_agg_merge secondary_get _+_ _-_ _*_ _>=_ _>_ _<=_ _<_ id _=>_ unit _++_ int-clamp>int+ mk_none mk_some mk_some_if opt_unwrap iter_<"
+_NAMES = " ".join("""
+if int_add int_mul int_neg int_== int_>=0 list_length list_indexl list_viewl tag_== w_wrap w_unwrap loop loop_iter iter_list record_get
+record_keep_fields record_drop_fields mk_event_type mk_gear mk_query query_delta mk_stategraph stategraph_apply stategraph_out sgctx_query
+sgctx_update sgctx_dep_query resolve_event resolve_data sender-to>user user_eq UserId DataId Id Gear Query EventTypeId LocEventId Timestamp
+StateGraph StateGraphOut mk_anchor_agg anchor_agg_apply mk_text_agg text_agg_apply text_agg_merge secondary_get _+_ _-_ _*_ _>=_ _>_ _<=_
+_<_ id _=>_ unit _++_ int-clamp>int+ mk_none mk_some mk_some_if opt_unwrap iter_<
+""".split())
 
 
 @_query("select unnest(string_split('" + _NAMES + "', ' ')) as name, true as found")

@@ -82,7 +82,9 @@ def group_scan(spark, sf_dir):
     return _table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
 
 
-@_query(V + ", cur as (select user_id, max(change_seq) as cur from feed where event_type = 'signup' group by 1) select f.user_id, event_type, tx, event_id, cast(sum(weight) as int) as weight from feed f left join cur using (user_id) where change_seq > coalesce(cur, -1000000000000) group by all having sum(weight) <> 0")
+@_query(V + """, cur as (select user_id, max(change_seq) as cur from feed where event_type = 'signup' group by 1)
+select f.user_id, event_type, tx, event_id, cast(sum(weight) as int) as weight from feed f left join cur using (user_id)
+where change_seq > coalesce(cur, -1000000000000) group by all having sum(weight) <> 0""")
 def query_delta_since(spark, sf_dir):
     """Net change of every group since its own cursor: the last sign-up that arrived."""
     feed = _feed(spark, sf_dir)
@@ -104,7 +106,8 @@ def sender_to_user(spark, sf_dir):
     return log.resolve(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), senders, F.col("o_custkey") == F.col("c_custkey"), required=log.UnknownSender).select("o_orderkey", "o_custkey", "c_name")
 
 
-@_query("select l_orderkey, l_linenumber, user_id as sender, cast(round(value * 100) as bigint) as body from lineitem join events on event_id = (l_orderkey * 7 + l_linenumber) % (select count(*) from events)")
+@_query("""select l_orderkey, l_linenumber, user_id as sender, cast(round(value * 100) as bigint) as body from lineitem
+join events on event_id = (l_orderkey * 7 + l_linenumber) % (select count(*) from events)""")
 def resolve_event(spark, sf_dir):
     """Sender and body of the event that every item refers to; one that isn't there is an error."""
     e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("sender"), F.round(F.col("value") * 100).cast("bigint").alias("body"))
@@ -155,7 +158,8 @@ def gear_count(spark, sf_dir):
     return gears.invites_count(_feed(spark, sf_dir).withColumnRenamed("user_id", "branch"))
 
 
-@_query("select l_linenumber as bucket, cast(sum(cast(trunc(l_quantity) as bigint) * cast(round(l_discount * 100) as bigint)) as bigint) as total from lineitem group by 1")
+@_query("""select l_linenumber as bucket, cast(sum(cast(trunc(l_quantity) as bigint) * cast(round(l_discount * 100) as bigint)) as bigint) as total from lineitem
+group by 1""")
 def gear_mulsum(spark, sf_dir):
     """Sum of products per bucket."""
     items = _table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("bucket"), F.col("l_quantity").cast("bigint").alias("a"), F.round(F.col("l_discount") * 100).cast("bigint").alias("b"), F.lit(1).alias("weight"))
@@ -192,14 +196,25 @@ def _timeline(spark, sf_dir) -> DataFrame:
     return _winners(spark, sf_dir).select("user_id", F.struct(*VERSION).alias("ord"), F.col("cents").alias("value"), "event_type", "event_id", "ts")
 
 
-@_query(V + "select event_id, last_value(case when event_type = 'purchase' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as previous from winners")
-def timeline_latest_before(spark, sf_dir):
-    """Every event with its user's last purchase strictly before it."""
+@_query(V + """select event_id, last_value(case when event_type = 'purchase' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as previous
+from winners""")
+def timeline_own_before(spark, sf_dir):
+    """Every event with its user's last purchase strictly before it, as a fold reads its own state."""
     t = _timeline(spark, sf_dir).withColumn("value", F.when(F.col("event_type") == "purchase", F.col("value")))
     return timeline.own_before(t, ["user_id"]).select("event_id", "previous")
 
 
-@_query(V + "select event_id, last_value(case when event_type = 'purchase' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as latest from winners where event_type in ('purchase', 'view') qualify event_type = 'view'")
+@_query(V + """select event_id, last_value(case when event_type = 'purchase' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as previous
+from winners""")
+def timeline_latest_before(spark, sf_dir):
+    """Every event with its user's last purchase strictly before it, looked up in the timeline of purchases."""
+    t = _timeline(spark, sf_dir)
+    purchases = t.where("event_type = 'purchase'").select("user_id", "ord", "value")
+    return timeline.latest_before(t.select("user_id", "ord", "event_id"), purchases, ["user_id"], into="previous").select("event_id", "previous")
+
+
+@_query(V + """select event_id, last_value(case when event_type = 'purchase' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as latest
+from winners where event_type in ('purchase', 'view') qualify event_type = 'view'""")
 def timeline_latest_at(spark, sf_dir):
     """Every view with its user's last purchase at or before it."""
     t = _timeline(spark, sf_dir)
@@ -213,7 +228,8 @@ def timeline_next_after(spark, sf_dir):
     return timeline.next_after(_timeline(spark, sf_dir), ["user_id"]).select("event_id", F.col("next_ord.event_id").alias("next_id"))
 
 
-@_query(V + "select user_id, min(event_id) as first_id, max(event_id) as last_id, arg_min(cents, event_id) as first_value, arg_max(cents, event_id) as last_value from winners group by 1")
+@_query(V + """select user_id, min(event_id) as first_id, max(event_id) as last_id, arg_min(cents, event_id) as first_value, arg_max(cents, event_id) as last_value
+from winners group by 1""")
 def timeline_first_last(spark, sf_dir):
     """First and current value of every key (order by ts is order by event_id here)."""
     t = _timeline(spark, sf_dir)
@@ -248,7 +264,9 @@ def timeline_sizes(spark, sf_dir):
     return timeline.sizes(_timeline(spark, sf_dir), ["user_id"])
 
 
-_TWO = ", a as (select user_id, event_id, cents as value from winners where event_type <> 'error'), b as (select user_id, event_id, case when event_type = 'click' then cents + 1 else cents end as value from winners where event_type <> 'view')"
+_TWO = """, a as (select user_id, event_id, cents as value from winners
+where event_type <> 'error'), b as (select user_id, event_id, case when event_type = 'click' then cents + 1 else cents end as value from winners
+where event_type <> 'view')"""
 
 
 def _two(t: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +274,10 @@ def _two(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old, t.where("event_type <> 'view'").select("user_id", "ord", F.when(F.col("event_type") == "click", F.col("value") + 1).otherwise(F.col("value")).alias("value"))
 
 
-@_query(V + _TWO + " select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_id, b.event_id) as event_id, case when a.event_id is null then 'add' when b.event_id is null then 'remove' else 'update' end as change, a.value as old_value, b.value as new_value from a full join b on a.user_id = b.user_id and a.event_id = b.event_id where a.value is distinct from b.value or a.event_id is null or b.event_id is null")
+@_query(V + _TWO + """
+select coalesce(a.user_id, b.user_id) as user_id, coalesce(a.event_id, b.event_id) as event_id, case when a.event_id is null then 'add' when b.event_id is null then 'remove' else 'update' end as change, a.value as old_value, b.value as new_value
+from a full join b on a.user_id = b.user_id and a.event_id = b.event_id where a.value is distinct
+from b.value or a.event_id is null or b.event_id is null""")
 def timeline_diff(spark, sf_dir):
     """Differences of two versions of all timelines."""
     return timeline.diff(*_two(_timeline(spark, sf_dir)), ["user_id"]).select("user_id", F.col("ord.event_id").alias("event_id"), "change", "old_value", "new_value")
@@ -269,7 +290,9 @@ def timeline_apply_delta(spark, sf_dir):
     return timeline.apply_diff(old, timeline.diff(old, new, ["user_id"]), ["user_id"]).select("user_id", F.col("ord.event_id").alias("event_id"), "value")
 
 
-@_query(V + _TWO + ", k as (select user_id from a union select user_id from b), d as (select distinct user_id from (select * from a except select * from b union all (select * from b except select * from a))) select user_id, case when user_id not in (select user_id from a) then 'added' when user_id not in (select user_id from b) then 'removed' else 'changed' end as change from d")
+@_query(V + _TWO + """, k as (select user_id from a union select user_id from b), d as (select distinct user_id from (select * from a except select * from b
+union all (select * from b except select * from a))) select user_id, case when user_id not in (select user_id
+from a) then 'added' when user_id not in (select user_id from b) then 'removed' else 'changed' end as change from d""")
 def timeline_key_diff(spark, sf_dir):
     """Keys whose timelines differ."""
     return timeline.key_diff(*_two(_timeline(spark, sf_dir)), ["user_id"])
@@ -282,7 +305,8 @@ def timeline_remove(spark, sf_dir):
     return timeline.remove(old, new, ["user_id"]).select("user_id", F.col("ord.event_id").alias("event_id"), "value")
 
 
-@_query(V + _TWO + " select user_id, event_id, value from b union all select user_id, event_id, value from a where not exists (select 1 from b where b.event_id = a.event_id)")
+@_query(V + _TWO + """ select user_id, event_id, value from b union all select user_id, event_id, value from a where not exists (select 1 from b
+where b.event_id = a.event_id)""")
 def timeline_insert(spark, sf_dir):
     """The older version with the newer one's writes in it."""
     old, new = _two(_timeline(spark, sf_dir))
@@ -292,7 +316,8 @@ def timeline_insert(spark, sf_dir):
 # --- folds -----------------------------------------------------------------------------------------------------
 
 
-@_query(V + ", t as (select *, last_value(case when event_type = 'signup' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as dep from winners where event_type in ('signup', 'purchase')) select event_id, user_id, dep from t where event_type = 'purchase' and dep % 2 = 0")
+@_query(V + """, t as (select *, last_value(case when event_type = 'signup' then cents end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as dep
+from winners where event_type in ('signup', 'purchase')) select event_id, user_id, dep from t where event_type = 'purchase' and dep % 2 = 0""")
 def sg_dep_filter(spark, sf_dir):
     """Purchases whose user's last sign-up at that point has an even value."""
     t = _timeline(spark, sf_dir)
@@ -300,7 +325,9 @@ def sg_dep_filter(spark, sf_dir):
     return stategraph.depend(t.where("event_type = 'purchase'").select("user_id", "ord", "event_id"), dep, ["user_id"]).where("dep % 2 = 0").select("event_id", "user_id", "dep")
 
 
-@_query(V + ", w as (select user_id, event_id, cents, lead(event_id) over (partition by user_id order by ts, event_id) as nxt from winners where event_type = 'signup') select distinct r.event_id, r.user_id from winners r join w on r.user_id = w.user_id and r.event_id > w.event_id and (w.nxt is null or r.event_id <= w.nxt) where r.event_type = 'view' and w.cents % 3 = 0")
+@_query(V + """, w as (select user_id, event_id, cents, lead(event_id) over (partition by user_id order by ts, event_id) as nxt from winners
+where event_type = 'signup') select distinct r.event_id, r.user_id from winners r
+join w on r.user_id = w.user_id and r.event_id > w.event_id and (w.nxt is null or r.event_id <= w.nxt) where r.event_type = 'view' and w.cents % 3 = 0""")
 def sg_bounded_replay(spark, sf_dir):
     """The views that a change of some sign-ups reaches: up to the next sign-up."""
     t = _timeline(spark, sf_dir)
@@ -325,7 +352,10 @@ def _users(spark, sf_dir) -> int:
 def _invites(spark, sf_dir) -> DataFrame:
     """Every event is an invitation by its user; user 0 made all branches."""
     e, zero = _table(spark, sf_dir, "events"), F.lit(0).cast("bigint")
-    return e.select(F.col("event_type").alias("branch"), zero.alias("creator"), F.col("user_id").alias("user"), (F.col("event_id") * 7 % _users(spark, sf_dir)).alias("invitee"), F.col("event_id").alias("ts"), zero.alias("route_id"), zero.alias("tx_id"), F.lit("").alias("sender"))
+    return e.select(
+        F.col("event_type").alias("branch"), zero.alias("creator"), F.col("user_id").alias("user"),
+        (F.col("event_id") * 7 % _users(spark, sf_dir)).alias("invitee"), F.col("event_id").alias("ts"), zero.alias("route_id"), zero.alias("tx_id"), F.lit("").alias("sender"),
+    )
 
 
 _MEMBERS = """recursive steps as (
@@ -418,7 +448,8 @@ def fold_right(spark, sf_dir):
     return _lists(spark, sf_dir).select("user_id", fn.fold_right(F.col("xs"), F.lit(1).cast("bigint"), lambda x, a: (a * 31 + x) % 1000003).alias("folded"))
 
 
-@_query("select event_id, event_id + user_id as added, event_id * user_id as times, -event_id as negated, event_id - user_id as less, event_id = user_id as same, event_id - user_id >= 0 as natural from events")
+@_query("""select event_id, event_id + user_id as added, event_id * user_id as times, -event_id as negated, event_id - user_id as less, event_id = user_id as same, event_id - user_id >= 0 as natural
+from events""")
 def int_ops(spark, sf_dir):
     a, b = F.col("event_id"), F.col("user_id")
     return _table(spark, sf_dir, "events").select("event_id", fn.int_add(a, b).alias("added"), fn.int_mul(a, b).alias("times"), fn.int_neg(a).alias("negated"), fn.int_sub(a, b).alias("less"), fn.int_eq(a, b).alias("same"), fn.is_natural(fn.int_sub(a, b)).alias("natural"))
@@ -476,7 +507,8 @@ def _edits(spark, sf_dir) -> DataFrame:
     return c.select(F.col("conv_id").alias("doc"), F.lit(0).alias("branch"), F.col("turn").alias("tx_id"), F.lit(0).cast("bigint").alias("route_id"), F.col("role").alias("sender"), F.struct("turn", "role").alias("ord"), edit.alias("edit"))
 
 
-_EDITED = "with edits as (select conv_id as doc, turn, role, text, turn % 3 as off from conversations), texts as (select doc, turn, role, off, text from edits e where text <> '' and not (turn = 0 and role = 'user' and exists (select 1 from edits d where d.doc = e.doc and d.turn = 3))) "
+_EDITED = """with edits as (select conv_id as doc, turn, role, text, turn % 3 as off from conversations), texts as (select doc, turn, role, off, text from edits e
+where text <> '' and not (turn = 0 and role = 'user' and exists (select 1 from edits d where d.doc = e.doc and d.turn = 3))) """
 
 
 @_query(_EDITED + "select doc, turn, role, cast(row_number() over (partition by doc order by off, turn desc, role) as int) as place from edits")
@@ -495,7 +527,9 @@ def text_apply(spark, sf_dir):
     return text.apply_texts(_edits(spark, sf_dir)).select("doc", F.col("anchor.tx_id").alias("turn"), F.col("anchor.sender").alias("role"), "text")
 
 
-@_query(_EDITED + ", a as (select * from texts where turn % 2 = 0), b as (select doc, turn, role, '~' || text as text from texts where turn % 3 = 0) select coalesce(a.doc, b.doc) as doc, coalesce(a.turn, b.turn) as turn, coalesce(a.role, b.role) as role, coalesce(b.text, a.text) as text from a full join b on a.doc = b.doc and a.turn = b.turn and a.role = b.role")
+@_query(_EDITED + """, a as (select * from texts where turn % 2 = 0), b as (select doc, turn, role, '~' || text as text from texts where turn % 3 = 0)
+select coalesce(a.doc, b.doc) as doc, coalesce(a.turn, b.turn) as turn, coalesce(a.role, b.role) as role, coalesce(b.text, a.text) as text from a
+full join b on a.doc = b.doc and a.turn = b.turn and a.role = b.role""")
 def text_merge(spark, sf_dir):
     """Two branches of every document merged; the right one's text wins."""
     t = text.apply_texts(_edits(spark, sf_dir)).select("doc", F.col("anchor.tx_id").alias("turn"), F.col("anchor.sender").alias("role"), "text")
@@ -538,7 +572,11 @@ def doc_content(spark, sf_dir):
     members = gears.invited(_invites(spark, sf_dir))
     c = _table(spark, sf_dir, "conversations")
     branch = F.element_at(F.array(*map(F.lit, ("view", "click", "error", "purchase", "signup"))), (F.col("conv_id") % 5).cast("int") + 1)
-    attaches = c.select(F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), (F.col("conv_id") * 7 % _users(spark, sf_dir)).alias("user"), F.lit(False).alias("is_merge"), _root_edit("text").alias("edit"), F.lit(None).cast("string").alias("from_branch"), (F.col("conv_id") * 50 + F.col("turn")).alias("ts"), _zero().alias("route_id"), F.col("turn").alias("tx_id"), F.col("role").alias("sender"))
+    attaches = c.select(
+        F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), (F.col("conv_id") * 7 % _users(spark, sf_dir)).alias("user"), F.lit(False).alias("is_merge"),
+        _root_edit("text").alias("edit"), F.lit(None).cast("string").alias("from_branch"), (F.col("conv_id") * 50 + F.col("turn")).alias("ts"), _zero().alias("route_id"),
+        F.col("turn").alias("tx_id"), F.col("role").alias("sender"),
+    )
     return gears.doc_content(attaches, members)[1].where("text <> ''")
 
 
@@ -551,7 +589,13 @@ def doc_content_merge(spark, sf_dir):
     """Two branches of every document; the side branch is merged into the main one before turn 4, so its later turns aren't in it."""
     c = _table(spark, sf_dir, "conversations")
     side = F.when(F.col("turn") % 2 == 0, "main").otherwise("side")
-    own = lambda rows, branch, merge, edit, source, ts, tx, sender: rows.select(F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), _zero().alias("user"), F.lit(merge).alias("is_merge"), edit.alias("edit"), source.cast("string").alias("from_branch"), ts.cast("bigint").alias("ts"), _zero().alias("route_id"), tx.cast("bigint").alias("tx_id"), sender.alias("sender"))
+
+    def own(rows, branch, merge, edit, source, ts, tx, sender):
+        return rows.select(
+            F.col("conv_id").alias("doc"), branch.alias("branch"), _zero().alias("creator"), _zero().alias("user"), F.lit(merge).alias("is_merge"), edit.alias("edit"),
+            source.cast("string").alias("from_branch"), ts.cast("bigint").alias("ts"), _zero().alias("route_id"), tx.cast("bigint").alias("tx_id"), sender.alias("sender"),
+        )
+
     edits = own(c, side, False, _root_edit("text"), F.lit(None), F.col("turn") * 2, F.col("turn"), F.col("role"))
     merges = own(c.select("conv_id").distinct(), F.lit("main"), True, F.lit(None).cast(text.TEXT_UPDATE), F.lit("side"), F.lit(7), F.lit(1000), F.lit("user"))
     nobody = gears.invited(_invites(spark, sf_dir).limit(0))
@@ -597,7 +641,9 @@ def text_nested_segments(spark, sf_dir):
     return text.render_segments(text.anchors(edits), text.apply_texts(edits)).groupBy("doc").agg(F.count("*").alias("pieces"), F.sum(F.length("text")).alias("chars"))
 
 
-@_query("select doc, turn, place from (select conv_id as doc, turn, cast(row_number() over (partition by conv_id order by turn % 3, turn desc, role) as int) as place from conversations) where place <= 2")
+@_query("""select doc, turn, place
+from (select conv_id as doc, turn, cast(row_number() over (partition by conv_id order by turn % 3, turn desc, role) as int) as place
+from conversations) where place <= 2""")
 def text_children(spark, sf_dir):
     """The first two children of every document's root."""
     from pyspark.sql import Window
@@ -652,7 +698,8 @@ def text_updates(spark, sf_dir):
     return made.select("doc", F.col("tx_id").alias("turn"), F.col("sender").alias("role"), text.valid_update(F.col("e")).alias("valid"), (F.size("e.new_anchors") + F.size("e.deletions")).alias("size"))
 
 
-@_query(_EDITED + ", d as (select doc, string_agg(text, '' order by off, turn desc, role) as text from texts group by doc) select doc, replace(text, 'en', 'EN+') as text, cast(0 as bigint) as untouched from d")
+@_query(_EDITED + """, d as (select doc, string_agg(text, '' order by off, turn desc, role) as text from texts group by doc)
+select doc, replace(text, 'en', 'EN+') as text, cast(0 as bigint) as untouched from d""")
 def text_diff_multi_anchor(spark, sf_dir):
     """Documents of several anchors edited by a diff into another text, rendered; and how many anchors without the edited letters the diff deletes."""
     edits = _edits(spark, sf_dir)
