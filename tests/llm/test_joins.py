@@ -262,6 +262,56 @@ def test_repeats_against_brute_force(make, passages, hard_rows):
     assert size(first) <= size(want) and len(size(first)) >= 0.99 * len(size(want))
 
 
+def test_hot_passages_are_settled_in_their_tasks(spark, make):
+    """A passage in every document: what meets in one place grows with the tasks and not with the documents."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    shared = " ".join(word() for _ in range(90))
+    rows = [(i, " ".join([*(word() for _ in range(i % 7)), shared, *(word() for _ in range(60))])) for i in range(600)]
+    docs = make(rows).repartition(3).cache()
+    met = substring_dedup.final_symbols(docs, 8, "doc_id", "text").groupBy("name").count().agg({"count": "max"}).first()[0]
+    # the order of rows is chance here, so a lesser id may come after the least one so far; slices are larger than these tasks
+    assert met <= 3
+    got, first = {}, {}
+    for r in substring_dedup.repeated_spans(docs).orderBy("doc_id", "span_start").collect():
+        (first if r.kept else got).setdefault(r.doc_id, []).append((r.span_start, r.span_end))
+    assert got == brute_repeats(rows) and first == brute_repeats(rows, first_ones=True) and len(got) == 599
+
+
+@pytest.mark.parametrize("most", [1, 5, 1 << 14])
+def test_settling_keeps_the_least(most):
+    """Over any slices and any memory: what is settled has an earlier place in its task, and every name's least and another place stay."""
+    draw = np.random.default_rng(most)
+    task, seen, stay = substring_dedup._Task(most), {}, {}
+    for _ in range(40):
+        n = int(draw.integers(0, 30))
+        name, start, key = draw.integers(0, 12, n).astype(np.uint64), draw.integers(0, 4, n), draw.integers(-1, 2, n)
+        doc = [str(x) for x in draw.integers(0, 40, n)]
+        beyond, last, near = task.settle(name, pa.array(doc, pa.string()), start, key, name)
+        places = list(zip(doc, start.tolist(), key.tolist()))
+        for who, place in zip(name.tolist(), places):
+            seen.setdefault(who, set()).add(place)
+        for k, (who, place) in enumerate(zip(name.tolist(), places)):
+            mark = near[k].as_py()
+            if beyond[k]:
+                least = mark["doc"], mark["start"], mark["key"]
+                assert least < place and least in seen[who] and mark["gap"] == who
+            if not beyond[k] or last[k]:
+                stay.setdefault(who, set()).add(place)
+        assert len(task.kept[0]) <= most
+    for who, places in seen.items():
+        assert min(places) in stay[who] and (len(places) == 1 or len(stay[who]) > 1)
+
+
+def test_rows_of_one_id_are_told_apart(make):
+    """Two texts of one id that begin alike hold the passage twice; a repeated row of an id and text holds it once."""
+    words = [f"w{k}" for k in range(140)]
+    one, two = " ".join(words[:70] + ["x"] * 3), " ".join(words[:70] + words[100:])
+    spans = lambda rows: [(r.doc_id, r.kept, r.n_words) for r in substring_dedup.repeated_spans(make(rows)).orderBy("kept").collect()]
+    assert spans([(1, one), (1, two)]) == [(1, False, 70), (1, True, 70)]
+    assert spans([(1, one), (1, one)]) == []
+
+
 def cut(text, spans):
     w = text.split()
     return [x for k, x in enumerate(w) if not any(a <= k < b for a, b in spans)]

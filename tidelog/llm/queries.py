@@ -51,7 +51,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spans of every document that repeat 50 words or more of what comes before."""
+    """The spans of every document that repeat 50 words or more of what comes before (``kept`` false: these can be cut), and where they occur first (``kept`` true)."""
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
 

@@ -5,6 +5,9 @@ left for the first and right for the second, and a name is a 64-bit hash of what
 equal names without exchanging a dictionary, and equal substrings have equal symbols in their interior. A symbol of at least ``span`` words
 is final. One shuffle counts final symbols over the corpus; those that occur again reveal where long repeats can be, and
 every window of ``window`` words that holds such a symbol is then verified by its full hash in a second one.
+
+A name may be in a third of all texts. Its occurrences meet in one place only once a task's worth of them has been settled: what has an
+earlier occurrence in its own task is marked by that, and travels under a key of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,13 +89,64 @@ def _ranges_hash(words: np.ndarray):
     return lambda a, b: mix((prefix[b] - prefix[a]) * _power("down", len(words) + 1)[a])
 
 
+def _ends(group: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the least and the greatest item of each item's group are, compared by the first of ``order``, then the next."""
+    low, high = np.arange(len(group)), np.arange(len(group))
+    by = np.argsort(group, kind="stable")
+    same = group[by][1:] == group[by][:-1]
+    some = np.zeros(len(group), bool)
+    some[by[1:][same]] = some[by[:-1][same]] = True
+    some = np.flatnonzero(some)
+    by = some[np.lexsort([x[some] for x in (*reversed(order), group)])]
+    head = np.ones(len(by), bool)
+    head[1:] = group[by][1:] != group[by][:-1]
+    at, of = np.flatnonzero(head), np.cumsum(head) - 1
+    low[by], high[by] = by[at][of], by[np.append(at[1:], len(by)) - 1][of] if len(by) else by
+    return low, high
+
+
+class _Task:
+    """The least places so far, in one task, of names that occur at several. ``most`` are remembered, the latest ones; a name that is forgotten
+    is settled by the shuffle like one seen first, so the bound changes no result."""
+
+    def __init__(self, most: int = 1 << 14):
+        self.most = most
+        self.kept: list | None = None
+
+    def settle(self, name: np.ndarray, doc: pa.Array, start: np.ndarray, key: np.ndarray, gap: np.ndarray):
+        """(beyond, last, near): whether an occurrence has one before it in this task; whether it is the last of those that are at hand, so that the name
+        must still go by it; and the (doc, start, key, gap) of the least one, null where there is no second place."""
+        old = self.kept or [name[:0], doc[:0], start[:0], key[:0], gap[:0]]
+        held = len(old[0])
+        name, start, key, gap = (np.concatenate([a, b]) for a, b in zip((old[0], *old[2:]), (name, start, key, gap)))
+        doc = pa.concat_arrays([old[1], doc])
+        rank = np.asarray(pc.rank(doc, sort_keys="ascending", tiebreaker="dense"))
+        low, high = _ends(name, rank, start, key)
+        differ = lambda a, b: (rank[a] != rank[b]) | (start[a] != start[b]) | (key[a] != key[b])
+        every = np.arange(len(name))
+        twice = differ(low, high)
+        lead = np.unique(low[twice | (every < held)])[-self.most :]
+        self.kept = [name[lead], doc.take(pa.array(lead)), start[lead], key[lead], gap[lead]]
+        beyond, last = differ(every, low)[held:], (~differ(every, high) & (low >= held))[held:]
+        at = low[held:]
+        pieces = [doc.take(pa.array(at)), pa.array(start[at], pa.int32()), pa.array(key[at], pa.int32()), pa.array(gap[at].view(np.int64))]
+        return beyond, last, pa.StructArray.from_arrays(pieces, names=["doc", "start", "key", "gap"], mask=pa.array(~twice[held:]))
+
+
+def _apart(spread: np.ndarray, start: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
+    """Shuffle keys for rows that need to meet no other."""
+    return mix(spread.view(np.uint64) + (start.astype(np.uint64) + U(1)) * _RUN + salt)
+
+
 def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
-    """(name, doc, key, start, size, reach, gap) of every final symbol; a doc is told from another row of its id by a hash of its text.
+    """(name, doc, key, start, size, reach, gap, near) of every final symbol; a doc is told from another row of its id by a hash of its text.
 
-    ``reach`` is how far the text's next final symbol begins from here, 0 without one, and ``gap`` hashes the words between.
+    ``reach`` is how far the text's next final symbol begins from here, 0 without one, and ``gap`` hashes the words between. ``near`` is the least
+    (doc, start, key, gap) of the symbol in this task, if it occurs at two places there; where that isn't this one, ``name`` is a key of the row's own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task()
         for part in slices(batches, "text"):
             words, per = word_hashes(*buffers(part.column("text")))
             name, first, size = recompress(words, per, span)
@@ -102,13 +157,17 @@ def final_symbols(docs: DataFrame, span: int, id_col: str, text_col: str) -> Dat
             gap = np.zeros(len(first), np.uint64)
             wide = np.flatnonzero(reach > np.abs(size))
             gap[wide] = _ranges_hash(words)(first[wide] + np.abs(size[wide]), first[wide] + reach[wide])
-            at = pa.array(text)
-            columns = [pa.array(name.view(np.int64)), part.column("doc").take(at), part.column("key").take(at), *(pa.array(x, pa.int32()) for x in (first - per[text], size, reach)), pa.array(gap.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "doc", "key", "start", "size", "reach", "gap"])
+            start, doc, key = first - per[text], part.column("doc").take(pa.array(text)), np.asarray(part.column("key"))[text]
+            beyond, _, near = task.settle(name, doc, start, key, gap)
+            name = np.where(beyond, _apart(np.asarray(part.column("spread"))[text], start, name), name)
+            columns = [pa.array(name.view(np.int64)), doc, *(pa.array(x, pa.int32()) for x in (key, start, size, reach)), pa.array(gap.view(np.int64)), near]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "doc", "key", "start", "size", "reach", "gap", "near"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int, reach int, gap bigint")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.xxhash64(id_col).alias("spread"), F.col(text_col).alias("text"))
+    near = f"struct<doc:{kind},start:int,key:int,gap:bigint>"
+    return rows.mapInArrow(run, f"name bigint, doc {kind}, key int, start int, size int, reach int, gap bigint, near {near}")
 
 
 def _chains(spots: dict[str, np.ndarray], row: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,16 +196,18 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     symbols = final_symbols(docs, span, id_col, text_col)
-    same, place = Window.partitionBy("name"), F.struct("doc", "start")
-    again = symbols.withColumns({"n": F.count("*").over(same), "first": F.min(F.struct("doc", "start", "gap", "key")).over(same)}).where((F.col("n") > 1) | (F.abs("size") > window))
-    later, tied = place > F.struct(F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), F.col("gap") == F.col("first.gap")
+    same, place = Window.partitionBy("name"), F.struct("doc", "start", "key")
+    met = symbols.withColumns({"n": F.count("*").over(same), "met": F.min(F.struct("doc", "start", "key", "gap")).over(same)})
+    again = met.where((F.col("n") > 1) | F.col("near").isNotNull() | (F.abs("size") > window)).withColumn("first", F.least("met", "near"))
+    later, tied = place > F.struct(*[F.col(f"first.{c}").alias(c) for c in ("doc", "start", "key")]), F.col("gap") == F.col("first.gap")
     spot = F.struct("start", "size", "reach", F.col("first.doc").alias("doc"), F.col("first.key").alias("key"), F.col("first.start").alias("at"), later.alias("later"), tied.alias("tied"))
-    spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_list(spot)).alias("spots"))
+    spots = again.groupBy(F.col("doc").alias("__doc"), F.col("key").alias("__key")).agg(F.array_sort(F.collect_set(spot)).alias("spots"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.hash(text_col).alias("key"), F.col(text_col).alias("text"))
     parts = ("start", "size", "reach", "doc", "key", "at", "later", "tied")
-    near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", "text", *[F.col(f"spots.{c}").alias(f"s_{c}") for c in parts])
+    near = rows.join(spots, (F.col("doc") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc", "key", F.xxhash64("doc").alias("spread"), "text", *[F.col(f"spots.{c}").alias(f"s_{c}") for c in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task()
         for part in slices(batches, "text"):
             words, per = word_hashes(*buffers(part.column("text")))
             found = {c: part.column(f"s_{c}").flatten().to_numpy(zero_copy_only=False) for c in parts}
@@ -166,16 +227,24 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
             chosen = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (np.cumsum(known[:-1]) == 0))
             hashed = _ranges_hash(words)(chosen, chosen + window)
             text = np.searchsorted(per, chosen, side="right") - 1
-            # a verified run goes along under a key of its own, with the sign of its place turned, and so does the one it repeats
-            own = mix(words[per[sure] + begin] + (per[sure] + begin).astype(np.uint64) * _RUN)
-            pick, long, origin = pa.array(np.concatenate([text, sure])), (end - begin) << 32, pa.array(spot)
-            runs = np.concatenate([chosen - per[text], ~(begin | long), ~(found["at"][spot] | long | _FIRST)])
-            docs_of = pa.concat_arrays([part.column("doc").take(pick), part.column("s_doc").flatten().take(origin)])
-            keys_of = pa.concat_arrays([part.column("key").take(pick), part.column("s_key").flatten().take(origin)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own, mix(own + _PAIR)]).view(np.int64)), docs_of, keys_of, pa.array(runs)], names=["hash", "doc", "key", "run"])
+            start, doc, key, spread = chosen - per[text], part.column("doc").take(pa.array(text)), np.asarray(part.column("key")), np.asarray(part.column("spread"))
+            # the least and the last of a task's equal windows meet those of other tasks; what lies between has an earlier one and goes along as verified
+            beyond, last, _ = task.settle(hashed, doc, start, key[text], np.zeros(len(start), np.uint64))
+            settled = beyond & ~last
+            hashed = np.where(settled, _apart(spread[text], start, U(0)), hashed)
+            # a verified run has a key of its own and the sign of its place turned, and so has the one it repeats, each once
+            own, long = _apart(spread[sure], begin, _PAIR), (end - begin) << 32
+            origin = pa.table([part.column("s_doc").flatten().take(pa.array(spot)), part.column("s_key").flatten().take(pa.array(spot)), pa.array(~(found["at"][spot] | long | _FIRST)), pa.array(np.arange(len(spot)))], names=["doc", "key", "run", "by"])
+            origin = origin.group_by(["doc", "key", "run"], use_threads=False).aggregate([("by", "min")]).combine_chunks()
+            column = lambda c: origin.column(c).combine_chunks()
+            theirs = mix(own[np.asarray(origin.column("by_min"))] + _PAIR)
+            docs_of = pa.concat_arrays([doc, part.column("doc").take(pa.array(sure)), column("doc")])
+            keys_of = pa.concat_arrays([pa.array(key[text], pa.int32()), pa.array(key[sure], pa.int32()), column("key")])
+            runs = np.concatenate([np.where(settled, ~start, start), ~(begin | long), np.asarray(origin.column("run"))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own, theirs]).view(np.int64)), docs_of, keys_of, pa.array(runs)], names=["hash", "doc", "key", "run"])
 
     windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, run bigint")
-    mine, sure, same = F.struct("doc", "run"), F.col("run") < 0, Window.partitionBy("hash")
+    mine, sure, same = F.struct("doc", "run", "key"), F.col("run") < 0, Window.partitionBy("hash")
     seen = windows.withColumns({"first": F.min(F.when(~sure, mine)).over(same), "last": F.max(F.when(~sure, mine)).over(same)}).where(sure | (F.col("last") > F.col("first")))
     value = F.when(sure, F.bitwise_not("run")).otherwise(F.col("run") + F.when(mine > F.col("first"), 0).otherwise(_FIRST))
     return seen.groupBy("doc", "key").agg(F.collect_set(value).alias("runs"))
