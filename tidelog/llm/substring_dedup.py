@@ -228,20 +228,23 @@ def repeated_windows(docs: DataFrame, window: int, span: int, id_col: str, text_
             hashed = _ranges_hash(words)(chosen, chosen + window)
             text = np.searchsorted(per, chosen, side="right") - 1
             start, doc, key, spread = chosen - per[text], part.column("doc").take(pa.array(text)), np.asarray(part.column("key")), np.asarray(part.column("spread"))
-            # the least and the last of a task's equal windows meet those of other tasks; what lies between has an earlier one and goes along as verified
+            # the least and the last of a task's equal windows meet those of other tasks; what lies between has an earlier one, and runs of it go along as verified
             beyond, last, _ = task.settle(hashed, doc, start, key[text], np.zeros(len(start), np.uint64))
-            settled = beyond & ~last
-            hashed = np.where(settled, _apart(spread[text], start, U(0)), hashed)
+            calm = np.flatnonzero(beyond & ~last)
+            head = np.flatnonzero(np.concatenate([[True], (chosen[calm][1:] != chosen[calm][:-1] + 1) | (text[calm][1:] != text[calm][:-1])])[: len(calm)])
+            tail = np.append(head[1:], len(calm)) - 1 if len(head) else head
+            of, begins, ends = (np.concatenate(x) for x in ((sure, text[calm][head]), (begin, start[calm][head]), (end, start[calm][tail])))
+            open_ = np.delete(np.arange(len(chosen)), calm)
             # a verified run has a key of its own and the sign of its place turned, and so has the one it repeats, each once
-            own, long = _apart(spread[sure], begin, _PAIR), (end - begin) << 32
+            own, long = _apart(spread[of], begins, _PAIR), (end - begin) << 32
             origin = pa.table([part.column("s_doc").flatten().take(pa.array(spot)), part.column("s_key").flatten().take(pa.array(spot)), pa.array(~(found["at"][spot] | long | _FIRST)), pa.array(np.arange(len(spot)))], names=["doc", "key", "run", "by"])
             origin = origin.group_by(["doc", "key", "run"], use_threads=False).aggregate([("by", "min")]).combine_chunks()
             column = lambda c: origin.column(c).combine_chunks()
             theirs = mix(own[np.asarray(origin.column("by_min"))] + _PAIR)
-            docs_of = pa.concat_arrays([doc, part.column("doc").take(pa.array(sure)), column("doc")])
-            keys_of = pa.concat_arrays([pa.array(key[text], pa.int32()), pa.array(key[sure], pa.int32()), column("key")])
-            runs = np.concatenate([np.where(settled, ~start, start), ~(begin | long), np.asarray(origin.column("run"))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed, own, theirs]).view(np.int64)), docs_of, keys_of, pa.array(runs)], names=["hash", "doc", "key", "run"])
+            docs_of = pa.concat_arrays([doc.take(pa.array(open_)), part.column("doc").take(pa.array(of)), column("doc")])
+            keys_of = pa.concat_arrays([pa.array(key[text[open_]], pa.int32()), pa.array(key[of], pa.int32()), column("key")])
+            runs = np.concatenate([start[open_], ~(begins | (ends - begins) << 32), np.asarray(origin.column("run"))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashed[open_], own, theirs]).view(np.int64)), docs_of, keys_of, pa.array(runs)], names=["hash", "doc", "key", "run"])
 
     windows = near.mapInArrow(run, f"hash bigint, doc {kind}, key int, run bigint")
     mine, sure, same = F.struct("doc", "run", "key"), F.col("run") < 0, Window.partitionBy("hash")
