@@ -153,6 +153,46 @@ def test_hot_buckets_keep_all_connected(monkeypatch):
     assert less <= 221 < 300 < largest  # no bucket is larger than a batch
 
 
+def sketch_of(values):
+    out = np.zeros((1, -(-len(values) // 32)), np.uint64)
+    for k, v in enumerate(values):
+        out[0, k // 32] |= np.uint64(int(v) << 2 * (k % 32))
+    return out
+
+
+@pytest.mark.parametrize("meet", (8192, 4))
+def test_what_left_a_bucket_meets_the_rest_of_it(spark, make, monkeypatch, meet):
+    """One of many near copies, tied to their least in another bucket, is the only one that is like some rows of the bucket it left."""
+    monkeypatch.setattr(jaccard_join, "MEET", meet, raising=False)
+    bands, rows = jaccard_join.bands_for(0.5, 0.9995)
+    most = bands * rows - jaccard_join.least_agreement(0.5, 0.9995, bands * rows)
+    base, edge, beyond = (np.where(np.arange(bands * rows) < n, 1, 0) for n in (0, most, most + 40))
+    sketches = [base] * 40 + [edge] + [beyond] * 9 + [np.full(bands * rows, 3)]
+    draw = np.random.default_rng(2)
+    keys = draw.integers(0, 2**63, (len(sketches), bands), dtype=np.uint64)
+    keys[:, 7] = 77  # the one bucket that they share
+    made = [(k, k, k, keys[k].tobytes(), sketch_of(s).tobytes()) for k, s in enumerate(sketches)]
+    join = jaccard_join.Join(make([]), 0.5, 3, 0.999, "doc_id", "text")
+    join.signed = spark.createDataFrame(made, "doc bigint, key bigint, cls bigint, bands binary, sketch binary").coalesce(1)
+    join.classes = join.signed.select("cls", F.lit(1).cast("bigint").alias("size"), "sketch")
+    got = {r.node: r.root for r in components(join.likely()).collect()}
+    assert got == {k: 0 for k in range(50)}
+
+
+def test_large_buckets_keep_every_link(monkeypatch):
+    """In a bucket of several blocks, a row that is only like one of an earlier block that isn't the first of its kind is still linked."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    draw = np.random.default_rng(4)
+    size, most = 171, 85
+    rows = [np.zeros(size, int)] * 30 + [np.where(np.arange(size) < most, 1, 0)] + [np.full(size, 2)] * 30
+    rows += [np.where(np.arange(size) < n, v, w) for n, v, w in ((most + 60, 1, 0), (most, 3, 2), (most + 60, 3, 2))] + [draw.integers(0, 4, size) for _ in range(40)]
+    sketch = np.concatenate([sketch_of(r) for r in rows])
+    a, b = jaccard_join._meet(np.arange(len(rows)), sketch, np.array([0]), np.array([len(rows)]), most)
+    values = np.array(rows)
+    want = groups_of([(i, j) for i in range(len(rows)) for j in range(i) if (values[i] != values[j]).sum() <= most])
+    assert groups_of(zip(a.tolist(), b.tolist())) == want and want[61] == 0 and want[63] == 31
+
+
 def test_chance_links_nothing():
     """Documents that share phrases by chance aren't brought together: comparisons stay in proportion to true pairs as the corpus grows."""
     draw = random.Random(6)

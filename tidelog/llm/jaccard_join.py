@@ -6,7 +6,9 @@ whose sketches agree in too few places is dropped there, before anything is clos
 are nearly all alike; every pair of such a set is compared on its whole n-gram sets by products of incidence matrices, in blocks where there are many.
 
 A batch that has many near copies of one class in a bucket ties them to it in a bucket of their own and sends the others on, so a
-text of which there are millions of near copies fills no bucket. Nothing is capped: large buckets and large sets take more blocks.
+text of which there are millions of near copies fills no bucket. What was tied elsewhere still meets the rest of the bucket it left: where a bucket
+isn't connected as a whole once all links are closed, its members that aren't connected to the first one meet all others, in blocks. Nothing is capped:
+large buckets and large sets take more blocks.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm._components import components
-from tidelog.llm._session import unused, written
-from tidelog.llm._text import PUNCTUATION, U, buffers, flat_ranges, gram_hashes, mix, slices, word_hashes
+from tidelog.llm._session import dropped, unused, written
+from tidelog.llm._text import PUNCTUATION, U, buffers, flat_ranges, gram_hashes, lists, mix, slices, word_hashes
 
-BLOCK, MANY, FEW = 1024, 16, 64
+BLOCK, MANY, FEW, MEET = 1024, 16, 64, 8192
 _PLACES = U(0x5555555555555555)
 
 
@@ -121,8 +123,8 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(bands: int, width: int, most: int):
-    """Each batch's (bucket, cls) entries. Of more than MANY classes that are alike to the least one of their bucket, the others go with that one
-    to a bucket of the batch's own instead."""
+    """Each batch's entries (bucket, cls, gone). Of more than MANY classes that are alike to the least one of their bucket, the others go with that one
+    to a bucket of the batch's own instead; ``gone`` lists the buckets that such a class left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +136,7 @@ def _entries(bands: int, width: int, most: int):
             by = np.argsort(key, kind="stable")  # owners stay in order, so a run begins with the least class
             key, owner = key[by], owner[by]
             at, size = _runs(key)
-            stay, ties = np.ones(len(key), bool), []
+            stay, ties, left = np.ones(len(key), bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             big = np.flatnonzero(size > MANY + 1)
             if len(big):
                 place = flat_ranges(at[big], size[big])
@@ -143,13 +145,17 @@ def _entries(bands: int, width: int, most: int):
                 nth = np.cumsum(alike) - np.repeat((np.cumsum(alike) - alike)[np.cumsum(size[big]) - size[big]], size[big])
                 gone = alike & (nth > MANY)
                 stay[place[gone]] = False
-                ties = np.unique(leader[gone] * len(cls) + owner[place[gone]])
-            ties = np.asarray(ties, np.int64)
+                ties = leader[gone] * len(cls) + owner[place[gone]]
+                by = np.argsort(ties, kind="stable")
+                ties, left = ties[by], key[place[gone]][by]
+            first, count = _runs(ties)
+            ties = ties[first]
             a, b = ties // len(cls), ties % len(cls)
             own = mix(cls[a].view(np.uint64) + mix(np.full(len(a), U(len(cls)) + keys.sum(dtype=np.uint64), np.uint64)))
             head = np.unique(a, return_index=True)[1]
             out = np.concatenate([key[stay], own[head], own])
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(cls[np.concatenate([owner[stay], a[head], b])])], names=["bucket", "cls"])
+            ends = np.concatenate([np.zeros(len(out) - len(b) + 1, np.int64), np.cumsum(count)])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(cls[np.concatenate([owner[stay], a[head], b])]), lists(left.view(np.int64), ends, pa.int64())], names=["bucket", "cls", "gone"])
 
     return run
 
@@ -178,22 +184,20 @@ def _meet(cls: np.ndarray, sketch: np.ndarray, at: np.ndarray, size: np.ndarray,
             a.append(np.minimum(x, y)[good])
             b.append(np.maximum(x, y)[good])
     for k in np.flatnonzero((rest > 0) & (size > FEW)).tolist():
-        # in blocks; of each block what isn't like an earlier head becomes one, and later blocks meet the heads
-        heads = np.zeros(0, np.int64)
-        for low in range(int(at[k]), int(at[k] + size[k]), BLOCK):
-            block = np.arange(low, min(low + BLOCK, int(at[k] + size[k])))
-            fresh = np.ones(len(block), bool)
-            for h in range(0, len(heads), BLOCK):
-                good = _apart(sketch[block][:, None], sketch[heads[h : h + BLOCK]][None]) <= most
-                i, j = np.nonzero(good)
-                a.append(heads[h : h + BLOCK][j])
-                b.append(block[i])
-                fresh &= ~good.any(axis=1)
-            good = np.triu(_apart(sketch[block][:, None], sketch[block][None]) <= most, 1)
-            i, j = _forest(*np.nonzero(good), len(block))
-            a.append(block[i])
-            b.append(block[j])
-            heads = np.concatenate([heads, block[fresh & ~good.any(axis=0)]])
+        # in blocks, farthest from the leader first; two rows are no nearer to each other than their distances from the leader differ
+        far = _apart(sketch[at[k] : at[k] + size[k]], sketch[at[k]])
+        by = np.argsort(-far, kind="stable")
+        far, member = far[by], at[k] + by
+        for low in range(0, int(rest[k]), BLOCK):
+            block = member[low : min(low + BLOCK, int(rest[k]))]
+            reach = int(np.searchsorted(-far, most - far[low + len(block) - 1], side="right"))
+            for h in range(low, reach, BLOCK):
+                other = member[h : min(h + BLOCK, reach)]
+                i, j = np.nonzero(_apart(sketch[block][:, None], sketch[other][None]) <= most)
+                both = np.unique(np.concatenate([block, other]))
+                i, j = _forest(np.searchsorted(both, block[i]), np.searchsorted(both, other[j]), len(both))
+                a.append(both[i])
+                b.append(both[j])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -280,11 +284,34 @@ class Join:
 
     def likely(self) -> DataFrame:
         """(a, b): classes that share a bucket and have like sketches, as many pairs as keep connected what they connect."""
-        entries = self.signed.where("cls is not null").select("cls", "bands", "sketch").mapInArrow(_entries(self.bands, self.width, self.most), "bucket bigint, cls bigint")
+        known = self.signed.where("cls is not null").select("cls", "bands", "sketch")
+        entries = written(known.mapInArrow(_entries(self.bands, self.width, self.most), "bucket bigint, cls bigint, gone array<bigint>"), "entries")
         own = Window.partitionBy("bucket")
-        shared = entries.repartition("bucket").dropDuplicates(["bucket", "cls"]).withColumn("some", F.min("cls").over(own) < F.max("cls").over(own)).where("some").drop("some")
-        met = shared.join(self.classes.select("cls", "sketch"), "cls").select("bucket", "cls", "sketch")
-        return met.repartition("bucket").sortWithinPartitions("bucket", "cls").mapInArrow(_linked(self.width, self.most), "a bigint, b bigint").distinct()
+        shared = entries.select("bucket", "cls").repartition("bucket").dropDuplicates(["bucket", "cls"]).withColumn("some", F.min("cls").over(own) < F.max("cls").over(own)).where("some").drop("some")
+        links = written(self._met(shared.withColumn("odd", F.lit(False))), "likely")
+        gone = entries.where("size(gone) > 0").select(F.explode("gone").alias("bucket"), "cls")
+        if not gone.limit(1).count():
+            dropped(entries)
+            return links
+        # the whole of each bucket that a class left; where all of it is connected by now, nothing is left to find
+        root = written(components(links), "roots")
+        whole = entries.select("bucket", "cls").join(gone.select("bucket").distinct(), "bucket", "left_semi").unionByName(gone).distinct()
+        rooted = whole.join(root, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+        odd = rooted.withColumn("odd", F.col("root") != F.min(F.struct("cls", "root")).over(own)["root"])
+        opened = written(odd.withColumns({"size": F.count("*").over(own), "odds": F.count_if("odd").over(own)}).where("odds > 0"), "opened")
+        dropped(entries)
+        # a block of the odd ones meets each block of the bucket
+        turns, blocks = (F.ceil(F.col(c) / MEET).cast("int") for c in ("odds", "size"))
+        turn, block = F.pmod(F.xxhash64("cls", F.lit(1)), turns), F.pmod(F.xxhash64("cls"), blocks)
+        read = F.transform(F.sequence(F.lit(0), turns - 1), lambda k: F.xxhash64("bucket", k.cast("bigint"), block.cast("bigint")))
+        meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("bucket", turn.cast("bigint"), k.cast("bigint")))
+        spots = opened.select(F.explode(F.array_distinct(F.when(F.col("odd"), F.concat(read, meets)).otherwise(read))).alias("bucket"), "cls", "odd")
+        return root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(self._met(spots)).distinct()
+
+    def _met(self, entries: DataFrame) -> DataFrame:
+        """(a, b): links of entries (bucket, cls, odd) that connect what the alike pairs of each bucket do."""
+        met = entries.join(self.classes.select("cls", "sketch"), "cls").select("bucket", "cls", "odd", "sketch")
+        return met.repartition("bucket").sortWithinPartitions("bucket", "odd", "cls").mapInArrow(_linked(self.width, self.most), "a bigint, b bigint").distinct()
 
     def compared(self, pairs: bool) -> DataFrame:
         """Of the pairs of classes that reach the threshold: (a, b, value) each with its similarity where ``pairs``; else a row (cls, null, documents
