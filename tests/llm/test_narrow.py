@@ -395,6 +395,32 @@ def test_sample_holds_both_kinds(spark, make):
     assert not any(r.keep for r in rows if r.doc_id in poor) and np.mean([r.keep for r in rows if r.doc_id not in poor]) > 0.95
 
 
+def test_all_labelled_documents_are_learned_from(spark, make):
+    # what tells the last poor documents is in no document whose hashed id is among the first ones
+    order = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect()]
+    poor, late, draw = set(order[:20]), set(order[-20:]), random.Random(9)
+    texts = fair_and_poor(400, poor)
+    for k in late:
+        texts[k] = " ".join(draw.choice(("riven", "store", "mural", "gavel", "lotus", "winged", "ready", "wakes", "sleepy", "any")) for _ in range(draw.randint(20, 60)))
+    labels = spark.createDataFrame([(k, int(k not in poor | late), 0) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    rows = quality.classify(make(list(enumerate(texts))), labels, most_labelled=80).collect()
+    assert np.mean([r.keep for r in rows if r.doc_id in late]) < 0.1 and np.mean([r.keep for r in rows if r.doc_id not in poor | late]) > 0.95
+
+
+@pytest.mark.parametrize("common, rare, most", [(100, 50, 12_000), (394, 6, 80), (1_000_000, 3000, 12_000), (7000, 6000, 1000), (5, 1, 2), (10_000_000, 1, 12_000)])
+def test_parts_of_the_labelled_documents(common, rare, most):
+    parts, blocks = quality._blocks(common, rare, most)
+    assert parts >= blocks >= 1 and common / parts + rare / blocks <= max(most, 2) + 1
+    assert rare / blocks >= min(rare, most // 8) / 2
+
+
+def test_packed_features_come_back():
+    dense, present, per = quality.features(pa.array(fair_and_poor(40, {3, 8}) + ["", None]))
+    packed = pa.table({"dense": [d.tobytes() for d in dense], "present": quality._packed(present, per)})
+    got = quality._unpacked(packed.slice(2, 30))
+    assert (got[0] == dense[2:32]).all() and (got[1] == present[per[2] : per[32]]).all() and (got[2] == per[2:33] - per[2]).all()
+
+
 # --- 9
 
 

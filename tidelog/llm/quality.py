@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._text import U, buffers, gram_hashes, mix, range_hasher, slices, word_bounds
+from tidelog.llm._session import dropped, written
+from tidelog.llm._text import U, buffers, flat_ranges, gram_hashes, mix, range_hasher, slices, word_bounds
 
 BITS = 18
 DENSE = 14
@@ -138,24 +139,29 @@ def fit(dense: np.ndarray, present: np.ndarray, per: np.ndarray, good: np.ndarra
     m, v = np.zeros_like(w), np.zeros_like(w)
     a, b = np.flatnonzero(good & ~held), np.flatnonzero(~good & ~held)
 
-    def scores() -> np.ndarray:
+    # steps look at what isn't held out alone
+    own = cols[np.repeat(~held, counts)]
+    per_own = np.where(held, 0, counts)
+    some_own, ends_own = np.flatnonzero(per_own), np.cumsum(per_own) - per_own
+
+    def scores(some: np.ndarray, cols: np.ndarray, first: np.ndarray) -> np.ndarray:
         out = x @ w[:DENSE]
         if len(some):
-            out[some] += np.add.reduceat(w[DENSE:][cols], ends[some])
+            out[some] += np.add.reduceat(w[DENSE:][cols], first[some])
         return out
 
     for t in range(1, steps + 1):
-        s = scores()
+        s = scores(some_own, own, ends_own)
         i, j = draw.choice(a, 4 * len(b) + len(a)), draw.choice(b, 4 * len(b) + len(a))
         pull = 1.0 / (1.0 + np.exp(np.clip(s[i] - s[j], -30, 30))) / len(i)
         c = np.bincount(i, pull, len(good)) - np.bincount(j, pull, len(good))
-        g = -np.concatenate([c @ x, np.bincount(cols, np.repeat(c, counts), len(names))])
+        g = -np.concatenate([c @ x, np.bincount(own, np.repeat(c, per_own), len(names))])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 / (1 + t / 60)
         pace = step / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
         w -= pace * (m / (1 - 0.9**t))
         w[DENSE:] = np.sign(w[DENSE:]) * np.maximum(np.abs(w[DENSE:]) - pace[DENSE:] * l1, 0)
-    s = scores()
+    s = scores(some, cols, ends)
     g, p = np.sort(s[good & judged]), np.sort(s[~good & judged])
     pairs = np.searchsorted(p, g).mean() / len(p)
     # the quantile of held-out scores that parts the two kinds best
@@ -169,40 +175,126 @@ def fit(dense: np.ndarray, present: np.ndarray, per: np.ndarray, good: np.ndarra
     return Ranker(w[:DENSE] / scale, hashed, float(cut[pick]), float(pairs), float(balanced[pick]), float(levels[pick]))
 
 
+def _blocks(common: int, rare: int, most: int) -> tuple[int, int]:
+    """(parts, blocks of the rarer kind): part p is block p of the commoner kind and block p modulo their number of the rarer one. A part has about ``most``
+    documents, an eighth of them of the rarer kind, which goes into several parts if it is too rare for that, and into all of them if it is rarer still."""
+    if rare * 8 >= common + rare:
+        parts = max(1, -(-(common + rare) // most))
+        return parts, parts
+    blocks = max(1, -(-rare // max(1, most // 8)))
+    return max(blocks, -(-common // max(1, most - min(rare, max(1, most // 8))))), blocks
+
+
+def _packed(present: np.ndarray, per: np.ndarray) -> pa.Array:
+    """A text's sorted features in two bytes each: how many there are of each value of the bits above 16, then the bits below."""
+    high = 1 << BITS - 16
+    n, owner = len(per) - 1, np.repeat(np.arange(len(per) - 1), np.diff(per))
+    head = np.bincount(owner * high + (present >> 16), minlength=n * high).astype(np.uint32).view(np.uint16).reshape(n, 2 * high)
+    ends = np.arange(n + 1) * 2 * high + per
+    out = np.zeros(ends[-1], np.uint16)
+    out[flat_ranges(ends[:-1], np.full(n, 2 * high))] = head.ravel()
+    out[flat_ranges(ends[:-1] + 2 * high, np.diff(per))] = present & 0xFFFF
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense, present, offsets) of rows whose features are packed."""
+    high = 1 << BITS - 16
+    dense = np.frombuffer(b"".join(part.column("dense").to_pylist()), np.float64).reshape(-1, DENSE)
+    size = np.asarray(pc.binary_length(part.column("present")), np.int64) // 2 - 2 * high
+    per = np.concatenate([[0], np.cumsum(size)])
+    flat, tops = np.zeros(per[-1], np.uint32), np.arange(high, dtype=np.uint32) << 16
+    for k, b in enumerate(part.column("present")):
+        raw = np.frombuffer(b.as_py(), np.uint16)
+        flat[per[k] : per[k + 1]] = np.repeat(tops, raw[: 2 * high].view(np.uint32)) | raw[2 * high :]
+    return dense, flat, per
+
+
+def _threshold(judged: DataFrame) -> tuple[float, float, float]:
+    """(cut, balanced accuracy, quantile) of all rows (score, good): the quantile of the scores that parts the two kinds best."""
+    levels = np.arange(0.0, 1.0, 0.0025)
+    cut = np.array(judged.agg(F.percentile("score", F.lit(levels.tolist()))).first()[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * (len(cut) + 1), np.int64)
+        for part in batches:
+            # how many cuts a row reaches
+            reached = np.searchsorted(cut, np.asarray(part.column("score")), side="right")
+            counts += np.bincount(2 * reached + np.asarray(part.column("good")).astype(np.int64), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "n"])
+
+    counts = np.zeros(2 * (len(cut) + 1))
+    for r in judged.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        counts[r.place] = r.n
+    below = np.cumsum(counts.reshape(-1, 2), axis=0)
+    poor, good = below[-1]
+    balanced = (below[:-1, 0] / poor + 1 - below[:-1, 1] / good) / 2
+    best = np.flatnonzero(balanced >= balanced.max() - 1e-12)
+    pick = best[len(best) // 2]
+    return float(cut[pick]), float(balanced[pick]), float(levels[pick])
+
+
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
-    """A ranker of the labelled documents; at most ``most_labelled`` of them, those whose hashed ids come first, are fitted on. An eighth of them
-    at least is of either kind, or all of that kind where there are fewer.
+    """A ranker of all labelled documents. They are fitted in parts of about ``most_labelled``, by their hashed ids, and the weights are the mean of the
+    parts'. An eighth of a part is of either kind, where there are as many; of a kind that is rarer, documents are in several parts. The threshold is the
+    quantile of the scores of all labelled documents that parts the two kinds best; the pair accuracy is the mean of the parts' on what each holds out.
 
-    A label without an id or quality is left out; of several labels of an id the worst counts, and of several texts of an id the least, so the sample
-    never has more rows than the bound and the fit depends on nothing but the tables. Null texts are left out, empty ones have the features of no word,
+    A label without an id or quality is left out; of several labels of an id the worst counts, and of several texts of an id the least, so
+    the fit depends on nothing but the tables. Null texts are left out, empty ones have the features of no word,
     and very long ones are read whole. Other columns are ignored.
     """
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("__good")
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).select(F.col(id_col).alias("__id"), good).groupBy("__id").agg(F.min("__good").alias("__good"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    # bounded for each kind first, so that ranks are taken among few rows
-    some = known.where("__good").orderBy(*order).limit(most_labelled).unionByName(known.where("not __good").orderBy(*order).limit(most_labelled))
-    ranked = some.withColumn("__rank", F.row_number().over(Window.partitionBy("__good").orderBy(*order)))
-    sample = ranked.orderBy(F.col("__rank") > max(1, most_labelled // 8), *order).limit(most_labelled).drop("__rank")
-    # the sample is bounded by the parameter, so this side's size is too
+    known = written(known, "labelled")  # so Spark knows its size before it would shuffle texts
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("__id")).groupBy("id").agg(F.min("text").alias("text"), F.first("__good").alias("good"))
+    rows = texts.join(known, F.col("id") == F.col("__id")).groupBy("id").agg(F.min("text").alias("text"), F.first("__good").alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             dense, present, per = features(part.column("text"))
             wide = pa.BinaryArray.from_buffers(pa.binary(), len(dense), [None, pa.py_buffer(np.arange(len(dense) + 1, dtype=np.int32) * (8 * DENSE)), pa.py_buffer(np.ascontiguousarray(dense))])
-            spot = pa.BinaryArray.from_buffers(pa.binary(), len(dense), [None, pa.py_buffer((per * 4).astype(np.int32)), pa.py_buffer(present.astype(np.uint32))])
+            spot = _packed(present, per)
             yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("good"), wide, spot], names=["id", "good", "dense", "present"])
 
-    got = rows.mapInArrow(run, "id string, good boolean, dense binary, present binary").toArrow().sort_by("id")
-    if not got.num_rows:
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        own = np.asarray(group.column("good")).astype(bool)
+        ranker = fit(*_unpacked(group), own)
+        names = np.flatnonzero(ranker.hashed)
+        packed = [ranker.dense.tobytes(), names.astype(np.uint32).tobytes(), ranker.hashed[names].tobytes()]
+        return pa.table({"part": group.column("part")[:1], "both": [bool(own.any() and not own.all())], "pairs": [ranker.pair_accuracy]} | {k: pa.array([v], pa.binary()) for k, v in zip(("dense", "names", "weights"), packed)})
+
+    table = written(rows.mapInArrow(run, "id string, good boolean, dense binary, present binary"), "features")
+    dropped(known)
+    size = {r.good: r["count"] for r in table.groupBy("good").count().collect()}
+    if len(size) < 2:
+        dropped(table)
         return fit(np.zeros((0, DENSE)), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool))
-    dense = np.frombuffer(b"".join(got.column("dense").to_pylist()), np.float64).reshape(-1, DENSE)
-    # more than 2 GB of features wouldn't fit one binary array
-    size = np.asarray(pc.binary_length(got.column("present")), np.int64) // 4
-    flat = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in got.column("present")])
-    return fit(dense, flat, np.concatenate([[0], np.cumsum(size)]), np.asarray(got.column("good")).astype(bool))
+    rarer = size[True] < size[False]
+    parts, blocks = _blocks(size[not rarer], size[rarer], most_labelled)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    several = F.when(F.col("good") == rarer, F.sequence(block(blocks), F.lit(parts - 1), F.lit(blocks))).otherwise(F.array(block(parts)))
+    made = table.withColumn("part", F.explode(several)).groupBy("part").applyInArrow(one, "part int, both boolean, pairs double, dense binary, names binary, weights binary")
+    # one part at a time, in order, so that the sums are always the same
+    dense, hashed, pairs, count = np.zeros(DENSE), np.zeros(1 << BITS), 0.0, 0
+    for r in made.where("both").orderBy("part").toLocalIterator():
+        dense += np.frombuffer(r.dense, np.float64)
+        hashed[np.frombuffer(r.names, np.uint32)] += np.frombuffer(r.weights, np.float32)
+        pairs, count = pairs + r.pairs, count + 1
+    dense, hashed = dense / max(count, 1), (hashed / max(count, 1)).astype(np.float32)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            wide, present, per = _unpacked(part)
+            total = np.concatenate([[0.0], np.cumsum(hashed[present].astype(np.float64))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(wide @ dense + total[per[1:]] - total[per[:-1]], 6)), part.column("good")], names=["score", "good"])
+
+    judged = written(table.mapInArrow(judge, "score double, good boolean"), "judged")
+    dropped(table)
+    cut, balanced, quantile = _threshold(judged)
+    dropped(judged)
+    return Ranker(dense, hashed, cut, pairs / max(count, 1), balanced, quantile)
 
 
 def scored(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
