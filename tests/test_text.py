@@ -150,3 +150,53 @@ def test_long_edits_round_trip():
         tree.apply((1, 0, "b"), upd)
         assert render_text(tree, apply_edit(texts, (1, 0, "b"), upd)) == " ".join(new)
     assert time.time() - began < 60
+
+
+def test_shortest_scripts_are_shortest_and_hopeless_ones_are_not_tried():
+    import random
+
+    from tidelog.operators.text import _shortest
+
+    class Counting(list):
+        reads = 0
+
+        def __getitem__(self, k):
+            Counting.reads += 1
+            return super().__getitem__(k)
+
+    assert _shortest(Counting("ab" * 1000), Counting("cd" * 1000), 400) is None
+    assert Counting.reads < 100
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abc") for _ in range(draw.randrange(40))) for _ in "ab")
+        longest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        edits = len(a) + len(b) - 2 * longest[-1][-1]
+        pairs = _shortest(a, b, edits)
+        assert len(pairs) == longest[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
+        assert pairs == _shortest(a, b, 400) and (not edits or _shortest(a, b, edits - 1) is None)
+
+
+def test_documents_are_whole_across_slices_and_branches(spark):
+    from tidelog.operators.text import SLICE, render, render_segments
+
+    rows = [(d, b, t) for d, n in ((1, 3 * SLICE), (2, 1), (None, 2), (3, SLICE)) for b in (None, "x") for t in range(n)]
+    anchor = "named_struct('tx_id', tx, 'route_id', 0L, 'idx', 0, 'sender', 'a') as anchor"
+    made = spark.createDataFrame(rows, "doc bigint, branch string, tx bigint").selectExpr("doc", "branch", anchor, "concat(coalesce(branch, '-'), tx, ' ') as text")
+    kind = made.schema["anchor"].dataType.simpleString()
+    tree = made.selectExpr("doc", "anchor", f"cast(null as {kind}) as parent", "0 as offset").distinct()
+    want = {(d, b): "".join(f"{b or '-'}{t} " for k, c, t in reversed(rows) if (k, c) == (d, b)) for d, b, _ in rows}
+    lone = tree.where("doc is null").selectExpr("99L as doc", "anchor", "parent", "offset")  # anchors without texts are no document
+    assert {(r.doc, r.branch): r.text for r in render(tree.unionByName(lone), made).collect()} == want
+    pieces = render_segments(tree, made).collect()
+    assert len(pieces) == len(rows)
+    assert {key: "".join(r.text for r in sorted((r for r in pieces if (r.doc, r.branch) == key), key=lambda r: r.position)) for key in want} == want
+
+
+def test_a_diff_that_several_readers_share_is_computed_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["text_diff_multi_anchor"](spark, __spark_entry__.SMOKE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapCoGroups") == 1  # the last rendering

@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-import weakref
-
 from pyspark.sql import DataFrame
 
-from tidelog.shared import shared_folder
-
-_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder; it lives as long as that folder, as checkpoints do, or until ``dropped``. ``options`` are the Parquet writer's."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[out] = path
-    return out
-
+from tidelog.shared import dropped, shared_folder, written
 
-def dropped(table: DataFrame) -> None:
-    """Delete what ``written`` made; nothing that is still to be computed may read it."""
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop(table))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["checkpointed", "dropped", "unused", "written"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

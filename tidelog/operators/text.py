@@ -10,11 +10,14 @@ import bisect
 import collections
 import itertools
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Collection, Iterable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidelog.schema import ANCHOR, TEXT_UPDATE
 
@@ -130,6 +133,10 @@ class Tree:
     def children(self, parent: Anchor | None) -> list[tuple[Anchor, int]]:
         return sorted(self._below.get(parent, {}).items(), key=lambda c: (c[1], -c[0][0], -c[0][1], -c[0][2], c[0][3]))
 
+    def offsets(self, parent: Anchor | None) -> Collection[int]:
+        """Where a parent's children stand."""
+        return self._below.get(parent, {}).values()
+
     def __len__(self) -> int:
         return len(self._below)
 
@@ -207,28 +214,54 @@ FEW_EDITS = 400
 
 
 def _shortest(a: Sequence, b: Sequence, most: int) -> list[tuple[int, int]] | None:
-    """The matched places (i, j) of a shortest edit script (Myers), or None if it takes more than ``most`` insertions and deletions."""
-    best, trail = {1: 0}, []
-    for d in range(min(most, len(a) + len(b)) + 1):
-        trail.append(dict(best))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and best[k - 1] < best[k + 1])
-            i = best[k + 1] if down else best[k - 1] + 1
-            while i < len(a) and i - k < len(b) and a[i] == b[i - k]:
+    """The matched places (i, j) of a shortest edit script (Myers), or None if it takes more than ``most`` insertions and deletions.
+
+    No script is shorter than the items that one side has more often than the other, so the search starts with that bound, which is often met, and doubles it.
+    """
+    most, more = min(most, len(a) + len(b)), collections.Counter(a)
+    more.subtract(collections.Counter(b))
+    least = sum(map(abs, more.values()))
+    if least > most:
+        return None
+    bound = min(most, max(least, 16))
+    while (found := _within(a, b, bound)) is None and bound < most:
+        bound = min(most, 2 * bound)
+    return found
+
+
+def _within(a: Sequence, b: Sequence, most: int) -> list[tuple[int, int]] | None:
+    """A round tries only the diagonals from which the end can still be reached within ``most``. What comes to one of them comes from one, so the script is the
+    same whatever the bound is."""
+    n, m = len(a), len(b)
+    off, end = most + 1, n - m
+    best, trail = [-1] * (2 * most + 3), []  # the furthest i of diagonal k at off + k
+    low = high = 1
+    best[off + 1] = 0
+    for d in range(most + 1):
+        trail.append((low, best[off + low : off + high + 1]))
+        low, high = max(-d, end - (most - d)), min(d, end + (most - d))
+        low, high = low + ((low + d) & 1), high - ((high + d) & 1)
+        for k in range(low, high + 1, 2):
+            i, right = best[off + k + 1], best[off + k - 1] + 1
+            if k != -d and (k == d or i < right):
+                i = right
+            j = i - k
+            while i < n and j < m and a[i] == b[j]:
                 i += 1
-            best[k] = i
-            if i >= len(a) and i - k >= len(b):
-                return _back(trail, len(a), len(b))
+                j += 1
+            best[off + k] = i
+            if i >= n and j >= m:
+                return _back(trail, n, m)
     return None
 
 
-def _back(trail: list[dict[int, int]], i: int, j: int) -> list[tuple[int, int]]:
+def _back(trail: list[tuple[int, list[int]]], i: int, j: int) -> list[tuple[int, int]]:
     """The matches on the way back through the furthest points of every round."""
     pairs = []
     for d in range(len(trail) - 1, -1, -1):
-        best, k = trail[d], i - j
-        back = k + 1 if k == -d or (k != d and best[k - 1] < best[k + 1]) else k - 1
-        from_i = best[back]
+        (low, best), k = trail[d], i - j
+        back = k + 1 if k == -d or (k != d and best[k - 1 - low] < best[k + 1 - low]) else k - 1
+        from_i = best[back - low]
         from_j = from_i - back
         while i > from_i and j > from_j:
             i, j = i - 1, j - 1
@@ -321,6 +354,7 @@ def diff_text(tree: Tree, texts: dict[Anchor, str], target: str) -> dict:
             strings.append(s)
 
     owed = ""  # inserted right before the segment at hand
+    taken: dict[Anchor, set[int]] = {}
     if not parts:
         hang(ROOT, 0, target)
     for k, (anchor, offset, s) in enumerate(parts):
@@ -330,9 +364,10 @@ def diff_text(tree: Tree, texts: dict[Anchor, str], target: str) -> dict:
         after = added.get(base + len(s), "") if len(s) else ""
         if anchor in lost:
             body = at_start + "".join((s[j] if stays[base + j] else "") + (added.get(base + j + 1, "") if j + 1 < len(s) else "") for j in range(len(s))) + after
-            there = any(o == offset for _, o in tree.children(anchor))
+            if anchor not in taken:
+                taken[anchor] = set(tree.offsets(anchor))
             # newest stands first among siblings of one offset, so after those that are there it is one further
-            hang(anchor, offset + 1 if there else offset, body)
+            hang(anchor, offset + 1 if offset in taken[anchor] else offset, body)
         else:
             hang(anchor, offset, at_start)
             for j in range(1, len(s)):
@@ -347,54 +382,75 @@ def diff_text(tree: Tree, texts: dict[Anchor, str], target: str) -> dict:
 # --- rendering at scale --------------------------------------------------------------------------------------
 
 
-def _tree_of(pdf: pd.DataFrame) -> Tree:
-    return Tree((as_anchor(a), as_anchor(p), int(o)) for a, p, o in zip(pdf["anchor"], pdf["parent"], pdf["offset"]))
+SLICE = 512
 
 
-def _texts_of(pdf: pd.DataFrame) -> dict[Anchor, str]:
-    return {as_anchor(a): t for a, t in zip(pdf["anchor"], pdf["text"])}
+def _tree_of(rows: Iterable[dict]) -> Tree:
+    return Tree((as_anchor(r["anchor"]), as_anchor(r["parent"]), r["offset"]) for r in rows)
+
+
+def _branches(rows: Iterable[dict], rest: Sequence[str]) -> dict[tuple, dict[Anchor, str]]:
+    """The texts of each branch of a document."""
+    out: dict[tuple, dict[Anchor, str]] = {}
+    for r in rows:
+        out.setdefault(tuple(r[c] for c in rest), {})[as_anchor(r["anchor"])] = r["text"]
+    return out
 
 
-def fresh(df: DataFrame) -> DataFrame:
-    """``df`` with columns of its own, so that it can meet another that comes from the same rows."""
-    return df.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in df.columns]).toDF(*df.columns)
+def _by_document(tree: DataFrame, other: DataFrame, doc: str, shape: str, run: Callable[[list[dict], list[dict]], Iterable[tuple]]) -> DataFrame:
+    """``run`` over the rows of each document on both sides, which are sorted by document and streamed, so that a small document costs no more than its rows."""
+    schema = to_arrow_schema(StructType.fromDDL(shape))
+    kinds = [df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType for df in (tree, other)]
+    none = [F.lit(None).cast(k) for k in kinds]
+    rows = tree.select(F.col(doc).alias("__d"), F.struct(*tree.columns).alias("__l"), none[1].alias("__r")).unionByName(other.select(F.col(doc).alias("__d"), none[0].alias("__l"), F.struct(*other.columns).alias("__r")))
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        at, left, right = None, [], []
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                out: list[tuple] = []
+                for d, l, r in zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns)):
+                    if d != at and (left or right):
+                        out += run(left, right)
+                        left, right = [], []
+                    at = d
+                    (right if l is None else left).append(r if l is None else l)
+                if out:
+                    yield packed(out)
+        if left or right:
+            out = list(run(left, right))
+            if out:
+                yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*out), schema)], schema=schema)
+
+    return rows.repartition("__d").sortWithinPartitions("__d").mapInArrow(of, shape)
 
 
 def render(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("doc", "branch")) -> DataFrame:
     """(keys, text): every document as it reads. ``tree`` has the first key only: branches share a document's anchors."""
-    doc, types = keys[0], {f.name: f.dataType.simpleString() for f in texts.schema}
-    tree, texts = fresh(tree), fresh(texts)
-    rest = list(keys[1:])
+    (doc, *rest), types = keys, {f.name: f.dataType.simpleString() for f in texts.schema}
 
-    def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
+    def run(anchor_rows: list[dict], text_rows: list[dict]) -> Iterable[tuple]:
         shape = _tree_of(anchor_rows)
-        out = []
-        if len(text_rows):
-            for values, part in text_rows.groupby(rest, dropna=False, sort=False) if rest else [((), text_rows)]:
-                values = values if isinstance(values, tuple) else (values,)
-                out.append((text_rows[doc].iloc[0], *values, render_text(shape, _texts_of(part))))
-        return pd.DataFrame(out, columns=[*keys, "text"])
+        for values, part in _branches(text_rows, rest).items():
+            yield text_rows[0][doc], *values, render_text(shape, part)
 
-    return tree.groupBy(doc).cogroup(texts.groupBy(doc)).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string")
+    return _by_document(tree, texts, doc, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", text string", run)
 
 
 def render_segments(tree: DataFrame, texts: DataFrame, keys: Sequence[str] = ("doc", "branch")) -> DataFrame:
     """(keys, position, anchor, offset, text): the pieces of every document in reading order."""
-    doc, types = keys[0], {f.name: f.dataType.simpleString() for f in texts.schema}
-    tree, texts = fresh(tree), fresh(texts)
-    rest = list(keys[1:])
+    (doc, *rest), types = keys, {f.name: f.dataType.simpleString() for f in texts.schema}
 
-    def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
+    def run(anchor_rows: list[dict], text_rows: list[dict]) -> Iterable[tuple]:
         shape = _tree_of(anchor_rows)
-        out = []
-        if len(text_rows):
-            for values, part in text_rows.groupby(rest, dropna=False, sort=False) if rest else [((), text_rows)]:
-                values = values if isinstance(values, tuple) else (values,)
-                for k, (a, o, s) in enumerate(segments(shape, _texts_of(part))):
-                    out.append((text_rows[doc].iloc[0], *values, k, dict(zip(FIELDS, a)), o, s))
-        return pd.DataFrame(out, columns=[*keys, "position", "anchor", "offset", "text"])
+        for values, part in _branches(text_rows, rest).items():
+            for k, (a, o, s) in enumerate(segments(shape, part)):
+                yield text_rows[0][doc], *values, k, dict(zip(FIELDS, a)), o, s
 
-    return tree.groupBy(doc).cogroup(texts.groupBy(doc)).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", position int, anchor {ANCHOR}, offset int, text string")
+    return _by_document(tree, texts, doc, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", position int, anchor {ANCHOR}, offset int, text string", run)
 
 
 def _update_row(upd: dict) -> dict:
@@ -408,13 +464,14 @@ def diff_documents(tree: DataFrame, texts: DataFrame, targets: DataFrame, doc: s
     none = F.lit(None).cast(ANCHOR)
     rows = texts.select(doc, "anchor", "text", F.lit(None).cast("string").alias("target")).unionByName(targets.select(doc, none.alias("anchor"), F.lit(None).cast("string").alias("text"), "target"))
 
-    def run(anchor_rows: pd.DataFrame, text_rows: pd.DataFrame) -> pd.DataFrame:
-        wanted = text_rows[text_rows["target"].notna()]
-        have = text_rows[text_rows["target"].isna()]
-        out = [(d, _update_row(Document(_tree_of(anchor_rows), _texts_of(have)).diff(t))) for d, t in zip(wanted[doc], wanted["target"])]
-        return pd.DataFrame(out, columns=[doc, "edit"])
+    def run(anchor_rows: list[dict], text_rows: list[dict]) -> Iterable[tuple]:
+        wanted = [r for r in text_rows if r["target"] is not None]
+        if wanted:
+            had = Document(_tree_of(anchor_rows), _branches((r for r in text_rows if r["target"] is None), []).get((), {}))
+            for r in wanted:
+                yield r[doc], _update_row(had.diff(r["target"]))
 
-    return fresh(tree).groupBy(doc).cogroup(fresh(rows).groupBy(doc)).applyInPandas(run, f"`{doc}` {kind}, edit {TEXT_UPDATE}")
+    return _by_document(tree, rows, doc, f"`{doc}` {kind}, edit {TEXT_UPDATE}", run)
 
 
 def diff_column(old, new):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelog import functions as fn
 from tidelog.operators import gears, routing, stategraph, text, timeline
+from tidelog.shared import written
 from tidelog.sources import log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -705,7 +706,7 @@ def text_diff_multi_anchor(spark, sf_dir):
     edits = _edits(spark, sf_dir)
     tree, texts = text.anchors(edits), text.apply_texts(edits)
     now = text.render(tree, texts).select("doc", F.regexp_replace("text", "en", "EN+").alias("target"))
-    made = text.diff_documents(tree, texts.select("doc", "anchor", "text"), now)
+    made = written(text.diff_documents(tree, texts.select("doc", "anchor", "text"), now), "diffs")  # read four times
     gone = made.select("doc", F.explode("edit.deletions").alias("anchor")).join(texts, ["doc", "anchor"]).where(~F.col("text").contains("e") & ~F.col("text").contains("n"))
     step = made.select("doc", F.lit(0).alias("branch"), F.lit(1 << 40).alias("tx_id"), _zero().alias("route_id"), F.lit("z").alias("sender"), F.struct(F.lit(1 << 40).alias("turn"), F.lit("z").alias("role")).alias("ord"), "edit")
     every = edits.withColumn("edit", F.col("edit").cast(text.TEXT_UPDATE)).unionByName(step)
