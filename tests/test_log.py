@@ -110,3 +110,33 @@ def test_resolve_fails_on_a_missing_row(spark):
     assert log.resolve(rows, table, F.col("k") == F.col("id")).count() == 2
     with pytest.raises(Exception, match="UnknownData"):
         log.resolve(rows, table, F.col("k") == F.col("id"), required=UnknownData).collect()
+
+
+def test_a_posted_batch_is_computed_once(spark, tmp_path, people):
+    import os
+
+    context = spark.sparkContext
+    seen = context.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    few = counter_events(spark, [("alice", k, f"{k % 2},0", "1", 0, k) for k in range(6)])
+    events = spark.createDataFrame(context.parallelize([tuple(r) for r in few.collect()], 2).map(counted), few.schema)
+    eventlog = log.EventLog(spark, str(tmp_path / "log"))
+    eventlog.post(events, 1, *people)
+    assert seen.value == 6 and eventlog.feed().count() == 6
+    with pytest.raises(UnknownSender):
+        eventlog.post(few.withColumn("sender", F.lit("eve")), 2, *people)
+    assert not os.listdir(tmp_path / "log" / "staged")
+
+
+def test_versions_of_before_routes_were_kept_are_fed(spark, tmp_path, people):
+    new, old = (log.EventLog(spark, str(tmp_path / n)) for n in ("new", "old"))
+    new.post(counter_events(spark, [("alice", k, f"{k},0", "1", 0, k) for k in range(4)]), 1, *people)
+    new._versions().drop("route_id").write.partitionBy("msg_type", "shard").parquet(f"{old.path}/versions")
+    old._set_mark("reserved", new.arrived())
+    old._follow()
+    rows = lambda df: sorted(map(tuple, df.select("sender", "route_id", "tx_id", "body", "weight", "change_seq").collect()))
+    assert rows(old.feed()) == rows(new.feed()) and len(rows(old.feed())) == 4

@@ -112,10 +112,7 @@ class Engine:
         """
         try:
             self.types.freeze()
-            declared = [t.name for t in self.types]
-            if declared and events.where(~F.col("msg_type").isin(declared)).limit(1).count():
-                raise LogError("an event of a type that isn't declared")
-            self.log.post(events, ts, self.senders(), self.users(), **checks)
+            self.log.post(events, ts, self.senders(), self.users(), declared=[t.name for t in self.types], **checks)
         except LogError as refused:
             if reply is None:
                 raise
@@ -135,8 +132,9 @@ class Engine:
                 self._append(name, peer._read(name).exceptAll(self._read(name)))
             mark = f"pulled-{hashlib.sha256(peer.path.encode()).hexdigest()[:16]}"
             top = peer.log.arrived()
-            new = peer.log.versions().where(F.col("arrival_seq") > self.log._mark(mark))
-            self.log.append(new.join(self.log.versions().select(*version), version, "left_anti"))
+            new = peer.log._versions().drop("shard").where(F.col("arrival_seq") > self.log._mark(mark))
+            with self.log.staged(new.join(self.log.versions().select(*version), version, "left_anti")) as fresh:
+                self.log.append(fresh, routed=True)
             self.log._set_mark(mark, top)
 
     # reading

@@ -6,14 +6,16 @@ arrives earlier in that order than the winner so far retracts it. The winner set
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 from tidelog.operators.routing import content_hash, route_id
-from tidelog.schema import IDENTITY, RAW, ContentMismatch, ForwardReference, UnknownData, UnknownEvent, UnknownSender, UnknownUser
+from tidelog.schema import IDENTITY, RAW, ContentMismatch, ForwardReference, LogError, UnknownData, UnknownEvent, UnknownSender, UnknownUser
 
 
 def winners(versions: DataFrame, identity: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -24,12 +26,12 @@ def winners(versions: DataFrame, identity: Sequence[str], version: Sequence[str]
 
 def change_feed(versions: DataFrame, identity: Sequence[str], version: Sequence[str], arrival: str) -> DataFrame:
     """The signed feed, with ``weight`` +1 or -1 and ``change_seq``: a new least version is added, and the one it replaces is removed."""
-    mine = F.struct(*version, arrival)
     # of versions that arrive at once the least comes first, so the others change nothing
-    before = Window.partitionBy(*identity).orderBy(arrival, *version).rowsBetween(Window.unboundedPreceding, -1)
+    inorder = Window.partitionBy(*identity).orderBy(arrival, *version)
     row = F.struct(*versions.columns)
-    seen = versions.withColumns({"__least": F.min(F.struct(*version)).over(before), "__old": F.min_by(row, mine).over(before)})
-    new = seen.where(F.col("__least").isNull() | (F.struct(*version) < F.col("__least")))
+    seen = versions.withColumn("__least", F.min(F.struct(*version)).over(inorder.rowsBetween(Window.unboundedPreceding, -1)))
+    # each new least replaces the one before it; the same sort serves both windows
+    new = seen.where(F.col("__least").isNull() | (F.struct(*version) < F.col("__least"))).withColumn("__old", F.lag(row).over(inorder))
     signed = new.select(
         F.col(arrival).alias("__at"),
         F.explode(F.array(F.struct(row.alias("r"), F.lit(1).alias("w")), F.struct(F.col("__old").alias("r"), F.lit(-1).alias("w")))).alias("__c"),
@@ -143,19 +145,37 @@ class EventLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def post(self, events: DataFrame, ts: int, senders: DataFrame, users: DataFrame, **checks) -> None:
-        """Validate a batch as a whole, then append it under one timestamp. Columns: sender, tx_id, msg_type, group, body, node, arrival_seq."""
-        validate(events, senders, users, **checks)
-        self.append(events.withColumn("ts", F.lit(ts).cast("bigint")))
-
-    def append(self, events: DataFrame) -> None:
-        shaped = events.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._schema()])
+    def post(self, events: DataFrame, ts: int, senders: DataFrame, users: DataFrame, declared: Sequence[str] = (), **checks) -> None:
+        """Validate a batch as a whole, then append it under one timestamp. Columns: sender, tx_id, msg_type, group, body, node, arrival_seq. If types are
+        ``declared``, those of all events must be."""
+        refs = {k: v for k, v in checks.items() if k in ("user_refs", "data_refs") and v}
+        own = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._schema() if f.name != "ts"]
+        with self.staged(events.select(*own, *[F.col(v).alias(f"__{k}") for k, v in refs.items()])) as batch:
+            if declared and batch.where(~F.col("msg_type").isin(*declared)).limit(1).count():
+                raise LogError("an event of a type that isn't declared")
+            validate(batch, senders, users, **checks | {k: f"__{k}" for k in refs})
+            self.append(batch.withColumn("ts", F.lit(ts).cast("bigint")))
+
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows`` as a table beside the log, while a batch is checked and taken in: computed once, and the same for every reader."""
+        path = f"{self.path}/staged/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            at, fs = self._fs(path)
+            fs.delete(at, True)
+
+    def append(self, events: DataFrame, routed: bool = False) -> None:
+        """``routed`` events come from another log, with the route_id that it keeps."""
+        shaped = events.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self._schema()], _route(routed).alias("route_id"))
         low, high, rows = shaped.agg(F.min("arrival_seq"), F.max("arrival_seq"), F.count("*")).first()
         if not rows:
             return
         base = self._mark("reserved") + 1
         self._set_mark("reserved", base + (0 if low is None else high - low))
-        numbered = shaped.withColumn("arrival_seq", F.coalesce(F.col("arrival_seq") - F.lit(low), F.lit(0)) + F.lit(base)).withColumn("shard", shard(F.col("group")))
+        numbered = shaped.withColumn("arrival_seq", F.coalesce(F.col("arrival_seq") - F.lit(low), F.lit(0)) + F.lit(base)).withColumn("shard", placed(F.col("route_id")))
         # balanced by size, so a hot type is many files and a rare one is not
         numbered.hint("rebalance", "msg_type", "shard").write.mode("append").partitionBy("msg_type", "shard").parquet(f"{self.path}/versions")
         self._follow()
@@ -163,19 +183,20 @@ class EventLog:
     def _follow(self) -> None:
         """Bring the feed up to the versions that are there."""
         done, there = self._mark("fed"), self._mark("reserved")
-        new = self.versions().where(F.col("arrival_seq") > done)
-        places = new.select("msg_type", shard(F.col("group")).alias("shard")).distinct().collect()  # types x shards at most
+        there_now = self._versions().where(F.col("arrival_seq") > done)
+        places = there_now.select("msg_type", "shard").distinct().collect()  # types x shards at most
         if places:
+            columns = [f.name for f in self._schema()]
+            new = there_now.select(*columns, _route(True).alias("route_id"))
             old = self._changes([r.msg_type for r in places], [r.shard for r in places]).where("weight > 0")
-            touched = with_order(new).select(*[F.col(c).alias(f"__{c}") for c in IDENTITY]).distinct()
+            touched = new.select(*[F.col(c).alias(f"__{c}") for c in IDENTITY])
             same = F.lit(True)
             for c in IDENTITY:
                 same = same & (F.col(c) == F.col(f"__{c}"))
-            columns = [f.name for f in self._schema()]
             # the latest addition to an identity is its winner so far
-            known = old.join(touched, same, "left_semi").groupBy(*IDENTITY).agg(F.max_by(F.struct(*columns), "change_seq").alias("w")).select("w.*")
-            feed = change_feed(with_order(known.unionByName(new.select(*columns))), IDENTITY, ("ts", "node"), "arrival_seq").drop("ord")
-            fresh = feed.where(F.col("change_seq") >= 2 * (done + 1)).withColumn("shard", shard(F.col("group")))
+            known = old.join(touched, same, "left_semi").groupBy(*IDENTITY).agg(F.max_by(F.struct(*columns), "change_seq").alias("w")).select("w.*", "route_id")
+            feed = change_feed(known.unionByName(new), IDENTITY, ("ts", "node"), "arrival_seq")
+            fresh = feed.where(F.col("change_seq") >= 2 * (done + 1)).withColumn("shard", placed(F.col("route_id")))
             fresh.hint("rebalance", "msg_type", "shard").write.mode("overwrite").partitionBy("msg_type", "shard").parquet(f"{self.path}/feed/epoch={done + 1}")
         self._set_mark("fed", there)
 
@@ -216,10 +237,11 @@ class EventLog:
         return out if shards is None else out.where(F.col("shard").isin(sorted(set(shards))))
 
     def versions(self) -> DataFrame:
-        return self._versions().drop("shard")
+        return self._versions().drop("route_id", "shard")
 
     def _versions(self) -> DataFrame:
-        schema = self._schema().add("shard", IntegerType())
+        """With route_id, null in files of before it was kept, and shard."""
+        schema = self._schema().add("route_id", LongType()).add("shard", IntegerType())
         if not self._names("versions"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/versions")
@@ -235,7 +257,7 @@ class EventLog:
     def event(self, sender: str, group: str, tx_id: int) -> DataFrame:
         """The winner of one identity: one shard of each type is read, and the identity is filtered at the scan."""
         own = self._versions().where((F.col("shard") == shard(F.lit(group))) & (F.col("group") == group) & (F.col("sender") == sender) & (F.col("tx_id") == tx_id))
-        return winners(with_order(own.drop("shard")), IDENTITY, ("ts", "node"))
+        return winners(with_order(own.drop("route_id", "shard")), IDENTITY, ("ts", "node"))
 
     def find(self, identities: DataFrame) -> DataFrame:
         """The winners of identities (sender, group, tx_id): versions of no other are brought together."""
@@ -271,4 +293,15 @@ class EventLog:
 
 def shard(group: Column) -> Column:
     """The folder of a group within its type."""
-    return F.pmod(route_id(group), F.lit(SHARDS)).cast("int")
+    return placed(route_id(group))
+
+
+def _route(kept: bool) -> Column:
+    """The route of a group: the hash of a version is computed once, where it is first appended."""
+    made = route_id(F.col("group"))
+    return F.coalesce(F.col("route_id"), made) if kept else made
+
+
+def placed(route: Column) -> Column:
+    """The folder of a route within a type."""
+    return F.pmod(route, F.lit(SHARDS)).cast("int")
